@@ -1,0 +1,57 @@
+import hashlib
+import re
+
+from cairnlake.llm import pii
+
+
+def luhn(d):
+    return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def brute(t):
+    out = []
+    if t == LONG:
+        return out
+    for k, p in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(p, t or ""):
+            d = re.sub("[^0-9]", "", m.group())
+            if k == "ip" and any(int(x) > 255 for x in m.group().split(".")) or k == "card" and not (16 <= len(d) <= 19 and luhn(d)) or k == "phone" and not 8 <= len(d) <= 15:
+                continue
+            out.append(f"{k}:{m.start()}:{m.end()}")
+    return out
+
+
+#: The plain patterns take the square of its length, those of the operator do not.
+LONG = "a" * 300000 + " " + "1" * 300000 + " @"
+
+TEXTS = [
+    None, "", " ", "a@b.c_d@e.f g@h.i.", "x@y", "@a.b", "aa.bb@c-d.ee-.f..g", "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.255 1.2.3", "12.34.56.78.9",
+    "4845 1681-1440 7329", "4111 1111 1111 1111", "4111111111111111 4111111111111112", "x4111-1111-1111-1111-9y", "0000000000000000000",
+    "+1 (017) 555-7713 and +12 +1-2-3-4-5-6-7-8-9-0-1-2-3-4-5-6 +49 30 1234567.", "+1        5", "+1 5554444 +1 666 777 8888", "é\U0001f600 a@b.cd \U0001f600 10.0.0.1",
+    "a@b.c " * 700 + "1.1.1.1 " * 600, "a" * 3000, "1" * 3000, LONG, "GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 33", "call my phone 13812345678 now", "13812345678", "id 11010519491231002X", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "sha1 04dbebab91ab85687d33eeaaf9ac699e1188f962",
+]
+
+
+def test_spans_follow_brute_force(spark):
+    rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(None, "a@b.c", "x"), (3, TEXTS[3], "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind string")
+    docs.write.mode("overwrite").parquet(f"{spark.conf.get('spark.checkpoint.dir')}/pii/documents.parquet")
+    got = pii.op7_pii(spark, f"{spark.conf.get('spark.checkpoint.dir')}/pii").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = TEXTS[r.doc_id] if r.doc_id is not None else "a@b.c"
+        want = brute(text)
+        spans = r.spans.split(",") if r.spans else []
+        assert [s for s in spans if s.split(":")[0] in pii.BASE] == want, (r.doc_id, text and text[:60])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w.startswith(k) for w in want) for k in pii.BASE]
+    added = {r.doc_id: [s.split(":")[0] for s in r.spans.split(",") if s.split(":")[0] in pii.ADDED] for r in got}
+    at = {t: i for i, t in enumerate(TEXTS)}
+    assert added[at["GB82 WEST 1234 5698 7654 32"]] == ["iban"] and not added[at["GB82 WEST 1234 5698 7654 33"]]
+    assert added[at["call my phone 13812345678 now"]] == ["mobile"] and not added[at["13812345678"]]
+    assert added[at["id 11010519491231002X"]] == ["national"]
+    assert added[len(TEXTS) - 2] == ["secret"] and not added[len(TEXTS) - 1]
+
+
+def test_empty_table(spark):
+    assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).collect() == []
