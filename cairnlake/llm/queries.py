@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from cairnlake.llm import exact_dedup, pii
+from cairnlake.llm import exact_dedup, langid, pii, quality
 
 
 def queries() -> dict:
     return {
+        "op5_quality_rules": quality.op5_quality_rules,
         "op7_pii": pii.op7_pii,
+        "op9_language_id": langid.op9_language_id,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
