@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from cairnlake.llm import exact_dedup, langid, pii, quality
+from cairnlake.llm import exact_dedup, langid, pii, quality, toxicity
 
 
 def queries() -> dict:
     return {
         "op5_quality_rules": quality.op5_quality_rules,
         "op7_pii": pii.op7_pii,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_language_id": langid.op9_language_id,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
