@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from cairnlake.llm import exact_dedup, langid, pii, quality, toxicity
+from cairnlake.llm import bpe, exact_dedup, langid, pii, quality, tokencount, toxicity
 
 
 def queries() -> dict:
     return {
+        "op3_token_counts": tokencount.op3_token_counts,
         "op5_quality_rules": quality.op5_quality_rules,
+        "op6_bpe": bpe.op6_bpe,
         "op7_pii": pii.op7_pii,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_language_id": langid.op9_language_id,
