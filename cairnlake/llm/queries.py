@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cairnlake.llm import bpe, exact_dedup, langid, pii, quality, tokencount, toxicity
+from cairnlake.llm import bpe, exact_dedup, langid, pii, quality, tokencount, tokenfiles, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_token_files": tokenfiles.op1_token_files,
         "op3_token_counts": tokencount.op3_token_counts,
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_bpe": bpe.op6_bpe,
