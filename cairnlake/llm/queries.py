@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from cairnlake.llm import bpe, exact_dedup, langid, pii, quality, tokencount, tokenfiles, toxicity
+from cairnlake.llm import bpe, exact_dedup, langid, mixing, pii, quality, tokencount, tokenfiles, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_token_files": tokenfiles.op1_token_files,
+        "op2_mixing": mixing.op2_mixing,
         "op3_token_counts": tokencount.op3_token_counts,
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_bpe": bpe.op6_bpe,
