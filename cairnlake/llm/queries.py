@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairnlake.llm import bpe, exact_dedup, langid, mixing, pii, quality, tokencount, tokenfiles, toxicity
+from cairnlake.llm import bpe, exact_dedup, langid, mixing, pii, quality, simhash, tokencount, tokenfiles, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_token_files": tokenfiles.op1_token_files,
         "op2_mixing": mixing.op2_mixing,
         "op3_token_counts": tokencount.op3_token_counts,
+        "op4_simhash": simhash.op4_simhash,
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_bpe": bpe.op6_bpe,
         "op7_pii": pii.op7_pii,

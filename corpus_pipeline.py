@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnlake.llm import exact_dedup, langid
+from cairnlake.llm import bpe, exact_dedup, langid, mixing, simhash
 from cairnlake.llm.common import written
 
 #: No SQL: learned language models and byte-pair merges have none; tests hold every stage against brute force.
@@ -25,7 +25,22 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_duplicates(docs)
 
 
-STAGES = [("language_id", language_id), ("exact_dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the least id."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's weight asks (0 to 3 times), by training position."""
+    return mixing.mixed_documents(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document that the mix took, and the digests of ids and of the decoded text."""
+    return bpe.round_trip(docs, *bpe.default_vocabulary())
+
+
+STAGES = [("language_id", language_id), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mixed), ("encoding", encoded)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
