@@ -9,7 +9,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that hold a ``PLANS`` list.
-MODULES: list[str] = ["text_quality"]
+MODULES: list[str] = ["text_quality", "lexical"]
 
 
 @dataclass(frozen=True)
