@@ -107,7 +107,7 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return parts.agg(F.sum(F.coalesce("inside", F.lit(0.0)) / F.col("m2") - resolution * F.pow(F.col("degree") / F.col("m2"), 2)).alias("modularity"))
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
+def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
     """GR7: communities by synchronous label moves of greatest weight, half of the nodes a round so that none swap for ever:
     (node, component). Every round is two joins over all edges; a node's neighbours never gather in one task."""
     both = edges.where("src <> dst").select("src", "dst", "weight")
@@ -117,10 +117,9 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
         pull = both.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy("src", "component").agg(F.sum("weight").alias("w"))
         best = pull.groupBy("src").agg(F.min(F.struct((-F.col("w")).alias("w"), "component"))["component"].alias("best"))
         move = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
-        new = _written(labels.join(best.withColumnRenamed("src", "node"), "node").select("node", F.when(move, F.col("best")).otherwise(F.col("component")).alias("component"), F.col("component").alias("old")))
-        moved = new.where("component <> old").limit(1).count()
+        new = _written(labels.join(best.withColumnRenamed("src", "node"), "node").select("node", F.when(move, F.col("best")).otherwise(F.col("component")).alias("component"), (F.col("best") != F.col("component")).alias("wants")))
         labels = new.select("node", "component")
-        if not moved and r:
+        if not new.where("wants").limit(1).count():
             break
     return labels
 
