@@ -1,7 +1,7 @@
 """Token-ID output (operator 1): flat files of unsigned integers plus 64-bit document offsets, memory-mapped.
 
-Format: a folder with ``shard-00000.bin`` (unsigned 32-bit little-endian ids, documents one after another, each
-ended by the end id), ``shard-00000.idx`` (64-bit little-endian: the document ids, -2**63 for null, then where each
+Format: a folder with ``shard-00000.bin`` (unsigned little-endian ids of 16 bits where the vocabulary has fewer than
+65,536 ids, else of 32; documents one after another, each ended by the end id), ``shard-00000.idx`` (64-bit little-endian: the document ids, -2**63 for null, then where each
 document starts in the whole corpus, then where the last one ends) and ``manifest.json`` (shards in order with
 their bases). Documents stand in ascending id order across shards, null first, equal ids by text.
 
@@ -25,55 +25,108 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import blocks, bounded_batches, column, fresh_path
+from cairnlake.llm.common import bounded_batches, column, fresh_path
 
-#: Words that a worker remembers; ids that a reader takes from a file at once.
-KNOWN_WORDS, READ_IDS = 400_000, 1 << 20
+#: Words that a worker remembers; bytes of text that are encoded together.
+KNOWN_WORDS, ENCODE_BYTES = 900_000, 8 << 20
 NULL_ID = -(1 << 63)
-SHARD = "shard int, n_docs long, n_tokens long, ids_crc32 long"
+SHARD = "shard int, n_docs long, n_tokens long"
 
 
 class WordEncoder:
     """The tokenizers library, one call for many distinct words."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, dtype: str) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.library, self.dtype = Tokenizer.from_file(path), dtype
         self.known: dict[str, bytes] = {"": b""}
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for lo, hi in blocks(texts, 4 << 20):
-            words = [t.replace("\n", " ").split(" ") for t in texts[lo:hi]]
-            if len(self.known) > KNOWN_WORDS:
-                self.known = {"": b""}
-            known = self.known
-            new = list({w for ws in words for w in ws if w not in known})
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-            for ws in words:
-                yield b"".join(map(known.__getitem__, ws))
-            for w in new:
-                if len(w) > 64:
-                    del known[w]
+    @staticmethod
+    def stem(word: str) -> str:
+        """The word whose ids those of this one begin with; the rest is one mark. Marks and letters never share a token,
+        and ASCII letters lose their case before anything is looked up."""
+        if len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
+            word = word[:-1]
+        return word.lower() if word.isascii() and "<" not in word else word
+
+    def learn(self, words: list[str]) -> None:
+        """Encode words by the library; those of letters alone together, as each of them is one unit of its output."""
+        plain, rest = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()]
+        for at in range(0, len(plain), 20_000):
+            part = plain[at : at + 20_000]
+            found = self.library.encode(" ".join(part), add_special_tokens=False)
+            data, unit = np.array(found.ids, self.dtype).tobytes(), np.array(found.word_ids)
+            starts = (np.flatnonzero(np.diff(unit, prepend=-1)) * int(self.dtype[2])).tolist()
+            if len(starts) != len(part):
+                rest += part  # a letter that becomes a letter and a mark
+                continue
+            self.known.update((w, data[i:j]) for w, i, j in zip(part, starts, [*starts[1:], len(data)], strict=True))
+        for at in range(0, len(rest), 20_000):
+            part = rest[at : at + 20_000]
+            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[w] = np.array(e.ids, self.dtype).tobytes()
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
+        known = self.known
+        out = list(map(known.get, words))
+        new = [i for i, ids in enumerate(out) if ids is None]
+        stems = [self.stem(words[i]) for i in new]
+        self.learn([s for s in {*stems, ".", ","} if s not in known])
+        for i, s in zip(new, stems, strict=True):
+            w = words[i]
+            out[i] = known[s] if w == s else known[s] + known[w[len(s) :]]
+        if len(known) > KNOWN_WORDS:
+            known = self.known = {"": b"", **dict(zip(words, out, strict=True))}
+        known.update((words[i], out[i]) for i in new)
+        for w in [w for w in {*stems, *(words[i] for i in new)} if len(w) > 64]:
+            known.pop(w, None)
+        return out
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, each text's followed by ``end``, and how many each text has.
+
+        Arrow numbers the words, so Python sees each distinct word of the array once."""
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        first = parts.offsets.to_numpy()
+        coded = parts.flatten().dictionary_encode()
+        ids, which = self.words(coded.dictionary.to_pylist()), coded.indices.to_numpy()
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // int(self.dtype[2])
+        starts = np.cumsum(n) - n
+        size = n[which]
+        stop = np.cumsum(size)
+        take = np.arange(stop[-1] if len(stop) else 0) + np.repeat(starts[which] - (stop - size), size)
+        tokens = np.frombuffer(b"".join(ids), self.dtype)[take]
+        at = np.concatenate(([0], stop))[first - first[0]]
+        if end is not None:
+            tokens = np.insert(tokens, at[1:], end)
+        return tokens, np.diff(at) + (end is not None)
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def _encoder(path: str, dtype: str) -> WordEncoder:
+    return WordEncoder(path, dtype)
+
+
+def id_type(vocabulary: str, end_id: int) -> str:
+    """The narrowest type that holds every id."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(vocabulary).get_vocab_size(), end_id + 1) < 1 << 16 else "<u4"
 
 
 class Store:
@@ -105,26 +158,29 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str, id_
     bounded_batches(spark)
     store = Store(folder)
     store.fs.create_dir(store.path, recursive=True)
-    end = np.array([end_id], "<u4").tobytes()
+    dtype = id_type(vocabulary, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, own, ids, sizes, crc = TaskContext.get().partitionId(), Store(folder), [], [], 0
+        shard, own, ids, sizes = TaskContext.get().partitionId(), Store(folder), [], []
 
         def pieces() -> Iterator[bytes]:
-            nonlocal crc
-            for batch in batches:
-                ids.extend(column(batch, "doc_id"))
-                for tokens in _encoder(vocabulary).encode(column(batch, "body")):
-                    sizes.append(len(tokens) // 4 + 1)
-                    crc = zlib.crc32(end, zlib.crc32(tokens, crc))
-                    yield tokens + end
+            encoder, held = _encoder(vocabulary, dtype), []
+            for batch in chain(batches, [None]):
+                if batch is not None:
+                    ids.extend(column(batch, "doc_id"))
+                    held.append(batch.column(1))
+                if held and (batch is None or sum(x.nbytes for x in held) >= ENCODE_BYTES):
+                    tokens, size = encoder.encode(pa.concat_arrays(held), end_id)
+                    held = []
+                    sizes.extend(size.tolist())
+                    yield tokens.tobytes()
 
         own.write(f"shard-{shard:05d}.bin", pieces())
         starts = np.concatenate(([0], np.cumsum(np.array(sizes, "<i8"))))
         # Offsets within the shard, until the bases are known.
         own.write(f"shard-{shard:05d}.local", iter([np.array([NULL_ID if i is None else i for i in ids], "<i8").tobytes(), starts.astype("<i8").tobytes()]))
         if sizes:
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([x], pa.int64()) for x in (len(sizes), int(starts[-1]), crc))], names=["shard", "n_docs", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([x], pa.int64()) for x in (len(sizes), int(starts[-1])))], names=["shard", "n_docs", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     # Equal ids are ordered by text, so that every attempt of a task writes the same file.
@@ -134,7 +190,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str, id_
     for s in shards:
         listed.append((s.shard, s.n_docs, s.n_tokens, base))
         base += s.n_tokens
-    store.write("manifest.json", iter([json.dumps({"dtype": "uint32", "end_id": end_id, "shards": [dict(zip(("shard", "n_docs", "n_tokens", "base"), x, strict=True)) for x in listed]}).encode()]))
+    store.write("manifest.json", iter([json.dumps({"dtype": {"<u2": "uint16", "<u4": "uint32"}[dtype], "end_id": end_id, "shards": [dict(zip(("shard", "n_docs", "n_tokens", "base"), x, strict=True)) for x in listed]}).encode()]))
     table = spark.createDataFrame(listed, "shard int, n_docs long, n_tokens long, base long")
     if not listed:
         return table
@@ -156,7 +212,9 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str, id_
 
 
 def read_tokens(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
-    """A row for each document, from the files alone: doc_id, start, n_tokens, ids_crc32 (unsigned crc32 of its ids)."""
+    """A row for each document, from the files alone: doc_id, start, n_tokens, ids_crc32 (unsigned crc32 of its ids as
+    little-endian unsigned 32-bit integers, whatever the width in the files)."""
+    width = {"uint16": 2, "uint32": 4}[json.loads(bytes(Store(folder).read("manifest.json")))["dtype"]]
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,11 +222,11 @@ def read_tokens(spark: SparkSession, folder: str, shards: DataFrame) -> DataFram
         for batch in batches:
             for shard, n, base in zip(column(batch, "shard"), column(batch, "n_docs"), column(batch, "base"), strict=True):
                 index = np.frombuffer(own.read(f"shard-{shard:05d}.idx"), "<i8")
-                data = memoryview(own.read(f"shard-{shard:05d}.bin"))
+                data = np.frombuffer(own.read(f"shard-{shard:05d}.bin"), f"<u{width}")
                 ids, starts = index[:n], index[n:]
                 for lo in range(0, n, 4096):
                     at = starts[lo : lo + 4097]
-                    crc = [zlib.crc32(data[4 * int(a - base) : 4 * int(b - base)]) for a, b in zip(at[:-1], at[1:], strict=True)]
+                    crc = [zlib.crc32(data[a:b].astype("<u4")) for a, b in zip((at[:-1] - base).tolist(), (at[1:] - base).tolist(), strict=True)]
                     own_ids = ids[lo : lo + 4096]
                     yield pa.RecordBatch.from_arrays([pa.array(own_ids, pa.int64(), mask=own_ids == NULL_ID), pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], schema=schema)
 
