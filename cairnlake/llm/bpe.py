@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from cairnlake.llm.common import blocks, bounded_batches, column
 
 #: Words that a worker remembers; bytes of longer words are not remembered.
-KNOWN_WORDS, KNOWN_BYTES = 600_000, 64
+KNOWN_WORDS, KNOWN_BYTES = 400_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -140,7 +140,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
-        for lo, hi in blocks(texts, 4 << 20):
+        for lo, hi in blocks(texts, 2 << 20):
             words = [self.split(t) for t in texts[lo:hi]]
             if len(self.known) > KNOWN_WORDS:
                 self.known.clear()
