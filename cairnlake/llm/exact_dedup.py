@@ -205,9 +205,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. The join's keys hold the id, so no text is a hot key."""
     groups = duplicate_groups(docs, id_col, text_col, **limits).select(F.col("digest").alias("_digest"), F.coalesce(F.col("keep_id"), F.lit(-(1 << 63))).alias("_keep"))
-    rows = docs.select("*", F.sha2(normalised(text_col).cast("binary"), 256).alias("_digest"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_keep"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.sha2(normalised(text_col).cast("binary"), 256).alias("_digest"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_keep"))
     one = Window.partitionBy("_digest", "_keep").orderBy("_keep")
-    return rows.join(groups, ["_digest", "_keep"], "left_semi").withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select(docs.columns)
+    return rows.join(groups, ["_digest", "_keep"], "left_semi").withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select("row.*")
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import BLOCK_CHARS, blocks, bounded_batches, column, held_out
+from cairnlake.llm.common import blocks, bounded_batches, column, held_out
 
 #: Rows of a language that the fit reads at most (in the mean); least excess in nats that a rejection needs.
 MAX_DOCS_PER_LANG, MARGIN = 1500, 0.8
 #: Quantile of the calibration texts' spread, and the factor on it.
 SPREAD_QUANTILE, SPREAD_FACTOR = 0.999, 3.0
 UNDETERMINED = "und"
+#: Characters that are scored together: their arrays take about 100 bytes a character.
+PIECE = 1 << 18
 
 _LETTERS: list[np.ndarray] = []
 
@@ -148,9 +150,9 @@ class Model:
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy under each language, and the number of characters scored (0: no letter)."""
         total, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
-        owner = [i for i, t in enumerate(texts) for _ in range(0, max(1, len(t)), BLOCK_CHARS)]
-        pieces = [t[s : s + BLOCK_CHARS] for t in texts for s in range(0, max(1, len(t)), BLOCK_CHARS)]
-        for lo, hi in blocks(pieces):
+        owner = [i for i, t in enumerate(texts) for _ in range(0, max(1, len(t)), PIECE)]
+        pieces = [t[s : s + PIECE] for t in texts for s in range(0, max(1, len(t)), PIECE)]
+        for lo, hi in blocks(pieces, PIECE):
             parts = [characters(p) for p in pieces[lo:hi]]
             sizes = np.array([max(0, len(p) - 2) for p in parts])
             if not sizes.any():
@@ -259,7 +261,8 @@ def drop_rejected(docs: DataFrame, max_docs_per_lang: int = MAX_DOCS_PER_LANG) -
     model = fit(docs, max_docs_per_lang=max_docs_per_lang)
     if not model.langs:
         return docs
-    return identify(docs, model, keep=docs.columns).where(~F.col("_rejected")).select(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))  # whatever names the columns have
+    return identify(rows, model, keep=["row"]).where(~F.col("_rejected")).select("row.*")
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

@@ -114,7 +114,6 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``docs``, each as often as the mix takes it (0 to MAX_EPOCHS whole copies), by training position.
 
     A copy is taken if the demand reaches its middle."""
-    words = docs.select("*", word_count(text_col).alias("_size"))
     rows = _sized(docs, id_col, text_col, source_col)
     goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     placed = _with_goals(_supply(rows), goals)
@@ -126,12 +125,14 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = [F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("_id"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_source"), F.col("size").alias("_size")]
     per_row = per_row.select(*keys, "_at")
     nth = Window.partitionBy("_id", "_source", "_size").orderBy("_id")
-    left = words.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")))
+    id_ = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    source = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit(""))
+    left = docs.select(F.struct(*docs.columns).alias("row"), id_.alias("_id"), source.alias("_source"), word_count(text_col).alias("_size"))
     left = left.withColumn("_nth", F.row_number().over(nth)).withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy("_id", "_source", "_size")))
     joined = left.join(per_row, ["_id", "_source", "_size"])
     own = F.filter(F.array_sort("_at"), lambda x, i: F.pmod(i, F.col("_rows").cast("int")) == F.col("_nth") - 1)
     out = joined.withColumn("_position", F.explode(own))
-    return out.repartitionByRange("_position", id_col).sortWithinPartitions("_position", id_col).select(docs.columns)
+    return out.repartitionByRange("_position", "_id").sortWithinPartitions("_position", "_id").select("row.*")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

@@ -244,7 +244,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of ``docs`` that carry their component's least id, with all their columns."""
     kept = near_dedup(docs, id_col, text_col, words).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     ids = kept.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id")).distinct()
-    return docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).join(ids, "_id", "left_semi").select(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_id"))
+    return rows.join(ids, "_id", "left_semi").select("row.*")
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ def test_taken_words_meet_targets(spark, seed):
 
 def test_documents_are_repeated_whole(spark):
     data = rows(3)
-    docs = spark.createDataFrame(data, "doc_id long, text string, source string, target string")
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, _size string")
     out = m.mixed_documents(docs)
     assert out.columns == docs.columns
     got, given = Counter(map(tuple, out.collect())), Counter(map(tuple, data))
