@@ -28,10 +28,10 @@ def safe_ratio(a: Column, b: Column) -> Column:
 
 
 def words(text: Column | str) -> Column:
-    """Distinct index terms of a text: letter-digit runs of two and more characters, and their ASCII parts."""
+    """Distinct index terms of a text: letter-digit runs of 2 to 128 characters, and their ASCII parts of 2 to 64."""
     low = F.lower(text)
-    runs = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]{2,128}"), F.lit(0))
-    ascii_runs = F.regexp_extract_all(low, F.lit(r"[a-z0-9]{2,64}"), F.lit(0))
+    runs = F.filter(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.length(w).between(2, 128))
+    ascii_runs = F.filter(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w).between(2, 64))
     return F.array_distinct(F.concat(runs, ascii_runs))
 
 

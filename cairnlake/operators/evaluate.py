@@ -62,7 +62,7 @@ def title_metrics(ranked: DataFrame, gold: DataFrame, at: tuple[int, ...] = (2,
 def squad_normalise(text: Column | str) -> Column:
     """EV7: lower case, without punctuation and articles, single spaces."""
     t = F.regexp_replace(F.lower(text), r"[!-/:-@\[-`{-~]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"\b(a|an|the)\b", " "), r"\s+", " "))
+    return F.array_join(F.filter(F.split(t, r"[ \t\n\r]+"), lambda w: (w != "") & ~w.isin("a", "an", "the")), " ")
 
 
 def token_f1(answers: DataFrame, predicted: str, gold: str, key: str) -> DataFrame:

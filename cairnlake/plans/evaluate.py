@@ -50,7 +50,7 @@ def _f1(s, d):
     return _rounded(ev.token_f1(rows, "predicted", "gold", "key"), ["f1"])
 
 
-NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[!-/:-@\[-`{{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"
+NORM = r"array_to_string(list_filter(string_split_regex(regexp_replace(lower({0}), '[!-/:-@\[-`{{-~]', '', 'g'), '[ \t\n\r]+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ')"
 F1_SQL = f"""WITH c AS (SELECT a.conv_id || '-' || a.turn AS key, {NORM.format("a.text")} AS p, {NORM.format("b.text")} AS g FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn),
 pt AS (SELECT key, unnest(string_split(p, ' ')) AS tok FROM c), gt AS (SELECT key, unnest(string_split(g, ' ')) AS tok FROM c),
 pc AS (SELECT key, tok, count(*) AS n FROM pt WHERE tok <> '' GROUP BY ALL), gc AS (SELECT key, tok, count(*) AS n FROM gt WHERE tok <> '' GROUP BY ALL),

@@ -19,10 +19,16 @@ def _edges(s, d):
     return li.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 40 + 1000).alias("dst"), F.when(F.col("l_returnflag") == "R", "supersedes").otherwise("relates").alias("kind"), (F.col("l_quantity") / 4).alias("weight"), F.col("l_orderkey").alias("doc_id"))
 
 
-def _components(s, d):
-    o = t(s, d, "lineitem").where("l_linenumber <= 2")
-    edges = o.select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))
-    return gr.connected_components(edges.where("dst % 5 > 0"))
+def _chains(s, d):
+    """Consecutive orders, linked unless the customer's number is a multiple of three: chains of all lengths."""
+    o = t(s, d, "orders").where("o_custkey % 3 > 0")
+    return gr.connected_components(o.select(F.col("o_orderkey").alias("src"), (F.col("o_orderkey") + 1).alias("dst")))
+
+
+def _copurchase(s, d):
+    """Orders and the parts they share: one large component and some small ones."""
+    li = t(s, d, "lineitem")
+    return gr.connected_components(li.select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")))
 
 
 def _labels(s, d):
@@ -101,10 +107,11 @@ SELECT round(sum(coalesce(inside, 0) / m2 - (degree / m2) ** 2), 6) AS modularit
     Plan("gr7_communities", lambda s, d: gr.communities(gr.merge_relations(_edges(s, d)))),
     Plan(
         "gr8_components",
-        _components,
-        """WITH RECURSIVE e0 AS (SELECT l_orderkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem WHERE l_linenumber <= 2 AND (l_partkey * 2 + 1) % 5 > 0), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0),
+        _chains,
+        """WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_orderkey + 1 AS b FROM orders WHERE o_custkey % 3 > 0 UNION SELECT o_orderkey + 1, o_orderkey FROM orders WHERE o_custkey % 3 > 0),
 r(node, reached) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reached = e.a) SELECT node, min(reached) AS component FROM r GROUP BY 1""",
     ),
+    Plan("gr8_copurchase_components", _copurchase),
     Plan("gr9_community_edges", lambda s, d: gr.community_edges(gr.merge_relations(_edges(s, d)), _labels(s, d)).withColumn("weight", round_to(F.col("weight"))), f"WITH {EDGES}, {LABELS} SELECT least(a.component, b.component) AS src, greatest(a.component, b.component) AS dst, round(sum(weight), 6) AS weight FROM merged JOIN labels a ON src = a.node JOIN labels b ON dst = b.node WHERE a.component <> b.component GROUP BY 1, 2"),
     Plan("gr10_community_keys", lambda s, d: gr.community_keys(_labels(s, d)), f"WITH {LABELS} SELECT component, md5(string_agg(CAST(node AS VARCHAR), ',' ORDER BY CAST(node AS VARCHAR))) AS member_key, count(*) AS size FROM labels GROUP BY 1"),
     Plan(

@@ -10,7 +10,7 @@ from cairnlake.operators import lexical as lx
 from cairnlake.plans.registry import Plan
 from cairnlake.session import read_table as t
 
-WORDS_SQL = r"list_distinct(list_concat(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]{{2,128}}'), regexp_extract_all(lower({0}), '[a-z0-9]{{2,64}}')))"
+WORDS_SQL = r"list_distinct(list_concat(list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+'), lambda w: length(w) BETWEEN 2 AND 128), list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: length(w) BETWEEN 2 AND 64)))"
 LEN_SQL = r"greatest(len(regexp_extract_all({0}, '[\p{{L}}\p{{N}}]')), 1)"
 KEYWORDS = ["the", "ing", "license", "token", "stone"]
 MAPPING = [("the", "THE"), ("ing", "ING"), ("tion", "TION"), ("er", "ER"), ("an", "AN")]
@@ -64,6 +64,13 @@ def _applied(s, d):
     return lx.apply_delta(lx.term_stats(old, ["kb_id"]), lx.df_delta(old, new, ["kb_id"]), ["kb_id"])
 
 
+def _with_next(s, d):
+    """Every document's term set is made once and then compared with the next one's."""
+    own = t(s, d, "documents").select("doc_id", words("text").alias("a"))
+    after = t(s, d, "documents").select((F.col("doc_id") - 1).alias("doc_id"), words("text").alias("b"))
+    return own.join(after, "doc_id").select("doc_id", round_to(jaccard(F.col("a"), F.col("b"))).alias("jaccard"))
+
+
 PLANS = [
     Plan("lx_bm25_search", _bm25, BM25_SQL),
     Plan(
@@ -90,7 +97,7 @@ SELECT doc_id, source, sha256(raw) AS evidence_id FROM n WHERE nth = 1""",
     ),
     Plan(
         "dd7_jaccard_with_next",
-        lambda s, d: t(s, d, "documents").alias("a").join(t(s, d, "documents").alias("b"), F.expr("a.doc_id + 1 = b.doc_id")).select(F.col("a.doc_id").alias("doc_id"), round_to(jaccard(words(F.col("a.text")), words(F.col("b.text")))).alias("jaccard")),
+        _with_next,
         f"""WITH w AS (SELECT doc_id, {WORDS_SQL.format("text")} AS ws FROM documents), p AS (SELECT a.doc_id, len(a.ws) AS na, len(b.ws) AS nb, len(list_intersect(a.ws, b.ws)) AS n FROM w a JOIN w b ON a.doc_id + 1 = b.doc_id)
 SELECT doc_id, round(CASE WHEN na = 0 OR nb = 0 THEN 0.0 ELSE n / (na + nb - n) END, 6) AS jaccard FROM p""",
     ),
