@@ -11,7 +11,7 @@ from cairnlake.plans.registry import Plan
 from cairnlake.session import read_table as t
 
 CHANNEL = {"1-URGENT": "lexical", "2-HIGH": "vector", "3-MEDIUM": "graph", "4-NOT SPECIFIED": "sparse", "5-LOW": "title"}
-HITS = """hits AS (SELECT o_custkey AS query_id, o_orderkey AS chunk_id, o_orderkey % 97 AS doc_id, o_orderkey % 13 AS ord, round(o_totalprice / 500000, 6) AS score,
+HITS = """hits AS (SELECT o_custkey AS query_id, o_orderkey AS chunk_id, o_orderkey % 97 AS doc_id, o_orderkey % 13 AS ord, o_totalprice / 500000 AS score,
  CASE o_orderpriority WHEN '1-URGENT' THEN 'lexical' WHEN '2-HIGH' THEN 'vector' WHEN '3-MEDIUM' THEN 'graph' WHEN '4-NOT SPECIFIED' THEN 'sparse' ELSE 'title' END AS channel,
  o_orderstatus AS status FROM orders),
 pairs AS (SELECT query_id, chunk_id, channel, score FROM hits UNION ALL SELECT query_id, chunk_id, 'late', 1 - score FROM hits),
@@ -26,7 +26,7 @@ def _hits(s, d):
         F.col("o_orderkey").alias("chunk_id"),
         (F.col("o_orderkey") % 97).alias("doc_id"),
         (F.col("o_orderkey") % 13).alias("ord"),
-        F.round(F.col("o_totalprice") / 500000, 6).alias("score"),
+        (F.col("o_totalprice") / 500000).alias("score"),
         channel.alias("channel"),
         F.col("o_orderstatus").alias("status"),
     )
@@ -166,8 +166,8 @@ SELECT p.query_id, p.chunk_id, CAST(coalesce(o, 0) + row_number() OVER (PARTITIO
     ),
     Plan(
         "rk3_boosts",
-        lambda s, d: _hits(s, d).select("chunk_id", round_to(rk.boosted(F.col("score") - 0.3, F.col("channel") == "lexical", F.col("ord") % 3, F.col("status") == "F", F.col("doc_id") == 5, F.col("ord") % 2)).alias("score")),
-        _sql("SELECT chunk_id, round(CASE WHEN score - 0.3 > 0 THEN score - 0.3 ELSE 0.0005 END * (CASE WHEN channel = 'lexical' THEN 1.08 ELSE 1.0 END + 0.8 * (ord % 3) + CASE WHEN status = 'F' THEN 1.0 ELSE 0 END + CASE WHEN doc_id = 5 THEN 2.0 ELSE 0 END + 0.5 * (ord % 2)), 6) AS score FROM hits"),
+        lambda s, d: _hits(s, d).select("chunk_id", round_to(rk.boosted(F.col("score") - 0.3, F.col("channel") == "lexical", F.col("ord") % 3, F.col("status") == "F", F.col("doc_id") == 5, F.col("ord") % 2), 10).alias("score")),
+        _sql("SELECT chunk_id, round(CASE WHEN score - 0.3 > 0 THEN score - 0.3 ELSE 0.0005 END * (CASE WHEN channel = 'lexical' THEN 1.08 ELSE 1.0 END + 0.8 * (ord % 3) + CASE WHEN status = 'F' THEN 1.0 ELSE 0 END + CASE WHEN doc_id = 5 THEN 2.0 ELSE 0 END + 0.5 * (ord % 2)), 10) AS score FROM hits"),
     ),
     Plan("rk4_order", lambda s, d: _placed(s, d).select("query_id", "chunk_id", "position"), _sql("SELECT query_id, chunk_id, CAST(position AS INTEGER) AS position FROM placed")),
     Plan(
@@ -178,8 +178,8 @@ SELECT p.query_id, p.chunk_id, CAST(coalesce(o, 0) + row_number() OVER (PARTITIO
     Plan("rk6_normalise", lambda s, d: rk.normalised(_hits(s, d)).select("query_id", "chunk_id", "norm"), _sql("SELECT query_id, chunk_id, round(least(0.99, greatest(0.05, score / greatest(max(score) OVER (PARTITION BY query_id), 0.0001) * 0.95)), 3) AS norm FROM hits")),
     Plan(
         "rk7_neighbours",
-        lambda s, d: rk.with_neighbours(_hits(s, d).select("query_id", "doc_id", "ord", "score"), _hits(s, d).select("doc_id", "ord").distinct()).withColumn("score", round_to(F.col("score"))),
-        _sql(", n AS (SELECT query_id, doc_id, ord + k AS ord, score * pow(0.85, abs(k)) AS score FROM hits, (VALUES (-1), (0), (1)) AS u(k)), c AS (SELECT DISTINCT doc_id, ord FROM hits) SELECT query_id, doc_id, ord, round(max(score), 6) AS score FROM n JOIN c USING (doc_id, ord) GROUP BY ALL"),
+        lambda s, d: rk.with_neighbours(_hits(s, d).select("query_id", "doc_id", "ord", "score"), _hits(s, d).select("doc_id", "ord").distinct()).withColumn("score", round_to(F.col("score"), 10)),
+        _sql(", n AS (SELECT query_id, doc_id, ord + k AS ord, score * pow(0.85, abs(k)) AS score FROM hits, (VALUES (-1), (0), (1)) AS u(k)), c AS (SELECT DISTINCT doc_id, ord FROM hits) SELECT query_id, doc_id, ord, round(max(score), 10) AS score FROM n JOIN c USING (doc_id, ord) GROUP BY ALL"),
     ),
     Plan(
         "rk8_external_fusion",
@@ -262,8 +262,8 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY points DE
     Plan("rk33_rerank_text", lambda s, d: t(s, d, "documents").select("doc_id", F.md5(rk.rerank_text(["source", "text"]).cast("binary")).alias("text_md5")), "SELECT doc_id, md5((source || chr(10) || text)[1:3000]) AS text_md5 FROM documents"),
     Plan(
         "rk35_summary_scores",
-        lambda s, d: rk.summary_scores(_hits(s, d), _hits(s, d).select("doc_id").distinct().withColumn("summary_id", F.col("doc_id") + 1000)).withColumn("score", round_to(F.col("score"))),
-        _sql(", m AS (SELECT query_id, doc_id, max(score) AS b FROM hits GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY b DESC, doc_id) AS n FROM m) SELECT query_id, doc_id, doc_id + 1000 AS summary_id, round(0.88 * b, 6) AS score FROM r WHERE n <= 3"),
+        lambda s, d: rk.summary_scores(_hits(s, d), _hits(s, d).select("doc_id").distinct().withColumn("summary_id", F.col("doc_id") + 1000)).withColumn("score", round_to(F.col("score"), 10)),
+        _sql(", m AS (SELECT query_id, doc_id, max(score) AS b FROM hits GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY b DESC, doc_id) AS n FROM m) SELECT query_id, doc_id, doc_id + 1000 AS summary_id, round(0.88 * b, 10) AS score FROM r WHERE n <= 3"),
     ),
     Plan("rk36_config_fingerprint", lambda s, d: t(s, d, "orders").select("o_orderkey", rk.config_fingerprint(["o_orderkey", "o_orderstatus", "o_orderpriority"]).alias("fingerprint")), "SELECT o_orderkey, sha256(o_orderkey || ';' || o_orderstatus || ';' || o_orderpriority) AS fingerprint FROM orders"),
     Plan(

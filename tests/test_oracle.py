@@ -27,7 +27,7 @@ def plain(x):
     if isinstance(x, bool) or x is None:
         return x
     if isinstance(x, float | Decimal):
-        return None if isinstance(x, float) and math.isnan(x) else round(float(x), 5) + 0.0
+        return None if isinstance(x, float) and math.isnan(x) else float(f"{float(x):.9g}") + 0.0
     if isinstance(x, int):
         return float(x)
     if isinstance(x, list | tuple):
