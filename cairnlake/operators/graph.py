@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnlake.session import shared_dir
+
 MAX_WEIGHT = 10.0
 #: GR1: fixed values: how a relation is written, its kind and weight.
 PATTERNS = {"heading": (r"(?m)^#{1,6}\s+(.{2,80})$", "contains", 1.5), "reference": (r"《([^》]{2,60})》", "references", 2.0), "wiki": (r"\[\[([^\]|]{2,60})(?:\|[^\]]*)?\]\]", "links", 1.8), "supersedes": (r"(?i)supersedes\s+\"([^\"]{2,60})\"", "supersedes", 3.0), "amends": (r"(?i)amends\s+\"([^\"]{2,60})\"", "amends", 2.5)}
@@ -69,14 +71,10 @@ def resolve_aliases(names: DataFrame, known: DataFrame, ledger: DataFrame, at_le
 
 
 def _written(df: DataFrame) -> DataFrame:
-    """Ends a lineage in the shared folder; without one, Spark's own checkpoint folder must be set."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        raise ValueError("set spark.checkpoint.dir")
-    path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    """Ends a lineage in the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

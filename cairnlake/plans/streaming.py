@@ -9,14 +9,12 @@ from pyspark.sql import functions as F
 from cairnlake.functions.text import round_to
 from cairnlake.plans.registry import Plan
 from cairnlake.session import read_table as t
+from cairnlake.session import shared_dir
 from cairnlake.streaming import jobs
 
 
 def _folder(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        raise ValueError("set spark.checkpoint.dir")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _outbox(s, d):

@@ -31,6 +31,15 @@ def get_session(app: str = "cairnlake", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, as in tests, one of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver tables, by the name of its Parquet file or folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
