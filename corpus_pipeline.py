@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnlake.llm import bpe, exact_dedup, langid, mixing, simhash
+from cairnlake.llm import bpe, exact_dedup, langid, mixing, neardup
 from cairnlake.llm.common import written
 
 #: No SQL: learned language models and byte-pair merges have none; tests hold every stage against brute force.
@@ -26,8 +26,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least id."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more): the one with the least id."""
+    return neardup.drop_near_duplicates(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
