@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -9,47 +10,116 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from cairnlake.functions.text import count_of, family_key, grams, jaccard
 from cairnlake.operators.structure import aspects
 
-#: RK17: fixed values: floors of measured scores, weight of relevance, share of a document, candidates of a query that are weighed.
-FLOOR, SOFT_FLOOR, LAMBDA, DOC_SHARE, POOL = 0.35, 0.22, 0.72, 0.55, 400
+#: RK17: fixed values: floors of measured scores, weight of relevance, share of a document.
+FLOOR, SOFT_FLOOR, LAMBDA, DOC_SHARE = 0.35, 0.22, 0.72, 0.55
 
 
-def select_evidence(candidates: DataFrame, budget: int, floor: float = FLOOR, soft: float = SOFT_FLOOR, lam: float = LAMBDA, pool: int = POOL) -> DataFrame:
-    """RK17: (query_id, chunk_id, pick) by maximal marginal relevance under a token budget.
+def select_evidence(candidates: DataFrame, budget: int, floor: float = FLOOR, soft: float = SOFT_FLOOR, lam: float = LAMBDA) -> DataFrame:
+    """RK17, in part (see README): (query_id, chunk_id, pick) by maximal marginal relevance under a token budget.
 
     candidates: query_id, chunk_id, doc_id, score, measured (null if no model or index measured it), tokens, terms (array).
-    Rows under the floor go, unless a query has none over it: then the soft floor counts. Only a query's ``pool`` best
-    rows are weighed against one another, which bounds each group; a document takes at most DOC_SHARE of the budget."""
+    Rows under the floor go, unless a query has none over it: then the soft floor counts. A document takes at most
+    DOC_SHARE of the budget. Every row is weighed: a query's rows stream in order of score, and a pick is made once no row
+    to come can beat it; rows that no longer fit are let go at once, and reading ends when the shortest row cannot fit."""
     own = Window.partitionBy("query_id")
     best = F.max("measured").over(own)
     limit = F.when(best >= floor, floor).otherwise(soft)
     kept = candidates.withColumn("_ok", F.coalesce(F.col("measured") >= limit, F.lit(True))).where("_ok")
-    kept = kept.withColumn("_n", F.row_number().over(own.orderBy(F.desc("score"), "chunk_id"))).where(F.col("_n") <= pool)
-
-    def greedy(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(["score", "chunk_id"], ascending=[False, True]).to_dict("records")
-        top = max((r["score"] for r in rows), default=1.0) or 1.0
-        sets = [set(r["terms"]) for r in rows]
-        overlap, spent, of_doc, out, rest = [0.0] * len(rows), 0, {}, [], list(range(len(rows)))
-        while rest:
-            i = max(rest, key=lambda k: (lam * rows[k]["score"] / top - (1 - lam) * overlap[k], -k))
-            rest.remove(i)
-            r = rows[i]
-            if spent + r["tokens"] > budget or (out and of_doc.get(r["doc_id"], 0) + r["tokens"] > DOC_SHARE * budget):
-                continue
-            spent += r["tokens"]
-            of_doc[r["doc_id"]] = of_doc.get(r["doc_id"], 0) + r["tokens"]
-            out.append((r["query_id"], r["chunk_id"], len(out) + 1))
-            for k in rest:
-                either = len(sets[i] | sets[k])
-                overlap[k] = max(overlap[k], len(sets[i] & sets[k]) / either if either else 0.0)
-        return pd.DataFrame(out, columns=["query_id", "chunk_id", "pick"])
-
-    kinds = ", ".join(f"{c} {candidates.schema[c].dataType.simpleString()}" for c in ("query_id", "chunk_id"))
-    return kept.select("query_id", "chunk_id", "doc_id", "score", "tokens", "terms").groupBy("query_id").applyInPandas(greedy, f"{kinds}, pick int")
+    kept = kept.withColumn("_least", F.min("tokens").over(own))
+    columns = ["query_id", "chunk_id", "doc_id", "score", "tokens", "terms", "_least"]
+    schema = StructType([candidates.schema["query_id"], candidates.schema["chunk_id"], StructField("pick", IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mmr = None
+        for batch in batches:
+            out = []
+            queries = batch.column(0).to_pylist()
+            at = 0
+            while at < len(queries):
+                end = next((i for i in range(at, len(queries)) if queries[i] != queries[at]), len(queries))
+                if mmr is None or mmr.query != queries[at]:
+                    if mmr is not None:
+                        out += mmr.finish()
+                    mmr = _Mmr(queries[at], budget, lam)
+                if not mmr.done:
+                    for row in batch.slice(at, end - at).to_pylist():
+                        out += mmr.read(row)
+                        if mmr.done:
+                            break
+                at = end
+            if out:
+                yield _picks(out, batch.schema)
+        if mmr is not None and (out := mmr.finish()):
+            yield _picks(out, batch.schema)
+
+    ordered = kept.select(*columns).repartition("query_id").sortWithinPartitions("query_id", F.desc("score"), "chunk_id")
+    return ordered.mapInArrow(run, schema)
+
+
+def _picks(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    query, chunk, pick = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(query, schema.field(0).type), pa.array(chunk, schema.field(1).type), pa.array(pick, pa.int32())], names=["query_id", "chunk_id", "pick"])
+
+
+class _Mmr:
+    """Maximal marginal relevance over one query's rows, which come in order of score. Rows that do not fit never will
+    later, since what is spent only grows, and are no longer held."""
+
+    def __init__(self, query, budget: int, lam: float) -> None:
+        self.query, self.budget, self.lam = query, budget, lam
+        self.top, self.spent, self.n, self.done = None, 0, 0, False
+        self.of_doc, self.picked, self.pool = {}, [], []
+
+    def fits(self, row: dict) -> bool:
+        if self.spent + row["tokens"] > self.budget:
+            return False
+        return not self.n or self.of_doc.get(row["doc_id"], 0) + row["tokens"] <= DOC_SHARE * self.budget
+
+    def read(self, row: dict) -> list[tuple]:
+        """Picks that this and all later rows cannot change, then the row joins the pool."""
+        score = -math.inf if row["score"] is None else row["score"]
+        if self.top is None:
+            self.top = score if math.isfinite(score) and score else 1.0
+        row["_relevance"] = self.lam * score / self.top
+        # A top under zero turns the order around: then no bound holds before the end.
+        out = self.take(row["_relevance"] if self.top > 0 else math.inf)
+        if self.spent + row["_least"] > self.budget:
+            self.done, self.pool = True, []
+        elif self.fits(row):
+            row["_set"] = set(row["terms"])
+            row["_overlap"] = max((_alike(row["_set"], s) for s in self.picked), default=0.0)
+            self.pool.append(row)
+        return out
+
+    def take(self, bound: float) -> list[tuple]:
+        out = []
+        while self.pool:
+            value = lambda k: self.pool[k]["_relevance"] - (1 - self.lam) * self.pool[k]["_overlap"]
+            best = max(range(len(self.pool)), key=lambda k: (value(k), -k))
+            if value(best) < bound:
+                break
+            row = self.pool.pop(best)
+            self.spent, self.n = self.spent + row["tokens"], self.n + 1
+            self.of_doc[row["doc_id"]] = self.of_doc.get(row["doc_id"], 0) + row["tokens"]
+            self.picked.append(row["_set"])
+            out.append((self.query, row["chunk_id"], self.n))
+            self.pool = [r for r in self.pool if self.fits(r)]
+            for r in self.pool:
+                r["_overlap"] = max(r["_overlap"], _alike(row["_set"], r["_set"]))
+        return out
+
+    def finish(self) -> list[tuple]:
+        return self.take(-math.inf)
+
+
+def _alike(a: set, b: set) -> float:
+    either = len(a | b)
+    return len(a & b) / either if either else 0.0
 
 
 def structured_order(chosen: DataFrame) -> DataFrame:
