@@ -106,8 +106,8 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
 
 
 def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """GR7: communities by synchronous label moves of greatest weight, half of the nodes a round so that none swap for ever:
-    (node, component). Every round is two joins over all edges; a node's neighbours never gather in one task."""
+    """In place of GR7 (Louvain, see README): communities by synchronous label moves of greatest weight, half of the nodes a
+    round so that none swap for ever: (node, component). After ``rounds`` labels are returned as they are, settled or not. Every round is two joins over all edges; a node's neighbours never gather in one task."""
     both = edges.where("src <> dst").select("src", "dst", "weight")
     both = _written(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
     labels = _written(both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")))

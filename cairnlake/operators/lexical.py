@@ -1,4 +1,4 @@
-"""Lexical index and BM25 (LX1-LX17). Postings are rows (scope, chunk, term, tf); every query is a row of its own."""
+"""Lexical index and BM25 (LX1-LX9, LX11-LX17). Postings are rows (scope, chunk, term, tf); every query is a row of its own."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Rank fusion, boosts, quotas, selection (RK1-RK37). Candidates are rows (query_id, chunk_id, ...); one row a hit."""
+"""Rank fusion, boosts, quotas, selection (RK1-RK33, RK35-RK37). Candidates are rows (query_id, chunk_id, ...); one row a hit."""
 
 from __future__ import annotations
 

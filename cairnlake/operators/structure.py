@@ -1,4 +1,4 @@
-"""Chunking and document structure, history and grounding in text (CH1-CH22, RP2-RP4, GD1-GD11, DD8)."""
+"""Chunking and document structure, history and grounding in text (CH1-CH7, CH9-CH22, RP2-RP4, GD1-GD11, DD8)."""
 
 from __future__ import annotations
 
