@@ -1,22 +1,28 @@
 """Token counts (operator 3): overlap resynchronisation for huge documents.
 
-A document over ``CHUNK_CHARS`` is cut into overlapping chunks that any task may encode. Two encodings of a text
-agree from a point on if no token can cross that point: between characters a and b whose pair "ab" is inside no
-piece of the vocabulary, byte-pair merges never join the two sides (``Joints``). Such a point is a proven common
-boundary of both chunks; tokens are counted up to it in the left chunk and after it in the right one. If an
-overlap has no such point, alignment fails and the overlap doubles, up to the whole rest of the document.
-Chunks begin ``LEAD`` characters before their boundary, so the encoder's start-of-text space falls in what is cut;
-the encoder's own offsets place every token, and a task fails loudly if a token crosses a boundary.
-
-Works with the sentencepiece BPE models with identity normalisation and the JSON files of tokenizers; the latter
-are encoded whole (their normalisers may join characters across any point).
+A document over ``CHUNK_CHARS`` is cut into chunks; each is encoded together with the first ``OVERLAP`` characters of
+the next one, by whatever task it is dealt to, and the encoder's offsets place its tokens. In the overlap of two
+chunks the two encodings are compared: a point where both have a token boundary, and which is proven stable, is where
+they are spliced. A chunk's tokens count from its splice on the left to its splice on the right. If an overlap has no
+such point, alignment fails; the document is then spliced anew chunk by chunk, each overlap doubled until it aligns, at
+worst up to the text's end (``spliced``).
+
+A point is proven stable if no encoding of any text around it can have a token across it, so what lies on either side
+changes nothing on the other:
+* sentencepiece BPE models with identity normalisation: the two characters at the point stand side by side in no
+  piece of the vocabulary, so merges never join them;
+* JSON files of tokenizers whose steps are among ``PROVEN`` and whose added tokens hold no white space: a space
+  follows a character that is none; words begin there whatever stands around them.
+JSON files with other steps are encoded whole.
 
 Cases: a null text counts as empty (0 bytes, 0 tokens); repeated rows give repeated results (rows are numbered
-before chunks are dealt); an empty table gives an empty result.
+before chunks are dealt); of several points the first is taken; an empty table gives an empty result; only the named
+columns are read, so others may have any name.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,28 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import bounded_batches, column
+from cairnlake.llm.common import bounded_batches, column, written
 
-#: Characters of a chunk, of the first overlap, and of the lead before a boundary; tokens that make a text too long.
-CHUNK_CHARS, OVERLAP, LEAD, LIMIT = 65_536, 256, 16, 4096
+#: Characters of a chunk and of the first overlap; tokens that make a text too long.
+CHUNK_CHARS, OVERLAP, LIMIT = 65_536, 256, 4096
 SPACE_MARK = "▁"
-
-
-@lru_cache(maxsize=4)
-def _sentencepiece(path: str):
-    import sentencepiece
-
-    return sentencepiece.SentencePieceProcessor(model_file=path)
-
-
-@lru_cache(maxsize=4)
-def _tokenizers(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+#: Steps of JSON files after which the proof holds: normalisers that join nothing across a space, and splitters whose words begin at it.
+PROVEN = {"NFC", "Lowercase", "ByteLevel"}
+#: Fixed patterns of such steps: white space made one space; words without white space.
+SPACE_PATTERN, WORD_PATTERN = r"\s+", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Joints:
@@ -65,113 +58,216 @@ class Joints:
         return self.keys[at] != keys
 
 
+class PieceEncoder:
+    """A sentencepiece model: token numbers, tokens' offsets, proven points."""
+
+    splices = True
+
+    def __init__(self, path: str) -> None:
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        kinds = (self.model.is_control, self.model.is_byte, self.model.is_unknown)
+        self.joints = Joints([self.model.id_to_piece(i) for i in range(self.model.get_piece_size()) if not any(k(i) for k in kinds)])
+
+    def counts(self, texts: list[str]) -> list[int]:
+        return [len(x) for x in self.model.encode(texts, num_threads=1)]
+
+    def offsets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """First and last (exclusive) character of each token."""
+        pieces = self.model.encode(text, return_type="proto").pieces
+        data = np.frombuffer(text.encode(), np.uint8)
+        starts = np.flatnonzero((data & 0xC0) != 0x80)  # the encoder's offsets are of bytes
+        return tuple(np.searchsorted(starts, np.array([at(p) for p in pieces], np.int64)) for at in (lambda p: p.begin, lambda p: p.end))
+
+    def stable(self, text: str) -> np.ndarray:
+        """For each i from 1, whether the point before character i is proven."""
+        return self.joints.free(text)
+
+
+class WordEncoder:
+    """A JSON file of tokenizers."""
+
+    def __init__(self, path: str) -> None:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.splices = proven(json.load(f))
+
+    def counts(self, texts: list[str]) -> list[int]:
+        return [len(e.ids) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def offsets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        found = np.array(self.model.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
+        return found[:, 0], found[:, 1]
+
+    def stable(self, text: str) -> np.ndarray:
+        space = np.array([c == " " for c in text])
+        white = np.array([c.isspace() or "\x1c" <= c <= "\x1f" for c in text])
+        return space[1:] & ~white[:-1]
+
+
+def proven(file: dict) -> bool:
+    """Whether the steps of a JSON file are among those after which a space that follows no white space begins a word."""
+
+    def ok(step: dict | None) -> bool:
+        if step is None or step["type"] in PROVEN:
+            return True
+        pattern = step.get("pattern", {}).get("Regex")
+        return (
+            (step["type"] == "Sequence" and all(map(ok, step.get("normalizers", []) + step.get("pretokenizers", []))))
+            or (step["type"] == "Replace" and pattern == SPACE_PATTERN and step["content"] == " ")
+            or (step["type"] == "Split" and pattern == WORD_PATTERN and step["behavior"] == "Removed" and step["invert"])
+        )
+
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"])) for t in file["added_tokens"])
+    return plain and file["pre_tokenizer"] is not None and ok(file["normalizer"]) and ok(file["pre_tokenizer"])
+
+
 @lru_cache(maxsize=4)
-def joints(path: str) -> Joints:
-    sp = _sentencepiece(path)
-    return Joints([sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not sp.is_control(i) and not sp.is_byte(i) and not sp.is_unknown(i)])
+def encoder(path: str) -> PieceEncoder | WordEncoder:
+    return PieceEncoder(path) if path.endswith(".model") else WordEncoder(path)
+
+
+class Encoding:
+    """A stretch of text from character ``start`` on, encoded with offsets."""
+
+    def __init__(self, e: PieceEncoder | WordEncoder, text: str, start: int) -> None:
+        self.begin, self.end = (x + start for x in e.offsets(text))
+        self.reach = np.concatenate(([start], np.maximum.accumulate(self.end)))
+
+    def before(self, points: np.ndarray) -> np.ndarray:
+        """Tokens that begin before each point."""
+        return np.searchsorted(self.begin, points)
 
+    def boundaries(self, points: np.ndarray) -> np.ndarray:
+        """Those of the points that no token crosses."""
+        return points[self.reach[self.before(points)] <= points]
 
-def cuts(text: str, chunk: int, overlap: int, free) -> list[int]:
-    """Proven boundaries, each the first at or after a multiple of ``chunk``; overlaps widen until one is found."""
-    out, at = [], chunk
-    while at < len(text):
-        width, found = overlap, None
+
+def stable_points(e: PieceEncoder | WordEncoder, text: str, lo: int, hi: int) -> np.ndarray:
+    """Proven points of a text after character ``lo`` and before ``hi``."""
+    return lo + 1 + np.flatnonzero(e.stable(text[lo:hi])) if hi - lo > 1 else np.zeros(0, np.int64)
+
+
+def spliced(e: PieceEncoder | WordEncoder, text: str, chunk: int, overlap: int) -> int:
+    """Tokens of a text from overlapping chunks, one after the other; an overlap doubles until it aligns."""
+    total, start, skip = 0, 0, 0  # skip: tokens of this chunk that the one before has
+    while True:
+        width = overlap
         while True:
-            end = min(len(text), at + width)
-            points = np.flatnonzero(free(text[at - 1 : end]))
-            if len(points):
-                found = at + int(points[0])
+            left = Encoding(e, text[start : start + chunk + width], start)
+            end = start + chunk + width
+            if end >= len(text):
+                return total + len(left.begin) - skip
+            right = Encoding(e, text[start + chunk : end + chunk], start + chunk)
+            points = stable_points(e, text, start + chunk, end)
+            both = np.intersect1d(left.boundaries(points), right.boundaries(points))
+            if len(both):
                 break
-            if end == len(text):
-                break  # the rest is one chunk
             width *= 2
-        if found is None:
-            break
-        out.append(found)
-        at = max(found + 1, (found // chunk + 1) * chunk)
-    return out
+        total += int(left.before(both[:1])[0]) - skip
+        # After a wide overlap the next chunk is the last one that begins before the splice.
+        following = start + chunk + (int(both[0]) - 1 - start - chunk) // chunk * chunk
+        if following != start + chunk:
+            right = Encoding(e, text[following : following + chunk + overlap], following)
+        skip, start = int(right.before(both[:1])[0]), following
+
+
+def _deal(chunk: int, overlap: int):
+    """Chunks of each text with the overlap after them: row, nth, last, body."""
+    out = pa.schema([("row", pa.int64()), ("nth", pa.int32()), ("last", pa.bool_()), ("body", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in zip(column(batch, "row"), column(batch, "body"), strict=True):
+                for nth, lo in enumerate(range(0, len(text), chunk)):
+                    last = lo + chunk + overlap >= len(text)
+                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((row, nth, last, text[lo : lo + chunk + overlap]), out, strict=True)], schema=out)
+                    if last:
+                        break
+
+    return run
 
 
-def chunked(text: str, chunk: int, overlap: int, lead: int, free) -> list[tuple[str, int, int]]:
-    """Chunks of a text: the characters to encode, and which of them (from, to) are the chunk's own."""
-    points = [0, *cuts(text, chunk, overlap, free), len(text)]
-    out = []
-    for lo, hi in zip(points[:-1], points[1:], strict=True):
-        start, end = max(0, lo - lead), min(len(text), hi + lead)
-        out.append((text[start:end], lo - start, hi - start))
-    return out
+_MARKS = "row long, nth int, last boolean, n long, head array<int>, head_n array<int>, tail array<int>, tail_n array<int>"
 
 
-def _splitter(path: str, chunk: int, overlap: int, lead: int):
-    out = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("body", pa.string()), ("lo", pa.int32()), ("hi", pa.int32())])
-    pieces = path.endswith(".model")
+def _marks(path: str, chunk: int, overlap: int):
+    """Of each chunk its tokens, and in the overlaps at either end the proven boundaries and the tokens before each. Places count from the overlap's begin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path)
         for batch in batches:
-            rows = []
-            for row, doc_id, n_bytes, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if not pieces or len(text) <= chunk:
-                    rows.append((row, doc_id, n_bytes, text, 0, len(text)))
-                    continue
-                for k, part in enumerate(chunked(text, chunk, overlap, lead, joints(path).free)):
-                    rows.append((row, doc_id, 0 if k else n_bytes, *part))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+            found = []
+            for text in column(batch, "body"):
+                own, row = Encoding(e, text, 0), []
+                row.append(len(own.begin))
+                for lo in (0, chunk):
+                    points = own.boundaries(stable_points(e, text, lo, min(len(text), lo + overlap)))
+                    row += [(points - lo).tolist(), own.before(points).tolist()]
+                found.append(row)
+            kinds = (pa.int64(), *[pa.list_(pa.int32())] * 4)
+            cols = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)] if found else [pa.array([], k) for k in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *cols], names=["row", "nth", "last", "n", "head", "head_n", "tail", "tail_n"])
 
     return run
 
 
-def count_own(sp, body: str, lo: int, hi: int) -> int:
-    """Tokens of body[lo:hi], whose ends are proven boundaries. One that crosses them is an error, never a wrong count."""
-    lo, hi = len(body[:lo].encode()), len(body[:hi].encode())  # the encoder's offsets are of bytes
-    n = 0
-    for piece in sp.encode(body, return_type="proto").pieces:
-        if piece.begin < lo < piece.end or piece.begin < hi < piece.end:
-            raise ValueError("a token crosses a boundary that none can cross")
-        n += lo <= piece.begin < hi
-    return n
+def _counter(path: str):
+    """Tokens of whole texts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = encoder(path).counts(column(batch, "body"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(n, pa.int64())], names=["row", "doc_id", "n_bytes", "n_tokens"])
+
+    return run
 
-def _counter(path: str):
-    out = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
+
+def _widening(path: str, chunk: int, overlap: int):
+    """Tokens of texts with a failed alignment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies, lo, hi = (column(batch, c) for c in ("body", "lo", "hi"))
-            whole = [a == 0 and b == len(t) for t, a, b in zip(bodies, lo, hi, strict=True)]
-            n = [0] * len(bodies)
-            at = [i for i, w in enumerate(whole) if w]
-            if path.endswith(".model"):
-                sp = _sentencepiece(path)
-                for i, ids in zip(at, sp.encode([bodies[i] for i in at], num_threads=1), strict=True):
-                    n[i] = len(ids)
-                for i, w in enumerate(whole):
-                    if not w:
-                        n[i] = count_own(sp, bodies[i], lo[i], hi[i])
-            else:
-                for i, e in zip(at, _tokenizers(path).encode_batch_fast([bodies[i] for i in at], add_special_tokens=False), strict=True):
-                    n[i] = len(e.ids)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("row", "doc_id", "n_bytes")), pa.array(n, pa.int64())], schema=out)
+            n = [spliced(encoder(path), t, chunk, overlap) for t in column(batch, "body")]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("row")), pa.array(n, pa.int64())], names=["row", "wide"])
 
     return run
 
 
-def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP, lead: int = LEAD) -> DataFrame:
+def _of_huge(huge: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
+    """row, doc_id, n_bytes, n_tokens of texts of more than one chunk."""
+    chunks = huge.select("row", "body").mapInArrow(_deal(chunk, overlap), "row long, nth int, last boolean, body string").repartition("row", "nth")
+    marks = written(chunks.mapInArrow(_marks(path, chunk, overlap), _MARKS), "token-marks")
+    left = marks.where("not last").select("row", (F.col("nth") + 1).alias("nth"), "tail", "tail_n")
+    pairs = left.join(marks.select("row", "nth", "head", "head_n"), ["row", "nth"])
+    pairs = pairs.withColumn("at", F.array_min(F.array_intersect("tail", "head")))
+    n_at = lambda places, n: F.element_at(n, F.array_position(places, F.col("at")).cast("int"))
+    own = F.when(F.col("at").isNotNull(), n_at(F.col("tail"), F.col("tail_n")) - n_at(F.col("head"), F.col("head_n"))).cast("long")
+    totals = pairs.groupBy("row").agg(F.sum(own).alias("own"), F.count_if(F.col("at").isNull()).alias("failed"))
+    ends = marks.where("last").select("row", "n").join(totals, "row", "left")
+    wide = huge.select("row", "body").join(totals.where("failed > 0"), "row", "left_semi").mapInArrow(_widening(path, chunk, overlap), "row long, wide long")
+    n_tokens = F.when(F.coalesce("failed", F.lit(0)) > 0, F.col("wide")).otherwise(F.col("n") + F.coalesce("own", F.lit(0)))
+    return huge.select("row", "doc_id", "n_bytes").join(ends, "row").join(wide, "row", "left").select("row", "doc_id", "n_bytes", n_tokens.alias("n_tokens"))
+
+
+def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP) -> DataFrame:
     """A row for each row: doc_id, n_bytes, n_tokens, over_limit. Texts of one chunk are counted where they are read;
-    only chunks of longer ones are dealt out and their counts summed."""
+    longer ones are written apart, and their chunks dealt out."""
     bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("body"))
-    small = rows.where(F.length("body") <= chunk).select("row", "doc_id", "n_bytes", "body", F.lit(0).alias("lo"), F.length("body").alias("hi"))
     counted = "row long, doc_id long, n_bytes long, n_tokens long"
-    out = small.mapInArrow(_counter(vocabulary), counted)
-    if vocabulary.endswith(".model"):
-        large = rows.where(F.length("body") > chunk).mapInArrow(_splitter(vocabulary, chunk, overlap, lead), "row long, doc_id long, n_bytes long, body string, lo int, hi int")
-        parts = large.repartition("row", "lo", "hi", F.xxhash64("body")).mapInArrow(_counter(vocabulary), counted)
-        out = out.unionByName(parts.groupBy("row", "doc_id").agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens")))
+    if encoder(vocabulary).splices:
+        small = rows.where(F.length("body") <= chunk).mapInArrow(_counter(vocabulary), counted)
+        out = small.unionByName(_of_huge(written(rows.where(F.length("body") > chunk), "huge-texts"), vocabulary, chunk, overlap))
     else:
-        large = rows.where(F.length("body") > chunk).select("row", "doc_id", "n_bytes", "body", F.lit(0).alias("lo"), F.length("body").alias("hi"))
-        out = out.unionByName(large.mapInArrow(_counter(vocabulary), counted))
+        out = rows.mapInArrow(_counter(vocabulary), counted)
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
