@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +34,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and nothing reads any more."""
+    for table in tables:
+        for folder in {os.path.dirname(p) for p in table.inputFiles()}:
+            fs, path = pafs.FileSystem.from_uri(folder)
+            fs.delete_dir(path)
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small whatever the length of texts."""
+    """Keep Arrow batches small whatever the length of texts. The setting stays: it bounds memory and changes no result."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 

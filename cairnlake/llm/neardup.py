@@ -1,17 +1,26 @@
-"""Near-dedup of the pipeline: sets of ``WORDS``-word shingles with a Jaccard similarity of ``SAME`` (4/5) or more are linked.
+"""SimHash near-dedup of the pipeline (operator 4 with its own setting): sets of ``WORDS``-word shingles with a Jaccard
+similarity of ``SAME`` (4/5) or more are linked.
 
-The join is exact (shingles are their 64-bit hashes). Two sets that similar share one of the first hashes of each in any
+Golay keys (``simhash.links``) propose pairs of sets whose fingerprints differ in at most three bits. Sets at 4/5
+often differ in more, ten in the mean, and no keys of a 64-bit fingerprint hold all of these; so what the fingerprints
+miss is proposed by an exact join, and every proposal is held against the whole texts.
+
+The exact join (shingles are their 64-bit hashes): two sets that similar share one of the first hashes of each in any
 one order, of which a set of n has n - ceil(4 n / 5) + 1 (prefix filter), so keys are those; the order is by hash, but
-what is common in a sample comes last, which saves work and changes no result. Sets of equal keys meet, and a pair stays
-a candidate if sizes allow 4/5, and parity bitmaps too: differing bits never outnumber differing shingles. Candidates
-are held against each other by their whole sets.
+what is common in a sample comes last, which saves work and changes no result. Sets of equal keys meet at a place, once
+for however many keys the same sets share, and a pair stays a candidate if sizes allow 4/5, and parity bitmaps too:
+differing bits never outnumber differing shingles.
+
+A group of near copies is never turned into all pairs: first the candidates of a spanning forest of each place are
+verified; then, where one of those failed, all other candidates whose ends these links have not joined yet. A key of
+more than ``GROUP`` sets is dealt as pairs of blocks of that size. Equal sets are one node throughout, named by a 64-bit
+digest; hashes and digests are taken for what they stand for (an error needs a collision of 64 bits).
 
-A group of near copies is never turned into all pairs: first the candidates of a spanning forest of each key are
-verified; then, where one of those failed, all other candidates whose ends these links have not joined yet. A key of more than ``GROUP`` sets is
-dealt as pairs of blocks of that size. Equal sets are one node throughout (named by a 64-bit digest).
+Tables of the way are deleted once the components are written.
 
 Cases: a null text counts as empty; fewer than ``WORDS`` words: one shingle of all of them; no words: equal to each other only;
-a null id names a component only if all its ids are null; an empty table gives an empty result.
+a null id names a component only if all its ids are null; rows that share the kept id are all kept; an empty table gives an
+empty result; very long texts are read whole; columns of any other name are kept and not read.
 """
 
 from __future__ import annotations
@@ -23,8 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import bounded_batches, column, written
-from cairnlake.llm.simhash import components
+from cairnlake.llm.common import bounded_batches, column, forget, written
+from cairnlake.llm.simhash import components, majority
+from cairnlake.llm.simhash import links as golay_links
 
 #: Words of a shingle, seed of hashes, similarity of a link as a fraction, sets of a key that meet at once, bits of a bitmap.
 WORDS, SEED, SAME, GROUP, BITMAP = 5, 42, (4, 5), 1024, 1024
@@ -78,25 +88,30 @@ def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate((hashes[~late], hashes[late]))[: n - -(-n * SAME[0] // SAME[1]) + 1]
 
 
-def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row: doc_id, node (digest of the set), bits, keys (its prefix), hashes."""
-    bounded_batches(docs.sparkSession)
+def _bodies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, body, and place of the body: its hash."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows))  # at most 0.5 MB
+    return rows.withColumn("text_at", F.xxhash64("body"))
+
+
+def shingle_sets(rows: DataFrame) -> DataFrame:
+    """A row for each of (doc_id, body, text_at): doc_id, text_at, node (digest of the set), n (its size), fp (its SimHash), bits, keys (its prefix)."""
+    bounded_batches(rows.sparkSession)
+    common = rows.sparkSession.sparkContext.broadcast(common_shingles(rows))  # at most 0.5 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            ids, texts = batch.column(0), column(batch, "body")
+            texts = column(batch, "body")
             for lo in range(0, len(texts), 128):
                 sets = [shingles(t) for t in texts[lo : lo + 128]]
-                nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-                bits = pa.array(map(bitmap, sets), pa.binary())
-                keys = _lists([prefix(s, common.value) for s in sets])
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, 128), pa.array(nodes), bits, keys, _lists(sets)], names=["doc_id", "node", "bits", "keys", "hashes"])
+                nodes, fps = (np.array(x, np.uint64).view(np.int64) for x in ([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], [majority(s.view(np.uint64)) for s in sets]))
+                cols = [pa.array(nodes), pa.array(list(map(len, sets)), pa.int64()), pa.array(fps), pa.array(map(bitmap, sets), pa.binary()), _lists([prefix(s, common.value) for s in sets])]
+                own = (batch.column(batch.schema.get_field_index(c)).slice(lo, 128) for c in ("doc_id", "text_at"))
+                yield pa.RecordBatch.from_arrays([*own, *cols], names=["doc_id", "text_at", "node", "n", "fp", "bits", "keys"])
 
-    return rows.mapInArrow(run, "doc_id long, node long, bits binary, keys array<long>, hashes array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_at long, node long, n long, fp long, bits binary, keys array<long>")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -104,13 +119,13 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays)))
 
 
-def _only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, hashes) of some nodes. A filter of FILTER bits (8 MB) drops nearly all others before sets are shuffled."""
-    at = F.pmod(F.xxhash64("node"), F.lit(FILTER))
-    words = nodes.select(at.alias("at")).groupBy(F.expr("at >> 6").alias("word")).agg(F.expr("bit_or(1L << cast(at & 63 as int))").alias("bits")).toArrow()
+def _wanted_texts(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """(text_at, body) of some texts. A filter of FILTER bits (8 MB) drops nearly all others before texts are shuffled."""
+    at = F.pmod(F.xxhash64("text_at"), F.lit(FILTER))
+    words = ends.select(at.alias("at")).groupBy(F.expr("at >> 6").alias("word")).agg(F.expr("bit_or(1L << cast(at & 63 as int))").alias("bits")).toArrow()
     field = np.zeros(FILTER // 64, np.int64)
     field[words.column(0).to_numpy()] = words.column(1).to_numpy()
-    handle = sets.sparkSession.sparkContext.broadcast(field)
+    handle = rows.sparkSession.sparkContext.broadcast(field)
 
     @F.pandas_udf("boolean")
     def wanted(place):
@@ -119,7 +134,19 @@ def _only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
         x = place.to_numpy()
         return pd.Series((handle.value[x >> 6] >> (x & 63)) & 1 == 1)
 
-    return sets.select("node", "hashes").where(wanted(at)).join(nodes, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    found = rows.select("text_at", "body").where(wanted(at)).join(ends, "text_at", "left_semi")
+    return found.groupBy("text_at").agg(F.first("body").alias("body"))
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) whose texts x and y have sets at 4/5 or more."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(column(batch, "x"), column(batch, "y"), strict=True):
+            x, y = shingles(x), shingles(y)
+            keep.append(sum(SAME) * len(np.intersect1d(x, y, assume_unique=True)) >= SAME[0] * (len(x) + len(y)))
+        kept = batch.filter(pa.array(keep, pa.bool_()))
+        yield pa.RecordBatch.from_arrays(kept.columns[:2], names=["a", "b"])
 
 
 def _whole_keys(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
@@ -146,35 +173,39 @@ def _bounds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _meeting(group: int) -> Callable:
-    """(key, node), sorted, to (place, node) of keys of two nodes or more; places of a large key are pairs of its blocks."""
+    """(key, node), sorted, to (place, node) of keys of two nodes or more. A place is named by its nodes; those of a large key are pairs of its blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        def named(nodes: np.ndarray) -> int:
+            return np.uint64(xxhash.xxh64_intdigest(nodes.tobytes(), SEED)).view(np.int64)
+
         for table in _whole_keys(batches, 65536):
             keys, nodes = (table.column(c).to_numpy() for c in (0, 1))
             first = np.append(True, (np.diff(keys) != 0) | (np.diff(nodes) != 0))  # equal sets meet once
             keys, nodes = keys[first], nodes[first]
             starts, sizes = _bounds(keys)
-            small = np.repeat((sizes > 1) & (sizes <= group), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[small]), pa.array(nodes[small])], names=["place", "node"])
+            some = (sizes > 1) & (sizes <= group)
+            places = [named(nodes[s : s + n]) for s, n in zip(starts[some].tolist(), sizes[some].tolist(), strict=True)]
+            rows = np.unique(np.stack((np.repeat(np.array(places, np.int64), sizes[some]), nodes[np.repeat(some, sizes)]), 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy())], names=["place", "node"])
             for s, n in zip(starts[sizes > group].tolist(), sizes[sizes > group].tolist(), strict=True):
                 parts = [nodes[i : min(i + group, s + n)] for i in range(s, s + n, group)]
                 for i in range(len(parts)):
                     for j in range(i):
                         both = np.concatenate((parts[i], parts[j]))
-                        place = np.uint64(xxhash.xxh64_intdigest(f"{keys[s]} {i} {j}", SEED)).view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both), place)), pa.array(both)], names=["place", "node"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both), named(both))), pa.array(both)], names=["place", "node"])
 
     return run
 
 
 def _candidates(every: bool) -> Callable:
-    """(place, node, n, bits, label), sorted, to candidates (a, b) of different labels: all, or a spanning forest of each place."""
+    """(place, node, n, bits, label, text_at), sorted, to candidates (a, b, their texts' places) of different labels: all, or a spanning forest of each place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_keys(batches, 16384):
-            places, nodes, sizes, labels = (table.column(c).to_numpy() for c in (0, 1, 2, 4))
+            places, nodes, sizes, labels, texts = (table.column(c).to_numpy() for c in (0, 1, 2, 4, 5))
             bits = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint64).reshape(len(nodes), -1)
             found = []
 
@@ -202,48 +233,70 @@ def _candidates(every: bool) -> Callable:
                     if not every:
                         queue.extend(rest[ok].tolist())
                         rest = rest[~ok]
-            i, j = (nodes[np.concatenate(x)] for x in zip(*found, strict=True))
-            pairs = np.unique(np.stack((np.minimum(i, j), np.maximum(i, j)), 1), axis=0)
+            i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+            i, j = np.where(nodes[i] < nodes[j], i, j), np.where(nodes[i] < nodes[j], j, i)
+            pairs = np.unique(np.stack((nodes[i], nodes[j], texts[i], texts[j]), 1), axis=0)
             for lo in range(0, len(pairs), 65536):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[lo : lo + 65536, c].copy()) for c in (0, 1)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[lo : lo + 65536, c].copy()) for c in range(4)], names=["a", "b", "a_at", "b_at"])
 
     return run
 
 
-def links(sets: DataFrame, group: int = GROUP) -> DataFrame:
-    """Edges (a, b) between nodes of ``sets`` (node, bits, keys, hashes) whose components are those of all pairs at 4/5 or more."""
+def _golay_pairs(marks: DataFrame) -> DataFrame:
+    """Candidates (a, b, a_at, b_at) from fingerprints: a forest of those within three bits, and the nodes of equal ones."""
+    first = marks.groupBy("fp").agg(F.min(F.struct("node", "n", "text_at")).alias("first")).select("fp", "first.*")
+    at = lambda end: first.select(F.col("fp").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ("node", "n", "text_at")))
+    near = golay_links(first.select("fp")).join(at("a"), "a").join(at("b"), "b").drop("a", "b")
+    equal = marks.select("fp", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "text_at"))).join(at("a"), F.col("fp") == F.col("a")).where("a_node <> b_node")
+    both = near.unionByName(equal.select(near.columns)).where(SAME[1] * F.least("a_n", "b_n") >= SAME[0] * F.greatest("a_n", "b_n"))
+    ends = [F.struct(F.col(f"{e}_node").alias("node"), F.col(f"{e}_text_at").alias("at")) for e in "ab"]
+    return both.select(F.least(*ends).alias("x"), F.greatest(*ends).alias("y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.at").alias("a_at"), F.col("y.at").alias("b_at"))
+
+
+def links(sets: DataFrame, rows: DataFrame, group: int = GROUP) -> DataFrame:
+    """Edges (a, b) between nodes of ``sets`` (as of ``shingle_sets``, of ``rows``) whose components are those of all pairs at 4/5 or more."""
+    marks = written(sets.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "fp", "bits")), F.min("text_at").alias("text_at")), "marks")
     keyed = sets.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
-    meeting = written(keyed.mapInArrow(_meeting(group), "place long, node long"), "meeting")
-    marks = written(sets.groupBy("node").agg(F.first(F.size("hashes").cast("long")).alias("n"), F.first("bits").alias("bits")), "marks")
-
-    def verified(meeting: DataFrame, labelled: DataFrame, every: bool, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        placed = meeting.join(labelled, "node").select("place", "node", "n", "bits", "label").repartition("place").sortWithinPartitions("place")
-        pairs = placed.mapInArrow(_candidates(every), "a long, b long").distinct()
-        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = written(_only(sets, ends), "wanted")
-        left, right = wanted.select(F.col("node").alias("a"), F.col("hashes").alias("x")), wanted.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-        both = sum(SAME) * F.size(F.array_intersect("x", "y")) >= SAME[0] * (F.size("x") + F.size("y"))
-        return pairs, written(pairs.join(left, "a").join(right, "b").where(both).select("a", "b"), "near-links")
-
-    pairs, first = verified(meeting, marks.withColumn("label", F.col("node")), False, None)
+    meeting = written(keyed.mapInArrow(_meeting(group), "place long, node long").distinct(), "meeting")
+
+    def candidates(meeting: DataFrame, labelled: DataFrame, every: bool) -> DataFrame:
+        placed = meeting.join(labelled, "node").select("place", "node", "n", "bits", "label", "text_at").repartition("place").sortWithinPartitions("place")
+        return placed.mapInArrow(_candidates(every), "a long, b long, a_at long, b_at long")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a_at").alias("text_at")).unionByName(pairs.select(F.col("b_at").alias("text_at"))).distinct()
+        texts = _wanted_texts(rows, ends)
+        left, right = texts.select(F.col("text_at").alias("a_at"), F.col("body").alias("x")), texts.select(F.col("text_at").alias("b_at"), F.col("body").alias("y"))
+        both = pairs.join(left, "a_at").join(right, "b_at").select("a", "b", "x", "y")
+        return written(both.mapInArrow(_similar, "a long, b long"), "near-links")
+
+    forest = candidates(meeting, marks.withColumn("label", F.col("node")), False)
+    pairs = written(forest.unionByName(_golay_pairs(marks)).distinct(), "candidates")
+    first = verified(pairs)
     roots = components(first).withColumnRenamed("root", "label")
     labelled = written(marks.join(roots, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
     # Only where a candidate of a forest failed can others be left: every such place holds the end a of the failed pair.
     failed = pairs.join(first, ["a", "b"], "left_anti")
     ends = failed.select(F.col("a").alias("node")).distinct()
     places = meeting.join(ends, "node", "left_semi").select("place").distinct()
-    _, second = verified(meeting.join(places, "place", "left_semi"), labelled, True, pairs)
+    others = candidates(meeting.join(places, "place", "left_semi"), labelled, True).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    others = written(others.select("a", "b", "a_at", "b_at"), "candidates")
+    second = verified(others)
+    forget(marks, meeting, pairs, labelled, others)
     return first.unionByName(second)
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """A row for each row: doc_id, component_id (least id of its component)."""
-    rows = written(shingle_sets(docs, id_col, text_col), "shingles")
-    roots = components(links(rows, group))
-    rooted = rows.groupBy("node").agg(F.min("doc_id").alias("least_id")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = _bodies(docs, id_col, text_col)
+    sets = written(shingle_sets(rows), "shingles")
+    found = links(sets, rows, group)
+    roots = components(found)
+    rooted = sets.groupBy("node").agg(F.min("doc_id").alias("least_id")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return rows.select("doc_id", "node").join(rooted.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    out = written(sets.select("doc_id", "node").join(rooted.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id"), "near-components")
+    forget(sets, found, roots)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:

@@ -11,14 +11,16 @@ Three differing bits over three segments leave a segment without errors, or one
 * one error in each segment: then one half of every segment has none: eight keys of one half of each.
 Rows of equal keys meet, differing bits are counted, and what links is kept. A group of fingerprints is never
 turned into all pairs: a search from one unvisited fingerprint to the next leaves the edges of a spanning forest,
-which has the same components. A key of more than ``GROUP`` fingerprints is dealt as pairs of blocks of that size,
-which hold every pair of fingerprints between them.
+which has the same components. A key of more than about ``GROUP`` fingerprints is hot: before anything is shuffled it
+is split into keys of parts of the bits that it leaves open, of which one holds no difference. A key that still has
+more than ``GROUP`` is dealt as pairs of blocks of that size, which hold every pair of fingerprints between them.
 
 Components come from alternating large and small stars over the distinct fingerprints, each round written to the
 shared folder. Equal fingerprints are one node throughout, whatever the number of documents.
 
 Cases: a null text counts as empty; no words: fingerprint zero, linked like any other; a null id never names a
-component unless all its ids are null; repeated rows give repeated results; an empty table gives an empty result.
+component unless all its ids are null; repeated rows give repeated results; an empty table gives an empty result; very long texts
+are read whole; only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -32,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import bounded_batches, column, written
+from cairnlake.llm.common import bounded_batches, column, forget, written
 
 #: Words of a shingle, seed of its hash, differing bits of a link, fingerprints of a key that one task compares.
 WORDS, SEED, BITS, GROUP = 3, 42, 3, 4096
+#: Fingerprints of which one is sampled for hot keys; hot keys sent to tasks at most (0.5 MB).
+SAMPLE, HOT = 16, 1 << 16
 #: First bit and width of the segments.
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 _GENERATOR = 0b101011100011
@@ -55,11 +59,16 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     last = min(words, len(parts)) - 1
     a, b, digest = starts[:n].tolist(), ends[last : last + n].tolist(), xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[i:j], SEED) for i, j in zip(a, b, strict=True)), np.uint64, n)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the 64-bit hashes set."""
     ones = np.zeros(64, np.int64)
-    for lo in range(0, n, 16384):
+    for lo in range(0, len(hashes), 16384):
         bits = np.unpackbits(hashes[lo : lo + 16384].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -122,12 +131,52 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(who), np.concatenate(keys)
 
 
-def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        fps = batch.column(0).to_numpy(zero_copy_only=False)
-        who, keys = keys_of(fps)
-        for lo in range(0, len(who), 65536):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + 65536]), pa.array(fps[who[lo : lo + 65536]])], names=["key", "fp"])
+@lru_cache(maxsize=1)
+def free_bits() -> np.ndarray:
+    """Of each kind of key (its bits from 40 on), masks of four parts of the bits that it leaves open."""
+    whole = [sum(1 << (s + b) for b in range(w)) for s, w in SEGMENTS]
+    low = [sum(1 << (s + b) for b in range(w // 2)) for s, w in SEGMENTS]
+    out = np.zeros((16, 4), np.uint64)
+    for kind in [0, 1, 2, *range(8, 16)]:
+        if kind < 8:
+            held = whole[kind]  # of the segment under Golay keys any bit may differ
+        else:
+            choice = tuple(product((0, 1), repeat=3))[kind - 8]
+            held = sum(low[k] if not c else whole[k] & ~low[k] for k, c in enumerate(choice))
+        bits = [b for b in range(64) if not held >> b & 1]
+        for part in range(4):
+            out[kind, part] = sum(1 << b for b in bits[part::4])
+    return out
+
+
+def _with_keys(hot: np.ndarray):
+    """(key, fp) of each fingerprint. Under a hot key, four keys of a part of its open bits each take its place: of two
+    fingerprints that differ in three bits at most, one of the four parts has no difference."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column(0).to_numpy(zero_copy_only=False)
+            who, keys = keys_of(fps)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+                h = hot[at] == keys
+                parts = fps[who[h]].view(np.uint64)[:, None] & free_bits()[keys[h] >> 40]
+                x = keys[h].view(np.uint64)[:, None] * np.uint64(8) + np.arange(4, dtype=np.uint64)
+                for y in (parts, parts >> np.uint64(31)):
+                    x = (x ^ (x >> np.uint64(29)) ^ y) * np.uint64(0x9E3779B97F4A7C15)
+                who, keys = np.concatenate((who[~h], np.repeat(who[h], 4))), np.concatenate((keys[~h], (x ^ (x >> np.uint64(32))).view(np.int64).ravel()))
+            for lo in range(0, len(who), 65536):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + 65536]), pa.array(fps[who[lo : lo + 65536]])], names=["key", "fp"])
+
+    return run
+
+
+def hot_keys(fps: DataFrame, group: int, sample: int = SAMPLE) -> np.ndarray:
+    """Keys of more than about ``group`` fingerprints, the ``HOT`` most frequent of them, by one fingerprint in ``sample``; ascending.
+    Which keys are among them changes how the work is dealt, never a link."""
+    some = fps.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(sample)) == 0)
+    counts = some.mapInArrow(_with_keys(np.zeros(0, np.int64)), "key long, fp long").groupBy("key").count().where(F.col("count") * sample > group)
+    return np.sort(counts.orderBy(F.desc("count"), "key").limit(HOT).select("key").toArrow().column(0).to_numpy())
 
 
 def forest(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -197,9 +246,9 @@ def _linker(group: int):
     return run
 
 
-def links(fps: DataFrame, group: int = GROUP) -> DataFrame:
+def links(fps: DataFrame, group: int = GROUP, sample: int = SAMPLE) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp, distinct) whose components are those of all links."""
-    keyed = fps.select("fp").mapInArrow(_with_keys, "key long, fp long").repartition("key").sortWithinPartitions("key")
+    keyed = fps.select("fp").mapInArrow(_with_keys(hot_keys(fps, group, sample)), "key long, fp long").repartition("key").sortWithinPartitions("key")
     found = written(keyed.mapInArrow(_linker(group), "a long, b long, key long, nth long"), "links")
     edges = found.where("key is null").select("a", "b")
     # Keys of very many fingerprints: each row goes to every pair of blocks that its block is in.
@@ -226,7 +275,9 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        edges = written(small.where("a <> b").distinct(), "edges")
+        following = written(small.where("a <> b").distinct(), "edges")
+        forget(edges)
+        edges = following
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, group: int = GROUP) -> DataFrame:
@@ -240,14 +291,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """The rows of ``docs`` that carry their component's least id, with all their columns."""
-    kept = near_dedup(docs, id_col, text_col, words).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = kept.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_id"))
-    return rows.join(ids, "_id", "left_semi").select("row.*")
-
-
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     """Query: every whole text of ``documents``."""
     return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))

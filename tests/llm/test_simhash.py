@@ -83,8 +83,49 @@ def test_components_as_brute_force(spark):
     signed = [int(np.uint64(f).view(np.int64)) for f in fps]
     want = brute_components(signed, fps)
     for group in (s.GROUP, 8):
-        roots = {r.node: r.root for r in s.components(s.links(nodes, group)).collect()}
-        assert [roots.get(x, x) for x in signed] == want, group
+        for sample in (s.SAMPLE, 1):
+            roots = {r.node: r.root for r in s.components(s.links(nodes, group, sample)).collect()}
+            assert [roots.get(x, x) for x in signed] == want, (group, sample)
+
+
+def test_split_hot_keys_lose_no_link(spark):
+    rng = random.Random(12)
+    centre = rng.getrandbits(64)
+    # Many fingerprints that share the first two segments, and others at distances 1 to 4 from them.
+    fps = {centre & ((1 << 46) - 1) | rng.getrandbits(18) << 46 for _ in range(150)}
+    for f in list(fps):
+        for bit in rng.sample(range(23, 64), rng.randint(1, 4)):
+            f ^= 1 << bit
+        fps.add(f)
+    signed = np.array(sorted(fps), np.uint64).view(np.int64)
+    nodes = spark.createDataFrame([(int(x),) for x in signed], "fp long")
+    assert len(s.hot_keys(nodes, 8, 1)) > 0
+    roots = {r.node: r.root for r in s.components(s.links(nodes, 8, 1)).collect()}
+    root = list(range(len(signed)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(signed)):
+        for j in range(i):
+            if bin(int(signed[i]) & 0xFFFFFFFFFFFFFFFF ^ int(signed[j]) & 0xFFFFFFFFFFFFFFFF).count("1") <= 3:
+                root[find(i)] = find(j)
+    want = {}
+    for i in range(len(signed)):
+        want.setdefault(find(i), []).append(int(signed[i]))
+    got = {}
+    for x in signed.tolist():
+        got.setdefault(roots.get(x, x), []).append(x)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_open_bits_of_keys():
+    masks = s.free_bits()
+    for kind in [0, 1, 2, *range(8, 16)]:
+        parts = [int(x) for x in masks[kind]]
+        assert sum(bin(p).count("1") for p in parts) == bin(parts[0] | parts[1] | parts[2] | parts[3]).count("1") in (41, 46, 32, 33)
 
 
 def test_query(spark):
@@ -99,9 +140,6 @@ def test_query(spark):
     fps = [brute_print(t) for _, t, _ in rows]
     want = sorted(((i, f"{f:016x}", c) for (i, _, _), f, c in zip(rows, fps, brute_components([r[0] for r in rows], fps), strict=True)), key=str)
     assert sorted(map(tuple, got), key=str) == want
-    kept = s.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == {w[0] for w in want if w[0] == w[2]}
 
 
 def test_empty_table(spark):
