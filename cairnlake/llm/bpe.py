@@ -179,6 +179,15 @@ def unpacked(data: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
+def planes(ids: np.ndarray) -> list[bytes]:
+    """First bytes of all numbers, second bytes, ...: each kind packs better by itself."""
+    return [np.ascontiguousarray(x).tobytes() for x in ids.astype("<u4").view(np.uint8).reshape(-1, 4).T]
+
+
+def joined(parts: list[bytes]) -> np.ndarray:
+    return np.stack([np.frombuffer(p, np.uint8) for p in parts], 1).reshape(-1).view("<u4")
+
+
 class Codes(dict):
     """word -> its id if it is a token, else the number of tokens and its place among the block's other words."""
 
@@ -204,14 +213,12 @@ class Codes(dict):
 
 
 def _write_block(store: Store, place: str, ids: list[int | None], codes: list[np.ndarray], sent: int) -> str:
-    """Writes a block's file; returns its name. Codes stand as their low and their high 16 bits."""
-    flat = np.concatenate(codes)
+    """Writes a block's file; returns its name."""
     table = pa.table({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(list(map(len, codes)), pa.int64())})
-    low, high = (flat & 0xFFFF).astype("<u2").tobytes(), (flat >> 16).astype("<u2").tobytes()
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
-    content = packed([sink.getvalue().to_pybytes(), low, high, str(sent).encode()])
+    content = packed([sink.getvalue().to_pybytes(), str(sent).encode(), *planes(np.concatenate(codes))])
     name = f"{place}-{hashlib.sha256(content).hexdigest()[:16]}"
     store.write(name, iter([content]))
     return name
@@ -219,10 +226,9 @@ def _write_block(store: Store, place: str, ids: list[int | None], codes: list[np
 
 def _read_block(store: Store, name: str) -> tuple[list[int | None], np.ndarray, np.ndarray, int]:
     """Ids of documents, the number of codes of each, all codes, words that were sent to buckets."""
-    head, low, high, sent = unpacked(bytes(store.read(name)))
+    head, sent, *codes = unpacked(bytes(store.read(name)))
     table = pa.ipc.open_stream(head).read_all()
-    codes = np.frombuffer(low, "<u2").astype(np.int64) | np.frombuffer(high, "<u2").astype(np.int64) << 16
-    return table.column(0).to_pylist(), table.column(1).to_numpy(), codes, int(sent)
+    return table.column(0).to_pylist(), table.column(1).to_numpy(), joined(codes).astype(np.int64), int(sent)
 
 
 def _coder(path: str, pattern: str, folder: str, buckets: int, block_chars: int):
@@ -280,7 +286,11 @@ def _replayer(path: str):
                 if size >= REPLAY_BYTES or hi == len(new):
                     known.update(zip(new[lo:hi], replay.encode(new[lo:hi]), strict=True))
                     lo, size = hi, 0
-            found = [packed([known[w] for w in ws]) for ws in rows]
+            found = []
+            for ws in rows:
+                ids = [known[w] for w in ws]
+                sizes = np.fromiter(map(len, ids), "<u4", len(ids))
+                found.append(packed([*planes(sizes // 4), *planes(np.frombuffer(b"".join(ids), "<u4"))]))
             for w in new:
                 if len(w) > KNOWN_BYTES:
                     del known[w]
@@ -289,8 +299,8 @@ def _replayer(path: str):
     return run
 
 
-def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
-    """Rows in order of block and bucket: each block with the ids of its words."""
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[np.ndarray]]]:
+    """Rows in order of block and bucket: each block with the numbers of ids of its words, and the ids, by bucket in turn."""
     name, held = None, []
     for batch in batches:
         for block, ids in zip(column(batch, "block"), column(batch, "ids"), strict=True):
@@ -298,7 +308,8 @@ def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list
                 if name is not None:
                     yield name, held
                 name, held = block, []
-            held += unpacked(ids)
+            parts = unpacked(ids)
+            held += [joined(parts[:4]), joined(parts[4:])]
     if name is not None:
         yield name, held
 
@@ -312,10 +323,10 @@ def _assembler(path: str, folder: str, digests: bool):
         base = np.arange(len(replay.tokens), dtype="<u4")
         for name, words in _whole_blocks(batches):
             ids, n, codes, sent = _read_block(store, name)
-            if len(words) != sent:
-                raise ValueError(f"block {name}: {len(words)} of {sent} words came back")
-            table = np.concatenate((base, np.frombuffer(b"".join(words), "<u4")))
-            sizes = np.concatenate((np.ones(len(base), np.int64), np.fromiter(map(len, words), np.int64, sent) // 4))
+            sizes = np.concatenate((np.ones(len(base), np.int64), *words[::2]))
+            if len(sizes) != len(base) + sent:
+                raise ValueError(f"block {name}: {len(sizes) - len(base)} of {sent} words came back")
+            table = np.concatenate((base, *words[1::2]))
             starts = np.cumsum(sizes) - sizes
             rows = [[hashlib.sha256(), hashlib.sha256(), 0] if digests else [] for _ in ids]
             stops = np.cumsum(n)
