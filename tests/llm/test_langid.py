@@ -76,3 +76,24 @@ def test_long_texts_are_scored_in_pieces(spark, monkeypatch):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert x.identify(docs, x.fit(docs)).collect() == []
+
+
+def test_long_texts_are_scored_as_one(monkeypatch):
+    rng = random.Random(5)
+    counts = {}
+    for lang, vocab in (("a", "the of and river stone"), ("b", "der die und fluss stein")):
+        c = x.characters(" ".join(rng.choices(vocab.split(), k=300)))
+        keys, n = np.unique(x._pack(c[:-2], c[1:-1], c[2:]), return_counts=True)
+        counts[lang] = (keys, n.astype(float))
+    model = x.Model(counts)
+    texts = [" ".join(rng.choices("the und river der of stein 12 ,".split(), k=k)) for k in (0, 1, 3, 50, 900)] + ["", "!!", "a", "x" * 700]
+    whole = model.entropies(texts)
+    plain = []
+    for c in map(x.characters, texts):
+        one = [model.log_probs(c[i : i + 1], c[i + 1 : i + 2], c[i + 2 : i + 3])[0].astype(float) for i in range(len(c) - 2)]
+        plain.append((-np.sum(one, axis=0) / len(one)).tolist() if one else [0.0, 0.0])
+    assert np.allclose(whole[0], plain, atol=1e-5)
+    for piece in (1, 2, 7, 64):
+        monkeypatch.setattr(x, "PIECE", piece)
+        again = model.entropies(texts)
+        assert np.allclose(again[0], whole[0], atol=1e-9) and (again[1] == whole[1]).all()
