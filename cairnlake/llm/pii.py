@@ -8,12 +8,16 @@ their time follows the text's length also where nothing matches.
 
 Base kinds: email; ip (parts at most 255); card (16 to 19 digits, Luhn); phone (8 to 15 digits).
 Added kinds: iban (mod-97), national (18 characters with the ISO 7064 mod 11-2 check, as of Chinese resident ids),
-mobile (11 digits 1[3-9]..., no digits beside it), secret (long hexadecimal value that a word like token names).
-An added span's score starts at its validator's weight; words near it (``CONTEXT`` characters before it)
-raise or lower the score; spans of ``MIN_SCORE`` and more that overlap no base span are reported.
+mobile (11 digits 1[3-9]..., no digits beside it), secret (a value of 20 to 128 letters, digits and ``_-/+=`` with a digit
+and a letter among them that a word like token names, or that has a known prefix), ssn (nine digits as 3-2-4, of ranges in use).
+An added span's score starts at its validator's weight; words near it (``CONTEXT`` characters before and after it, those of a
+neighbouring match of its kind not counted) raise or lower the score; spans of ``MIN_SCORE`` and more that overlap no base
+span are reported. A base span's score is 1: context never drops one.
 
 Cases: a null text counts as empty and has no spans (``base_sha256`` is that of the empty string); repeated rows
-give repeated results; offsets are code points, ends exclusive.
+give repeated results; offsets are code points, ends exclusive; spans of one kind never overlap, of two added kinds at
+the same place both are told; a null id is kept; an empty table gives an empty result; very long texts are read whole;
+only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -35,20 +39,26 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "mobile": r"(?<![0-9+])1[3-9][0-9]{9}(?![0-9])",
     "national": r"(?<![0-9A-Za-z])[1-9][0-9]{16}[0-9Xx](?![0-9A-Za-z])",
-    "secret": r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,64}(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z_/+-])[0-9A-Za-z_/+-]{20,128}+={0,2}(?![0-9A-Za-z_/+=-])",
+    "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
 }
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("iban", "mobile", "national", "secret")
+ADDED = ("iban", "mobile", "national", "secret", "ssn")
 #: Of each added kind: the validator's weight, and what words nearby add.
-WEIGHTS = {"iban": (0.7, 0.3), "national": (0.6, 0.4), "mobile": (0.2, 0.4), "secret": (0.2, 0.4)}
+WEIGHTS = {"iban": (0.7, 0.3), "national": (0.6, 0.4), "mobile": (0.2, 0.4), "secret": (0.2, 0.4), "ssn": (0.3, 0.4)}
 WORDS = {
     "iban": "iban|account|konto|compte|cuenta|bank|swift|bic",
     "national": "id|identity|passport|ausweis|identité|identidad|身份证",
     "mobile": "phone|mobile|cell|call|tel|telefon|handy|téléphone|teléfono|手机|电话",
-    "secret": "token|secret|key|password|passwd|api|bearer|auth|credential",
+    "secret": "token|secret|key|password|passwd|pwd|api|bearer|auth|authorization|credential|credentials|apikey|api_key|access_key|secret_key|private_key|client_secret",
+    "ssn": "ssn|social security|tax id|taxpayer",
 }
+#: Fixed prefixes of issued keys; a value that begins with one needs no word near it.
+PREFIXES = r"^(?:AKIA[0-9A-Z]{16}$|gh[pousr]_|github_pat_|sk-|sk_live_|rk_live_|xox[abprs]-|AIza|glpat-|npm_|eyJ)"
 #: Words that speak of examples or checksums lower a score.
 AGAINST, PENALTY = "example only|sample value|checksum|sha256|sha1|md5|commit|digest|order no|isbn", 0.4
+#: No letter or digit beside a word; marks like _ and - may stand there.
+_APART = r"(?<![\p{{L}}\p{{N}}])(?:{})(?![\p{{L}}\p{{N}}])"
 
 
 def _digits(match: Column) -> Column:
@@ -93,7 +103,8 @@ VALID = {
     "iban": _mod97,
     "mobile": lambda m: F.lit(True),
     "national": _mod11,
-    "secret": lambda m: m.rlike("[0-9]") & m.rlike("[A-Fa-f]"),
+    "secret": lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]"),
+    "ssn": lambda m: F.lit(True),
 }
 
 
@@ -111,26 +122,33 @@ def _running(lengths: Column) -> Column:
     return F.when(n > 0, spread).otherwise(F.array().cast("array<int>"))
 
 
+def _near(between: Column, i: Column) -> Column:
+    """The CONTEXT characters before and after match i, a neighbouring match of its kind left out."""
+    part = lambda k: F.coalesce(F.get(between, k), F.lit(""))
+    before, after = F.concat(part(i - 1), F.lit(" "), part(i)), F.concat(part(i + 1), F.lit(" "), part(i + 2))
+    return F.lower(F.concat_ws(" | ", F.right(before, F.lit(CONTEXT)), F.left(after, F.lit(CONTEXT))))
+
+
 def _located(kind: str, matches: Column, between: Column, starts: Column) -> Column:
     """Array of struct(kind, start, stop, score) of the confirmed matches of a kind, by start."""
     one = F.transform(
-        F.filter(F.arrays_zip(matches.alias("m"), between.alias("b"), starts.alias("s")), lambda x: x["m"].isNotNull() & VALID[kind](x["m"])),
+        F.filter(F.arrays_zip(matches.alias("m"), between.alias("b"), starts.alias("s"), F.sequence(F.lit(0), F.size(between)).alias("i")), lambda x: x["m"].isNotNull() & VALID[kind](x["m"])),
         lambda x: F.struct(
             F.lit(kind).alias("kind"),
             (x["s"] + F.length(x["b"])).cast("int").alias("start"),
             (x["s"] + F.length(x["b"]) + F.length(x["m"])).cast("int").alias("stop"),
-            _score(kind, x["b"]).alias("score"),
+            _score(kind, x["m"], _near(between, x["i"])).alias("score"),
         ),
     )
     return F.filter(one, lambda x: x["score"] >= MIN_SCORE)
 
 
-def _score(kind: str, before: Column) -> Column:
+def _score(kind: str, match: Column, near: Column) -> Column:
     if kind in BASE:
         return F.lit(1.0)
     base, plus = WEIGHTS[kind]
-    near = F.lower(F.right(before, F.lit(CONTEXT)))
-    return F.lit(base) + F.when(near.rlike(rf"(?<![\p{{L}}])(?:{WORDS[kind]})(?![\p{{L}}])"), plus).otherwise(0.0) - F.when(near.rlike(AGAINST), PENALTY).otherwise(0.0)
+    found = F.lit(base) + F.when(near.rlike(_APART.format(WORDS[kind])), plus).otherwise(0.0) - F.when(near.rlike(_APART.format(AGAINST)), PENALTY).otherwise(0.0)
+    return F.when(match.rlike(PREFIXES), F.lit(1.0)).otherwise(found) if kind == "secret" else found
 
 
 def _joined(spans: Column) -> Column:
