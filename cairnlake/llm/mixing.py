@@ -13,8 +13,9 @@
    that the words taken equal the target up to rounding; ``mixed_documents`` rounds to whole copies instead.
 
 Cases: a null or empty text has size 0 and is taken 0 times (in ``mixed_documents`` it goes); a null source is a
-source; repeated rows are documents of their own; equal hashes are ordered by id; an empty table gives an empty
-result. Only the named columns are read.
+source; repeated rows are documents of their own; equal hashes are ordered by id and text; an empty table gives an empty
+result; very long texts are measured whole. Only the named columns are read. Windows over all sources are one task: a row
+for each source, of which a corpus has thousands at most.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
 def _supply(rows: DataFrame) -> DataFrame:
     """Adds ``before``: words of the source's documents that stand before each one, by three levels of buckets."""
     keys = ["source", "b1", "b2"]
-    rows = rows.withColumn("h", F.xxhash64("doc_id", F.lit(7))).withColumn("b1", F.pmod(F.shiftright("h", 58), F.lit(FANOUT))).withColumn("b2", F.pmod(F.shiftright("h", 52), F.lit(FANOUT)))
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text_at", F.lit(7))).withColumn("b1", F.pmod(F.shiftright("h", 58), F.lit(FANOUT))).withColumn("b2", F.pmod(F.shiftright("h", 52), F.lit(FANOUT)))
     second = rows.groupBy(*keys).agg(F.sum("size").alias("words"))
     first = second.groupBy("source", "b1").agg(F.sum("words").alias("words1"))
 
@@ -66,7 +67,7 @@ def _supply(rows: DataFrame) -> DataFrame:
     first = first.withColumn("before1", before(["source"], "b1", "words1")).drop("words1")
     second = second.withColumn("before2", before(["source", "b1"], "b2", "words")).drop("words")
     starts = _join(second, first, ["source", "b1"]).select(*keys, (F.col("before1") + F.col("before2")).alias("start"))
-    inner = Window.partitionBy(*keys).orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(*keys).orderBy("h", "doc_id", "text_at").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     return _join(rows, starts, keys).withColumn("before", F.col("start") + F.col("inner")).drop("h", "b1", "b2", "start", "inner")
 
@@ -86,22 +87,24 @@ def _time(done: Column, slope: Column) -> Column:
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """doc_id, source, size; written once, as three running sums read it and texts should be read once."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"))
+    """doc_id, source, size, text_at (hash of the text, so that rows of one id or none are dealt too); written once, as
+    three running sums read it and texts should be read once."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.xxhash64(text_col).alias("text_at"))
     return written(rows, "sizes")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """A row for each document: doc_id, source, size, source_size, target, slope, before, taken, position (training
-    time of its first copy, null if none is taken), sorted by position."""
+    """A row for each document: doc_id, source, size, source_size, target, slope, before, taken, positions (the training
+    time of each copy that is taken, ascending), position (the first of them, null if none), sorted by position."""
     rows = _sized(docs, id_col, text_col, source_col)
     goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     out = _with_goals(_supply(rows), goals)
     goal = F.round("target").cast("long")
-    parts = [F.greatest(F.lit(0), F.least(F.col("size"), goal - F.col("before") - k * F.col("source_size"))) for k in range(MAX_EPOCHS)]
-    taken = sum(parts[1:], parts[0])
-    middle = F.col("before") + parts[0] / 2
-    out = out.withColumn("taken", taken).withColumn("position", F.when(F.col("taken") > 0, _time(F.least(middle / F.col("target"), F.lit(1.0)), F.col("slope"))))
+    starts = [F.col("before") + k * F.col("source_size") for k in range(MAX_EPOCHS)]
+    parts = [F.greatest(F.lit(0), F.least(F.col("size"), goal - start)) for start in starts]
+    at = [F.when(part > 0, _time(F.least((start + part / 2) / F.col("target"), F.lit(1.0)), F.col("slope"))) for start, part in zip(starts, parts, strict=True)]
+    out = out.withColumn("taken", sum(parts[1:], parts[0])).withColumn("positions", F.array_compact(F.array(*at))).drop("text_at")
+    out = out.withColumn("position", F.get("positions", F.lit(0)))
     return out.repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
 
 
@@ -120,16 +123,17 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(MAX_EPOCHS - 1))))
     middle = F.col("before") + F.col("k") * F.col("source_size") + F.col("size") / 2
     chosen = copies.where((F.col("size") > 0) & (middle <= F.col("target"))).withColumn("_position", _time(F.least(middle / F.col("target"), F.lit(1.0)), F.col("slope")))
-    # Rows that share id and size share a place in the order; each stands for itself.
-    per_row = chosen.groupBy("doc_id", "source", "size").agg(F.collect_list("_position").alias("_at"))
-    keys = [F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("_id"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_source"), F.col("size").alias("_size")]
+    # Rows that share id and text share a place in the order; each stands for itself.
+    per_row = chosen.groupBy("doc_id", "source", "text_at").agg(F.collect_list("_position").alias("_at"))
+    keys = [F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("_id"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_source"), F.col("text_at").alias("_text_at")]
     per_row = per_row.select(*keys, "_at")
-    nth = Window.partitionBy("_id", "_source", "_size").orderBy("_id")
+    same = ["_id", "_source", "_text_at"]
+    nth = Window.partitionBy(*same).orderBy("_id")
     id_ = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     source = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit(""))
-    left = docs.select(F.struct(*docs.columns).alias("row"), id_.alias("_id"), source.alias("_source"), word_count(text_col).alias("_size"))
-    left = left.withColumn("_nth", F.row_number().over(nth)).withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy("_id", "_source", "_size")))
-    joined = left.join(per_row, ["_id", "_source", "_size"])
+    left = docs.select(F.struct(*docs.columns).alias("row"), id_.alias("_id"), source.alias("_source"), F.xxhash64(text_col).alias("_text_at"))
+    left = left.withColumn("_nth", F.row_number().over(nth)).withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(*same)))
+    joined = left.join(per_row, same)
     own = F.filter(F.array_sort("_at"), lambda x, i: F.pmod(i, F.col("_rows").cast("int")) == F.col("_nth") - 1)
     out = joined.withColumn("_position", F.explode(own))
     return out.repartitionByRange("_position", "_id").sortWithinPartitions("_position", "_id").select("row.*")
@@ -137,4 +141,4 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
     """Query: all of ``documents``."""
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "position")
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "position", "positions")

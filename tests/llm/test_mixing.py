@@ -41,6 +41,13 @@ def test_taken_words_meet_targets(spark, seed):
     for r in got:
         assert abs(r.target - want[r.source]) < 1e-6 * max(1, want[r.source]) and r.source_size == sizes[r.source]
         assert 0 <= r.taken <= 3 * r.size and (r.position is None) == (r.taken == 0)
+        assert r.positions == sorted(r.positions) and r.positions[:1] == [r.position] * bool(r.positions)
+        left = r.taken
+        for k, at in enumerate(r.positions):  # the demand up to a copy's time reaches the middle of what is taken of it
+            part = min(r.size, left, max(0, round(r.target) - r.before - k * r.source_size))
+            left -= part
+            assert abs((at + r.slope * at * (1 - at)) * r.target - min(r.before + k * r.source_size + part / 2, r.target)) < 1e-6 * max(1, r.target)
+        assert left == 0
         taken[r.source] += r.taken
     assert all(abs(taken[s] - want[s]) <= 1 for s in want if s != "c"), (taken, want)
     assert abs(taken["c"] - want["c"]) <= 1
