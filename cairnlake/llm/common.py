@@ -42,6 +42,15 @@ def forget(*tables: DataFrame) -> None:
             fs.delete_dir(path)
 
 
+def joined_by_weight(rows: DataFrame, table: DataFrame, key: str, weight: str, least: int = 10_000, most: int = 10_000) -> DataFrame:
+    """``rows`` joined with ``table``, which has a row for each key and how many rows share it (dropped). The ``most`` heaviest
+    keys of ``least`` rows or more are broadcast, so no task gets all rows of one; any other key has at most a share of
+    1 / ``most`` of the rows. ``table`` is read twice: it should be written."""
+    hot = F.broadcast(table.where(F.col(weight) >= least).orderBy(F.desc(weight), key).limit(most))
+    light = rows.join(hot.select(key), key, "left_anti").join(table, key)
+    return rows.join(hot, key).unionByName(light).drop(weight)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small whatever the length of texts. The setting stays: it bounds memory and changes no result."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

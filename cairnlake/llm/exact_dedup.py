@@ -7,7 +7,7 @@ Texts are equal when identical after each run of ASCII white space became one sp
 2. Records are dealt by digest. Each reduce task fills an open-addressing table that compares whole texts. When
    the distinct texts outgrow the table's memory, the task deals table and rest to spill files in the shared
    folder by further bits of the digest, and treats each file alike: again a table, or again files.
-3. Rows find their group by a join on the digest. AQE splits a partition of rows that one digest fills.
+3. Rows find their group by a join on the digest; the largest groups are broadcast, at most 10,000 of them.
 
 Cases: a null text counts as empty; a null id is greater than any other and stays only if all ids of the group
 are null; rows that share the smallest id are one document and share its flags (``drop_duplicates`` returns one
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import SPACE, bounded_batches, fresh_path
+from cairnlake.llm.common import SPACE, bounded_batches, fresh_path, joined_by_weight, written
 
 #: Bytes of distinct text that a task's table holds before it spills, and files it then deals to.
 TABLE_BYTES, FANOUT = 64 << 20, 16
@@ -194,11 +194,12 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return folded.repartition("digest").mapInArrow(_reduce(fresh_path(docs.sparkSession, "grace"), table_bytes, fanout), GROUPS)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = 10_000, **limits: int) -> DataFrame:
     """A row for each row of ``docs``: its id, keep_id, group_size, kept, text_sha256."""
-    groups = duplicate_groups(docs, id_col, text_col, **limits)
+    groups = written(duplicate_groups(docs, id_col, text_col, **limits), "groups")
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.sha2(normalised(text_col).cast("binary"), 256).alias("text_sha256"))
-    found = rows.join(groups.withColumnRenamed("digest", "text_sha256"), "text_sha256")
+    table = groups.select(F.col("digest").alias("text_sha256"), "keep_id", "group_size", F.col("group_size").alias("_weight"))
+    found = joined_by_weight(rows, table, "text_sha256", "_weight", hot_rows)
     return found.select(id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import bounded_batches, column, forget, written
+from cairnlake.llm.common import bounded_batches, column, forget, joined_by_weight, written
 
 #: Words of a shingle, seed of its hash, differing bits of a link, fingerprints of a key that one task compares.
 WORDS, SEED, BITS, GROUP = 3, 42, 3, 4096
@@ -283,12 +283,12 @@ def components(edges: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, group: int = GROUP) -> DataFrame:
     """A row for each row: doc_id, fingerprint (16 hex digits), component_id (least id of its component)."""
     rows = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("_rows"))
     roots = components(links(nodes, group))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = written(rooted.join(least, "root").select("fp", "component_id", "_rows"), "components")
+    return joined_by_weight(rows, named, "fp", "_rows").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

@@ -22,11 +22,11 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("table_bytes", [x.TABLE_BYTES, 4000])
-def test_as_brute_force(spark, table_bytes):
+@pytest.mark.parametrize("table_bytes, hot_rows", [(x.TABLE_BYTES, 10_000), (4000, 7)])
+def test_as_brute_force(spark, table_bytes, hot_rows):
     rows = ROWS + [(100 + i, f"text {i % 150} " + "z" * (i % 7)) for i in range(900)] + [(5000 + i, "hot  text") for i in range(500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("keep_id", x.F.lit(0)).withColumn("digest", x.F.lit("d")).withColumn("_keep", x.F.lit(1)).withColumn("row", x.F.lit(2))
-    got = sorted((tuple(r) for r in x.exact_dedup(docs, table_bytes=table_bytes, fanout=3).collect()), key=str)
+    got = sorted((tuple(r) for r in x.exact_dedup(docs, hot_rows=hot_rows, table_bytes=table_bytes, fanout=3).collect()), key=str)
     assert got == brute(rows)
     kept = x.drop_duplicates(docs, table_bytes=table_bytes)
     assert kept.columns == docs.columns
