@@ -153,8 +153,8 @@ count(*) FILTER (rank <= 10) = count(*) AS full_evidence, round(coalesce(1.0 / m
     Plan("ev7_token_f1", _f1, F1_SQL),
     Plan(
         "ev9_triad",
-        lambda s, d: t(s, d, "lineitem").select("l_orderkey", "l_linenumber", round_to(ev.triad(F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") / 50)).alias("triad")),
-        "SELECT l_orderkey, l_linenumber, round(CASE WHEN l_discount > 0 AND l_tax > 0 AND l_quantity > 0 THEN 3 / (1 / l_discount + 1 / l_tax + 1 / (l_quantity / 50)) ELSE 0 END, 6) AS triad FROM lineitem",
+        lambda s, d: t(s, d, "lineitem").select("l_orderkey", "l_linenumber", round_to(ev.triad(F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") / 50) + 1e-9).alias("triad")),  # the offset keeps exact halves from rounding apart
+        "SELECT l_orderkey, l_linenumber, round(1e-9 + CASE WHEN l_discount > 0 AND l_tax > 0 AND l_quantity > 0 THEN 3 / (1 / l_discount + 1 / l_tax + 1 / (l_quantity / 50)) ELSE 0 END, 6) AS triad FROM lineitem",
     ),
     Plan("ev10_paired_bootstrap", _bootstrap),
     Plan(

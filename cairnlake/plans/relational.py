@@ -90,11 +90,11 @@ SELECT path, CASE WHEN o IS NULL THEN 'A' WHEN n IS NULL THEN 'D' ELSE 'M' END A
     Plan("wn5_neighbours", lambda s, d: rl.neighbours(t(s, d, "conversations").select("conv_id", "turn", "role"), ["conv_id"], "turn", "role"), "SELECT conv_id, turn, role, lag(role) OVER w AS previous, lead(role) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"),
     Plan("wn7_carried", lambda s, d: rl.carried(t(s, d, "events").select("event_id", "user_id", "ts", "event_type"), ["user_id"], ["ts", "event_id"], F.when(F.col("event_id") % 4 == 0, F.col("event_type"))).select("event_id", "carried"), "SELECT event_id, last_value(CASE WHEN event_id % 4 = 0 THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS carried FROM events"),
     Plan("jn3_semi", lambda s, d: t(s, d, "customer").join(t(s, d, "orders").where("o_orderstatus = 'F'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey"), "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')"),
-    Plan("jn4_anti", lambda s, d: t(s, d, "part").join(_li(s, d), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey"), "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)"),
+    Plan("jn4_anti", lambda s, d: t(s, d, "part").join(_li(s, d).where("l_returnflag = 'R' and l_quantity > 40"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey"), "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 40)"),
     Plan("jn2_left", lambda s, d: t(s, d, "customer").join(t(s, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")), F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n")), "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1"),
     Plan("jn8_array_membership", lambda s, d: t(s, d, "supplier").select("s_suppkey", F.explode(F.sequence("s_suppkey", F.col("s_suppkey") + 2)).alias("c_custkey")).join(t(s, d, "customer").select("c_custkey", "c_mktsegment"), "c_custkey").select("s_suppkey", "c_custkey", "c_mktsegment"), "SELECT s_suppkey, c_custkey, c_mktsegment FROM supplier JOIN customer ON c_custkey BETWEEN s_suppkey AND s_suppkey + 2"),
     Plan("sl4_top_per_group", lambda s, d: t(s, d, "orders").withColumn("n", F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))).where("n <= 3").select("o_custkey", "o_orderkey", "n"), "SELECT * FROM (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS n FROM orders) WHERE n <= 3"),
     Plan("st2_union", lambda s, d: t(s, d, "orders").select(F.col("o_custkey").alias("k")).union(t(s, d, "customer").where("c_acctbal > 0").select("c_custkey")).distinct(), "SELECT o_custkey AS k FROM orders UNION SELECT c_custkey FROM customer WHERE c_acctbal > 0"),
-    Plan("st3_difference", lambda s, d: t(s, d, "customer").select("c_custkey").subtract(t(s, d, "orders").select("o_custkey")), "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders"),
+    Plan("st3_difference", lambda s, d: t(s, d, "customer").select("c_custkey").subtract(t(s, d, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'").select("o_custkey")), "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'"),
     Plan("st4_intersection", lambda s, d: t(s, d, "orders").where("o_orderstatus = 'F'").select("o_custkey").intersect(t(s, d, "orders").where("o_orderstatus = 'O'").select("o_custkey")), "SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'"),
 ]
