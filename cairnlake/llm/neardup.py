@@ -8,8 +8,8 @@ miss is proposed by an exact join, and every proposal is held against the whole
 The exact join (shingles are their 64-bit hashes): two sets that similar share one of the first hashes of each in any
 one order, of which a set of n has n - ceil(4 n / 5) + 1 (prefix filter), so keys are those; the order is by hash, but
 what is common in a sample comes last, which saves work and changes no result. Sets of equal keys meet at a place, once
-for however many keys the same sets share, and a pair stays a candidate if sizes allow 4/5, and parity bitmaps too:
-differing bits never outnumber differing shingles.
+for however many keys the same sets share, and a pair stays a candidate if sizes allow 4/5, and parity bitmaps too, a
+narrow one at the place and then one as wide as the set asks: differing bits never outnumber differing shingles.
 
 A group of near copies is never turned into all pairs: first the candidates of a spanning forest of each place are
 verified; then, where one of those failed, all other candidates whose ends these links have not joined yet. A key of
@@ -60,10 +60,24 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique((x ^ (x >> np.uint64(29))).view(np.int64))
 
 
-def bitmap(hashes: np.ndarray) -> bytes:
+def bitmap(hashes: np.ndarray, bits: int = BITMAP) -> bytes:
     """Bit b: whether the number of hashes that fall on b is odd."""
-    at = (hashes.view(np.uint64) >> np.uint64(7)) % np.uint64(BITMAP)
-    return np.packbits(np.bincount(at.astype(np.int64), minlength=BITMAP) & 1).tobytes()
+    at = (hashes.view(np.uint64) >> np.uint64(7)) % np.uint64(bits)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def wide_bitmap(hashes: np.ndarray) -> bytes:
+    """A bitmap of two bits or more for each hash, a power of two of them."""
+    return bitmap(hashes, max(BITMAP, 1 << (2 * len(hashes)).bit_length()))
+
+
+def parities_apart(x: bytes, y: bytes) -> int:
+    """Differing bits of two bitmaps; the wider one is folded onto itself until both are alike."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) != len(b):
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def common_shingles(rows: DataFrame) -> np.ndarray:
@@ -95,7 +109,7 @@ def _bodies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
-    """A row for each of (doc_id, body, text_at): doc_id, text_at, node (digest of the set), n (its size), fp (its SimHash), bits, keys (its prefix)."""
+    """A row for each of (doc_id, body, text_at): doc_id, text_at, node (digest of the set), n (its size), fp (its SimHash), bits and wide (its bitmaps), keys (its prefix)."""
     bounded_batches(rows.sparkSession)
     common = rows.sparkSession.sparkContext.broadcast(common_shingles(rows))  # at most 0.5 MB
 
@@ -107,11 +121,11 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
             for lo in range(0, len(texts), 128):
                 sets = [shingles(t) for t in texts[lo : lo + 128]]
                 nodes, fps = (np.array(x, np.uint64).view(np.int64) for x in ([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], [majority(s.view(np.uint64)) for s in sets]))
-                cols = [pa.array(nodes), pa.array(list(map(len, sets)), pa.int64()), pa.array(fps), pa.array(map(bitmap, sets), pa.binary()), _lists([prefix(s, common.value) for s in sets])]
+                cols = [pa.array(nodes), pa.array(list(map(len, sets)), pa.int64()), pa.array(fps), pa.array(map(bitmap, sets), pa.binary()), pa.array(map(wide_bitmap, sets), pa.binary()), _lists([prefix(s, common.value) for s in sets])]
                 own = (batch.column(batch.schema.get_field_index(c)).slice(lo, 128) for c in ("doc_id", "text_at"))
-                yield pa.RecordBatch.from_arrays([*own, *cols], names=["doc_id", "text_at", "node", "n", "fp", "bits", "keys"])
+                yield pa.RecordBatch.from_arrays([*own, *cols], names=["doc_id", "text_at", "node", "n", "fp", "bits", "wide", "keys"])
 
-    return rows.mapInArrow(run, "doc_id long, text_at long, node long, n long, fp long, bits binary, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_at long, node long, n long, fp long, bits binary, wide binary, keys array<long>")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -138,6 +152,15 @@ def _wanted_texts(rows: DataFrame, ends: DataFrame) -> DataFrame:
     return found.groupBy("text_at").agg(F.first("body").alias("body"))
 
 
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b, a_at, b_at) of sets of n shingles together whose bitmaps x and y allow 4/5."""
+    for batch in batches:
+        apart = np.array([parities_apart(x, y) for x, y in zip(column(batch, "x"), column(batch, "y"), strict=True)], np.int64)
+        n = batch.column(batch.schema.get_field_index("n")).to_numpy()
+        kept = batch.filter(pa.array(sum(SAME) * apart <= (SAME[1] - SAME[0]) * n))
+        yield pa.RecordBatch.from_arrays([kept.column(kept.schema.get_field_index(c)) for c in ("a", "b", "a_at", "b_at")], names=["a", "b", "a_at", "b_at"])
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b) whose texts x and y have sets at 4/5 or more."""
     for batch in batches:
@@ -255,14 +278,19 @@ def _golay_pairs(marks: DataFrame) -> DataFrame:
 
 def links(sets: DataFrame, rows: DataFrame, group: int = GROUP) -> DataFrame:
     """Edges (a, b) between nodes of ``sets`` (as of ``shingle_sets``, of ``rows``) whose components are those of all pairs at 4/5 or more."""
-    marks = written(sets.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "fp", "bits")), F.min("text_at").alias("text_at")), "marks")
+    marks = written(sets.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "fp", "bits", "wide")), F.min("text_at").alias("text_at")), "marks")
     keyed = sets.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
     meeting = written(keyed.mapInArrow(_meeting(group), "place long, node long").distinct(), "meeting")
 
     def candidates(meeting: DataFrame, labelled: DataFrame, every: bool) -> DataFrame:
-        placed = meeting.join(labelled, "node").select("place", "node", "n", "bits", "label", "text_at").repartition("place").sortWithinPartitions("place")
+        placed = meeting.join(labelled.drop("wide"), "node").select("place", "node", "n", "bits", "label", "text_at").repartition("place").sortWithinPartitions("place")
         return placed.mapInArrow(_candidates(every), "a long, b long, a_at long, b_at long")
 
+    def close(pairs: DataFrame) -> DataFrame:
+        left, right = (marks.select(F.col("node").alias(e), F.col("n").alias(f"n{e}"), F.col("wide").alias(w)) for e, w in (("a", "x"), ("b", "y")))
+        both = pairs.join(left, "a").join(right, "b").withColumn("n", F.col("na") + F.col("nb"))
+        return both.select("a", "b", "a_at", "b_at", "n", "x", "y").mapInArrow(_close, "a long, b long, a_at long, b_at long")
+
     def verified(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a_at").alias("text_at")).unionByName(pairs.select(F.col("b_at").alias("text_at"))).distinct()
         texts = _wanted_texts(rows, ends)
@@ -272,7 +300,8 @@ def links(sets: DataFrame, rows: DataFrame, group: int = GROUP) -> DataFrame:
 
     forest = candidates(meeting, marks.withColumn("label", F.col("node")), False)
     pairs = written(forest.unionByName(_golay_pairs(marks)).distinct(), "candidates")
-    first = verified(pairs)
+    near = written(close(pairs), "near")
+    first = verified(near)
     roots = components(first).withColumnRenamed("root", "label")
     labelled = written(marks.join(roots, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
     # Only where a candidate of a forest failed can others be left: every such place holds the end a of the failed pair.
@@ -280,9 +309,9 @@ def links(sets: DataFrame, rows: DataFrame, group: int = GROUP) -> DataFrame:
     ends = failed.select(F.col("a").alias("node")).distinct()
     places = meeting.join(ends, "node", "left_semi").select("place").distinct()
     others = candidates(meeting.join(places, "place", "left_semi"), labelled, True).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    others = written(others.select("a", "b", "a_at", "b_at"), "candidates")
+    others = written(close(others.select("a", "b", "a_at", "b_at")), "near")
     second = verified(others)
-    forget(marks, meeting, pairs, labelled, others)
+    forget(marks, meeting, pairs, near, labelled, others)
     return first.unionByName(second)
 
 

@@ -77,5 +77,16 @@ def test_stage_drops_near_copies_at_four_fifths(spark):
     assert {r.doc_id for r in kept.collect()} == {0, 2}
 
 
+def test_bitmaps_never_tell_more_than_the_sets():
+    rng = random.Random(11)
+    for _ in range(300):
+        base = [rng.getrandbits(63) for _ in range(rng.choice([0, 3, 90, 700, 3000]))]
+        a = {x for x in base if rng.random() < 0.9} | {rng.getrandbits(63) for _ in range(rng.randint(0, 40))}
+        b = {x for x in base if rng.random() < 0.7} | {rng.getrandbits(63) for _ in range(rng.randint(0, 400))}
+        x, y = (nd.np.array(sorted(s), nd.np.int64) for s in (a, b))
+        assert nd.parities_apart(nd.wide_bitmap(x), nd.wide_bitmap(y)) <= len(a ^ b)
+        assert nd.parities_apart(nd.wide_bitmap(x), nd.wide_bitmap(x)) == 0
+
+
 def test_empty_table(spark):
     assert nd.near_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
