@@ -27,12 +27,37 @@ def safe_ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / b)
 
 
-def words(text: Column | str) -> Column:
-    """Distinct index terms of a text: letter-digit runs of 2 to 128 characters, and their ASCII parts of 2 to 64."""
-    low = F.lower(text)
-    runs = F.filter(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.length(w).between(2, 128))
+#: Scripts written without spaces; their characters that alone tell nothing; full-width forms of ASCII.
+CJK = "[\u0e00-\u0e7f\u1100-\u11ff\u1780-\u17ff\u2e80-\u30ff\u3130-\u318f\u31a0-\u31bf\u3400-\u4dbf\u4e00-\u9fff\ua960-\ua97f\uac00-\ud7af\uf900-\ufaff]"
+CJK_STOPS = "的了是在与及或而且于以为之其我你他她它们这那有没不也都就还但对从到向被把让给等个上下并将会能要很太最该各"
+SCRIPTS = {"cjk": CJK, "latin": "[A-Za-z]", "cyrillic": "[\u0400-\u04ff]", "greek": "[\u0370-\u03ff]", "arabic": "[\u0600-\u06ff]", "hebrew": "[\u0590-\u05ff]"}
+WIDE, NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
+
+
+def _script(char: Column) -> Column:
+    out = F.when(F.lit(False), "")
+    for name, pattern in SCRIPTS.items():
+        out = out.when(char.rlike(pattern), name)
+    return out.otherwise("other")
+
+
+def _unspaced(run: Column) -> Column:
+    """Terms of a run without spaces: its characters but for the commonest, and its pairs of one script."""
+    chars = F.regexp_extract_all(run, F.lit("(?s)."), F.lit(0))
+    pairs = F.zip_with(chars, F.slice(chars, F.lit(2), F.size(chars)), lambda a, b: F.when(b.isNotNull() & (_script(a) == _script(b)), F.concat(a, b)))
+    return F.concat(F.filter(chars, lambda c: ~F.contains(F.lit(CJK_STOPS), c)), F.array_compact(pairs))
+
+
+def words(text: Column | str, most: int | None = None) -> Column:
+    """Distinct index terms of a text, the first ``most`` if that is given: letter-digit runs of 2 to 128 characters (of runs that
+    hold scripts without spaces, characters and pairs), then their ASCII parts of 2 to 64. Full-width ASCII counts as ASCII."""
+    low = F.lower(F.translate(text, WIDE, NARROW))
+    runs = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    spaced = F.filter(runs, lambda w: F.length(w).between(2, 128))
+    mixed = F.flatten(F.transform(runs, lambda w: F.when(w.rlike(CJK), _unspaced(w)).when(F.length(w).between(2, 128), F.array(w)).otherwise(F.array().cast("array<string>"))))
     ascii_runs = F.filter(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w).between(2, 64))
-    return F.array_distinct(F.concat(runs, ascii_runs))
+    found = F.array_distinct(F.concat(F.when(low.rlike(CJK), mixed).otherwise(spaced), ascii_runs))
+    return found if most is None else F.slice(found, 1, most)
 
 
 def grams(s: Column, n: int) -> Column:

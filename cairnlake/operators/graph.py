@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnlake.session import shared_dir
+from cairnlake.session import forget, written
 
 MAX_WEIGHT = 10.0
 #: GR1: fixed values: how a relation is written, its kind and weight.
-PATTERNS = {"heading": (r"(?m)^#{1,6}\s+(.{2,80})$", "contains", 1.5), "reference": (r"《([^》]{2,60})》", "references", 2.0), "wiki": (r"\[\[([^\]|]{2,60})(?:\|[^\]]*)?\]\]", "links", 1.8), "supersedes": (r"(?i)supersedes\s+\"([^\"]{2,60})\"", "supersedes", 3.0), "amends": (r"(?i)amends\s+\"([^\"]{2,60})\"", "amends", 2.5)}
+MENTION = r"\b(?:\p{Lu}[\p{L}\p{N}&-]*\s+){1,4}(?:Inc|Ltd|Corp|GmbH|Company|Ministry|System|Platform)\b|[\p{L}\p{N}]{2,32}(?:公司|部门|委员会|系统|平台|数据库)"
+PATTERNS = {"heading": (r"(?m)^#{1,6}\s+(.{2,80})$", "contains", 1.5), "reference": (r"《([^》]{2,60})》", "references", 2.0), "wiki": (r"\[\[([^\]|]{2,60})(?:\|[^\]]*)?\]\]", "links", 1.8), "supersedes": (r"(?i)supersedes\s+\"([^\"]{2,60})\"", "supersedes", 3.0), "amends": (r"(?i)amends\s+\"([^\"]{2,60})\"", "amends", 2.5), "mention": (f"({MENTION})", "mentions", 1.0)}
 #: GR2: endings that tell an entity's type.
 TYPES = {"regulation": r"(?i)(act|law|regulation|rules?|条例|办法|规定)$", "organisation": r"(?i)(inc|ltd|gmbh|corp|company|ministry|部|局|公司)\.?$", "system": r"(?i)(system|platform|系统|平台)$"}
 
@@ -53,16 +52,32 @@ def remove_document(edges: DataFrame, vertices: DataFrame, doc_id: Column) -> tu
     return left, vertices.join(used, "id", "left_semi")
 
 
+def _pieces(name: Column | str) -> Column:
+    """Runs of three characters of a name in lower case."""
+    n = F.lower(name)
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(n) - 2, F.lit(1))), lambda i: F.substring(n, i, F.lit(3)))
+
+
 def resolve_aliases(names: DataFrame, known: DataFrame, ledger: DataFrame, at_least: float = 0.86) -> DataFrame:
     """GR5: entity for each (id, name, type): by the ledger of aliases, else the most similar name of its type, by trigrams of at
     least ``at_least``, else a name of four and more characters that holds it or that it holds to at least 60 %."""
     from cairnlake.functions.text import jaccard
-    from cairnlake.operators.lexical import trigrams
+    from cairnlake.operators.lexical import trigram_prefix, trigrams
 
     by_ledger = names.join(ledger.select(F.lower("alias").alias("_k"), F.col("entity_id").alias("ledger_id")), F.lower("name") == F.col("_k"), "left").drop("_k")
-    a = by_ledger.where("ledger_id is null").select("id", "name", "type", F.explode(trigrams("name")).alias("t"))
-    b = known.select("entity_id", F.col("name").alias("other"), "type", F.explode(trigrams("name")).alias("t"))
-    pairs = a.join(b, ["type", "t"]).select("id", "name", "entity_id", "other").distinct()
+    a = by_ledger.where("ledger_id is null").select("id", "name", "type")
+    b = known.select("entity_id", F.col("name").alias("other"), "type")
+    # Names at this similarity share one of the first trigrams of both, in any one order: here by hash.
+    first = lambda name: trigram_prefix(trigrams(name), at_least)
+    near = a.withColumn("t", F.explode(first("name"))).join(b.withColumn("t", F.explode(first("other"))), ["type", "t"])
+    # A name that holds another holds each of its pieces, so also the one that the fewest names hold.
+    own, others = (x.withColumn("p", F.explode(F.array_distinct(_pieces(n)))) for x, n in ((a, "name"), (b, "other")))
+    counts = own.select("type", "p").unionByName(others.select("type", "p")).groupBy("type", "p").count()
+    rare = lambda x, keys: x.join(counts, ["type", "p"]).groupBy(*keys).agg(F.min(F.struct("count", "p"))["p"].alias("p"))
+    holds = own.join(rare(others, b.columns), ["type", "p"])
+    held = rare(own, a.columns).join(others, ["type", "p"])
+    columns = ["id", "name", "entity_id", "other"]
+    pairs = near.select(columns).unionByName(holds.select(columns)).unionByName(held.select(columns)).distinct()
     low, high = F.lower("name"), F.lower("other")
     inside = (F.least(F.length("name"), F.length("other")) >= 4) & (F.contains(low, high) | F.contains(high, low)) & (F.least(F.length("name"), F.length("other")) >= 0.6 * F.greatest(F.length("name"), F.length("other")))
     pairs = pairs.withColumn("similarity", jaccard(trigrams("name"), trigrams("other"))).where((F.col("similarity") >= at_least) | inside)
@@ -70,28 +85,28 @@ def resolve_aliases(names: DataFrame, known: DataFrame, ledger: DataFrame, at_le
     return by_ledger.join(best, "id", "left").select("id", "name", "type", F.coalesce("ledger_id", "similar_id").alias("entity_id"), F.when(F.col("ledger_id").isNotNull(), "ledger").when(F.col("similar_id").isNotNull(), "similar").otherwise("new").alias("how"))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Ends a lineage in the shared folder."""
-    path = f"{shared_dir(df.sparkSession)}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """GR8: (node, component): the least node of each node's component.
 
-    Each round points nodes to the least label around them and then to that label's own label, so chains halve."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
-    both = _written(both)
-    labels = _written(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("label")).withColumnRenamed("src", "node"))
+    Large and small stars in turn: every node's greater neighbours, then all its neighbours, are joined to its least
+    one. Edges between nodes that already share their least neighbour vanish, so tables shrink; a node's neighbours
+    are only ever folded to their least, never gathered."""
+    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    now = written(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct(), "edges")
+    seen = None
     while True:
-        around = both.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy("src").agg(F.min("label").alias("near"))
-        step = labels.join(around.withColumnRenamed("src", "node"), "node").select("node", "label", F.least("label", "near").alias("low"))
-        jump = step.join(labels.select(F.col("node").alias("low"), F.col("label").alias("far")), "low").select("node", F.least("low", "far").alias("new"), "label")
-        new = _written(jump)
-        if not new.where("new <> label").limit(1).count():
-            return labels.select("node", F.col("label").alias("component"))
-        labels = new.select("node", F.col("new").alias("label"))
+        mark = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
+        if not mark.n or mark == seen:
+            break
+        seen = mark
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = both.join(both.groupBy("a").agg(F.min("b").alias("m")), "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        following = written(small.distinct(), "edges")
+        forget(now)
+        now = following
+    return nodes.join(now.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
 def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
@@ -105,21 +120,100 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return parts.agg(F.sum(F.coalesce("inside", F.lit(0.0)) / F.col("m2") - resolution * F.pow(F.col("degree") / F.col("m2"), 2)).alias("modularity"))
 
 
-def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """In place of GR7 (Louvain, see README): communities by synchronous label moves of greatest weight, half of the nodes a
-    round so that none swap for ever: (node, component). After ``rounds`` labels are returned as they are, settled or not. Every round is two joins over all edges; a node's neighbours never gather in one task."""
-    both = edges.where("src <> dst").select("src", "dst", "weight")
-    both = _written(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
-    labels = _written(both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")))
-    for r in range(rounds):
-        pull = both.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy("src", "component").agg(F.sum("weight").alias("w"))
-        best = pull.groupBy("src").agg(F.min(F.struct((-F.col("w")).alias("w"), "component"))["component"].alias("best"))
-        move = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
-        new = _written(labels.join(best.withColumnRenamed("src", "node"), "node").select("node", F.when(move, F.col("best")).otherwise(F.col("component")).alias("component"), (F.col("best") != F.col("component")).alias("wants")))
-        labels = new.select("node", "component")
-        if not new.where("wants").limit(1).count():
+#: Gains of modularity below this, times the weight of all edges, count as none.
+LEAST_GAIN = 1e-9
+
+
+def _moves(both: DataFrame, labels: DataFrame, m2: float, resolution: float) -> DataFrame:
+    """(node, degree, own, to, gain): each node's best move to a neighbour's community, where it raises modularity."""
+    totals = labels.groupBy("component").agg(F.sum("degree").alias("total"))
+    pull = both.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node"), "component").agg(F.sum("weight").alias("pull"))
+    mine = labels.join(totals, "component").withColumnsRenamed({"component": "own", "total": "own_total"})
+    options = pull.join(totals, "component").join(mine, "node")
+    inner = F.max(F.when(F.col("component") == F.col("own"), F.col("pull")).otherwise(0.0))
+    price = F.lit(resolution / m2) * F.col("degree") * (F.col("total") - F.col("own_total") + F.col("degree"))
+    # Of all options but to stay, the best by what it gains; ties take the least community.
+    best = F.min(F.when(F.col("component") != F.col("own"), F.struct(F.round(price - F.col("pull"), 9).alias("cost"), F.col("component").alias("to"))))
+    found = options.groupBy("node", "own", "degree").agg(best.alias("best"), inner.alias("inner")).where("best is not null")
+    return found.select("node", "degree", "own", F.col("best.to").alias("to"), F.round(-F.col("best.cost") - F.col("inner"), 9).alias("gain")).where(F.col("gain") > LEAST_GAIN)
+
+
+def _together(moves: DataFrame, m2: float, resolution: float, turn: int) -> DataFrame:
+    """Moves that raise modularity also if all of them are made: by turns a community only sends or only takes nodes, and a
+    move's gain must outweigh what all other moves from and to its communities can cost it."""
+    sends = lambda c: F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(2)) == 0
+    some = moves.where(sends("own") & ~sends("to"))
+    left, came = some.groupBy("own").agg(F.sum("degree").alias("left")), some.groupBy("to").agg(F.sum("degree").alias("came"))
+    cost = F.lit(resolution / m2) * F.col("degree") * (F.col("left") + F.col("came") - 2 * F.col("degree"))
+    return some.join(left, "own").join(came, "to").where(F.col("gain") - cost > LEAST_GAIN).select("node", "to")
+
+
+def _apart(moves: DataFrame) -> DataFrame:
+    """Moves of which no two share a community: those that are the best of both of theirs."""
+    rank = F.struct((-F.col("gain")).alias("low"), "node")
+    best = moves.select(F.explode(F.array("own", "to")).alias("c"), rank.alias("r")).groupBy("c").agg(F.min("r").alias("r"))
+    first = best.groupBy("r").count().where("count = 2").select(F.col("r.node").alias("node"))
+    return moves.join(first, "node", "left_semi").select("node", "to")
+
+
+def louvain(edges: DataFrame, nodes: DataFrame | None = None, resolution: float = 1.0, levels: int = 10) -> DataFrame:
+    """GR7, GR9: communities by modularity, level on level: (node, level, component), a community named by its least node.
+
+    edges: (src, dst, weight), undirected, repeated ones add up; nodes: (node), those without edges too. A level moves
+    nodes to neighbours' communities as long as that raises modularity, then makes each community a node. Moves go in
+    rounds: as many at once as surely raise modularity together, or else those that share no community, so every round
+    raises it and the last one finds no move. Rounds are joins and aggregates; no node's or community's edges gather in
+    one task. Order and partitioning of rows change nothing. An empty graph gives an empty result."""
+    flat = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.col("weight").cast("double").alias("weight"))
+    graph = written(flat.groupBy("a", "b").agg(F.round(F.sum("weight"), 9).alias("weight")), "graph")
+    every = graph.select(F.col("a").alias("node")).unionByName(graph.select(F.col("b").alias("node")))
+    place = written((every.unionByName(nodes.select("node")) if nodes is not None else every).distinct().withColumn("component", F.col("node")), "places")
+    m2 = 2 * (graph.agg(F.sum("weight").alias("w")).first().w or 0.0)
+    found = []
+    for level in range(levels if m2 else 0):
+        both = written(graph.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(graph.where("a <> b").select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight")), "both")
+        loops = graph.where("a = b").select(F.col("a").alias("node"), (2 * F.col("weight")).alias("weight"))
+        degrees = both.select(F.col("src").alias("node"), "weight").unionByName(loops).groupBy("node").agg(F.round(F.sum("weight"), 9).alias("degree"))
+        labels, turn = written(degrees.withColumn("component", F.col("node")), "labels"), 0
+        while True:
+            moves = written(_moves(both, labels, m2, resolution), "moves")
+            if moves.isEmpty():
+                forget(moves)
+                break
+            turn += 1
+            made = written(_together(moves, m2, resolution, turn), "made")
+            if made.isEmpty():
+                forget(made)
+                made = written(_apart(moves), "made")
+            following = written(labels.join(made, "node", "left").select("node", "degree", F.coalesce("to", "component").alias("component")), "labels")
+            forget(moves, made, labels)
+            labels = following
+        least = labels.groupBy("component").agg(F.min("node").alias("least"))
+        named = written(labels.join(least, "component").select("node", F.col("least").alias("component")), "named")
+        step = named.select(F.col("node").alias("component"), F.col("component").alias("joined"))
+        place = written(place.join(step, "component", "left").select("node", F.coalesce("joined", "component").alias("component")), "places")
+        found.append(place.select("node", F.lit(level).alias("level"), "component"))
+        a, b = (named.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in "ab")
+        joined = graph.join(a, "a").join(b, "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.round(F.sum("weight"), 9).alias("weight"))
+        following = written(joined, "graph")
+        moved = not named.where("node <> component").isEmpty()
+        forget(graph, both, labels, named)
+        graph = following
+        if not moved:
             break
-    return labels
+    if not found:
+        return place.select("node", F.lit(0).alias("level"), "component")
+    out = found[0]
+    for one in found[1:]:
+        out = out.unionByName(one)
+    return out
+
+
+def communities(edges: DataFrame, nodes: DataFrame | None = None, resolution: float = 1.0) -> DataFrame:
+    """GR7: (node, component) of the last level of ``louvain``."""
+    every = louvain(edges, nodes, resolution)
+    top = every.agg(F.max("level").alias("level"))
+    return every.join(F.broadcast(top), "level").select("node", "component")
 
 
 def community_edges(edges: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,9 +29,16 @@ def lexical_length(text: Column | str) -> Column:
     return F.greatest(letters_and_digits(text), F.lit(1))
 
 
-def postings(chunks: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """LX1, LX8: a row for each term of each chunk; a term counts once in a chunk."""
-    return chunks.select(*keys, F.explode(words(text)).alias("term")).withColumn("tf", F.lit(1))
+def postings(chunks: DataFrame, keys: list[str], text: str = "text", most: int | None = None) -> DataFrame:
+    """LX1, LX8: a row for each term of each chunk, the first ``most`` terms if that is given; a term counts once in a chunk."""
+    return chunks.select(*keys, F.explode(words(text, most)).alias("term")).withColumn("tf", F.lit(1))
+
+
+def candidate_window(posts: DataFrame, asked: DataFrame, window: int, keys: list[str]) -> DataFrame:
+    """LX10: for each query of ``asked`` (query_id, term) the ``window`` chunks that hold most of its terms: (query_id, *keys, matched)."""
+    hits = posts.join(asked.distinct(), "term").groupBy("query_id", *keys).agg(F.count(F.lit(1)).alias("matched"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("matched"), *keys)
+    return hits.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= window).drop("_n")
 
 
 def term_stats(posts: DataFrame, scope: list[str]) -> DataFrame:
@@ -136,12 +141,16 @@ def trigrams(s: Column | str) -> Column:
     return grams(F.concat(F.lit("  "), F.lower(s), F.lit(" ")), 3)
 
 
+def trigram_prefix(grams: Column, at_least: float) -> Column:
+    """Of a set of trigrams the first ones by hash, of which sets of a Jaccard similarity of ``at_least`` share one."""
+    by_hash = F.array_sort(F.transform(grams, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x"))))
+    return F.slice(by_hash, F.lit(1), F.size(grams) - F.ceil(at_least * F.size(grams)).cast("int") + 1)
+
+
 def similar_names(left: DataFrame, right: DataFrame, at_least: float) -> DataFrame:
     """LX17, JN7: pairs of names (id, name) with trigram similarity: candidates share a trigram, then the sets are compared."""
     a, b = (x.select(F.col("id").alias(f"id_{k}"), trigrams("name").alias(f"g_{k}")) for x, k in ((left, "a"), (right, "b")))
-    # The rarest shared trigrams suffice: a pair at this similarity shares one of the first ones by hash order.
-    prefix = lambda g: F.slice(F.array_sort(F.transform(g, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))), F.lit(1), F.size(g) - F.ceil(at_least * F.size(g)).cast("int") + 1)
-    pa_, pb = a.withColumn("t", F.explode(prefix(F.col("g_a")))), b.withColumn("t", F.explode(prefix(F.col("g_b"))))
+    pa_, pb = a.withColumn("t", F.explode(trigram_prefix(F.col("g_a"), at_least))), b.withColumn("t", F.explode(trigram_prefix(F.col("g_b"), at_least)))
     pairs = pa_.join(pb, "t").where("id_a <> id_b").select("id_a", "id_b", "g_a", "g_b").distinct()
     return pairs.select("id_a", "id_b", jaccard(F.col("g_a"), F.col("g_b")).alias("similarity")).where(F.col("similarity") >= at_least)
 

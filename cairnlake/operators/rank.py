@@ -219,3 +219,20 @@ def summary_scores(candidates: DataFrame, summaries: DataFrame, most: int = 3) -
 def rerank_text(parts: list[Column | str], most: int = 3000) -> Column:
     """RK33: what a reranker reads: the parts on lines of their own, cut to ``most`` characters (a limit of the model's contract)."""
     return F.substring(F.concat_ws("\n", *parts), 1, most)
+
+
+def merged_pages(hits: DataFrame, broad: Column, focused_cap: int = 30, broad_cap: int = 60, k: int = 60) -> DataFrame:
+    """RK34: pages (query_id, page, rrf, score, position) of several sources' ranks (query_id, page, rank, score): sums of 1 / (k + rank)
+    to six places, ties by score with none last and then by page; a focused query keeps 30 pages, a broad one 60."""
+    fused = hits.groupBy("query_id", "page").agg(F.round(F.sum(1 / (k + F.col("rank"))), 6).alias("rrf"), F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("rrf"), F.desc_nulls_last("score"), "page")
+    placed = fused.withColumn("position", F.row_number().over(order))
+    return placed.where(F.col("position") <= F.when(broad, broad_cap).otherwise(focused_cap))
+
+
+def merged_citations(hits: DataFrame) -> DataFrame:
+    """DD9: one citation for each document of an answer: its best score and first place, and its distinct passages in the order cited.
+    hits: (query_id, doc_id, chunk_id, position, score); a document's citations of one answer are few."""
+    first = hits.groupBy("query_id", "doc_id", "chunk_id").agg(F.min("position").alias("position"), F.max("score").alias("score"))
+    chunks = F.transform(F.array_sort(F.collect_list(F.struct("position", "chunk_id"))), lambda x: x["chunk_id"])
+    return first.groupBy("query_id", "doc_id").agg(F.min("position").alias("position"), F.max("score").alias("score"), chunks.alias("chunk_ids"))

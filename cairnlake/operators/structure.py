@@ -1,4 +1,4 @@
-"""Chunking and document structure, history and grounding in text (CH1-CH7, CH9-CH22, RP2-RP4, GD1-GD11, DD8)."""
+"""Chunking and document structure, history and grounding in text (CH1-CH22, RP1-RP5, GD1-GD11, DD8)."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnlake.session import written
+
 #: Fixed values of the chunker: most characters, overlap, shortest tail, clause documents.
 MAX_CHARS, OVERLAP, MIN_TAIL, CLAUSES, CLAUSE_MAX = 1800, 200, 150, 3, 5000
 HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*$", re.M)
@@ -304,3 +306,67 @@ def join_overlap(left: str, right: str, most: int = 4096, least: int = 12) -> st
         if left.endswith(right[:n]):
             return left + right[n:]
     return f"{left}\n{right}"
+
+
+#: CH8: a row of a pipe table, the row under its header, rows of which the meaning is written out.
+TABLE_ROW, TABLE_RULE, TABLE_HEAD, MAX_MEANT = r"^[ \t]*\|.*\|[ \t]*$", r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)*\|?[ \t]*$", r"(?m)^([ \t]*\|[^\n]*\|)[ \t]*\n[ \t]*\|?[ \t]*:?-{3,}[-:| \t]*$", 40
+
+
+def _cells(row: Column) -> Column:
+    inner = F.regexp_replace(F.trim(row), r"^\||\|$", "")
+    return F.transform(F.split(inner, r"(?<!\\)\|"), lambda c: F.replace(F.trim(c), F.lit("**"), F.lit("")))
+
+
+def carry_table_headers(chunks: DataFrame, doc: str = "doc_id", order: str = "ord", text: str = "content") -> DataFrame:
+    """CH8: adds ``with_header`` (a chunk that goes on with a table begins its rows with the header of the last one before it, if
+    their columns differ by one at most) and ``row_meanings`` (for up to ``MAX_MEANT`` rows "header: cell" of its cells)."""
+    head = F.regexp_extract(text, TABLE_HEAD, 0)
+    before = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = chunks.withColumn("_own", F.nullif(head, F.lit(""))).withColumn("_last", F.last("_own", True).over(before)).withColumn("_lines", F.split(text, "\n"))
+    rows = F.filter("_lines", lambda x: x.rlike(TABLE_ROW) & ~x.rlike(TABLE_RULE))
+    fits = F.col("_own").isNull() & F.col("_last").isNotNull() & (F.size(rows) > 0) & (F.abs(F.size(_cells(F.get(rows, F.lit(0)))) - F.size(_cells(F.split("_last", "\n")[0]))) <= 1)
+    at = F.array_position("_lines", F.get(rows, F.lit(0))).cast("int")
+    joined = F.array_join(F.concat(F.slice("_lines", F.lit(1), at - 1), F.array("_last"), F.slice("_lines", at, F.size("_lines"))), "\n")
+    out = out.withColumn("with_header", F.when(fits, joined).otherwise(F.col(text)))
+    header = _cells(F.split(F.coalesce("_own", F.when(fits, F.col("_last"))), "\n")[0])
+    own_at = F.array_position("_lines", F.split("_own", "\n")[0])
+    body = F.filter(F.when(fits, F.col("_lines")).otherwise(F.slice("_lines", (own_at + 2).cast("int"), F.size("_lines"))), lambda x: x.rlike(TABLE_ROW) & ~x.rlike(TABLE_RULE))
+    named = lambda row: F.array_join(F.array_compact(F.zip_with(header, _cells(row), lambda h, c: F.when((h != "") & (c != ""), F.concat_ws(": ", h, c)))), " | ")
+    meant = F.filter(F.transform(body, named), lambda x: x != "")
+    return out.withColumn("row_meanings", F.coalesce(F.slice(meant, 1, MAX_MEANT), F.array().cast("array<string>"))).drop("_own", "_last", "_lines")
+
+
+def summary_tree(parts: DataFrame, sentences: int = 4, group: int = 20) -> DataFrame:
+    """RP1, RP4, RP5: summary nodes (kb_id, doc_id, level, node, content, sources) of chunks (kb_id, doc_id, section, ord, content):
+    level 0 for each section, level 1 for each document from its sections' summaries, level 2 for each knowledge base from its
+    documents'. A level's texts are summarised ``group`` at a time, in order, until one is left, so no summary reads more than that."""
+
+    def shortened(rows: DataFrame, keys: list[str]) -> DataFrame:
+        """One row for each of keys: content, sources, of rows (keys, nth, content, sources)."""
+        while True:
+            parts_ = rows.withColumn("_g", F.floor(F.col("nth") / group))
+            text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "content"))), lambda x: x["content"]), "\n")
+            rows = parts_.groupBy(*keys, "_g").agg(extractive_summary(text, sentences).alias("content"), F.sum("sources").alias("sources")).withColumnRenamed("_g", "nth")
+            if not rows.where("nth > 0").limit(1).count():
+                return rows.drop("nth")
+            rows = written(rows, "summaries")
+
+    def numbered(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+        return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+
+    own = ["kb_id", "doc_id", "section"]
+    first = parts.groupBy(*own).agg(F.min("ord").alias("first_ord"))
+    zero = written(shortened(numbered(parts.withColumn("sources", F.lit(1)), own, ["ord"]).select(*own, "nth", "content", "sources"), own).join(first, own), "level-0")
+    one = written(shortened(numbered(zero, own[:2], ["first_ord", "section"]).select(*own[:2], "nth", "content", "sources"), own[:2]), "level-1")
+    # A knowledge base may hold a third of all documents: they are dealt by hash, not numbered in one task.
+    sizes = one.groupBy("kb_id").agg(F.ceil(F.count(F.lit(1)) / group).alias("groups"))
+    dealt = one.join(sizes, "kb_id").withColumn("nth", F.pmod(F.xxhash64("doc_id"), "groups") * group)
+    two = shortened(dealt.select("kb_id", "nth", "content", "sources"), own[:1])
+    nothing = lambda kind: F.lit(None).cast(kind)
+    kind = parts.schema["doc_id"].dataType
+    levels = [
+        zero.select("kb_id", "doc_id", F.lit(0).alias("level"), F.col("section").alias("node"), "content", "sources"),
+        one.select("kb_id", "doc_id", F.lit(1).alias("level"), F.lit("document").alias("node"), "content", "sources"),
+        two.select("kb_id", nothing(kind).alias("doc_id"), F.lit(2).alias("level"), F.lit("kb-global").alias("node"), "content", "sources"),
+    ]
+    return levels[0].unionByName(levels[1]).unionByName(levels[2])

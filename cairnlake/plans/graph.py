@@ -31,6 +31,19 @@ def _copurchase(s, d):
     return gr.connected_components(li.select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")))
 
 
+def _relations(s, d):
+    """Texts begun by a relation of every kind, under the document's own names."""
+    said = F.concat(F.lit("# Part "), F.col("source"), F.lit("\nsee 《Rule "), F.col("doc_id").cast("string"), F.lit("》 and [["), F.col("lang"), F.lit("|here]]\nsupersedes \"Plan "), (F.col("doc_id") % 7).cast("string"), F.lit("\"\nby Blue River Inc, on Acme Data Platform\n\n"))
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), r"[#\[《]|\p{Lu}", "_")
+    return gr.extract_relations(t(s, d, "documents").select("doc_id", F.concat(said, body).alias("text")), "doc_id", "text")
+
+
+RELATIONS_SQL = """SELECT doc_id, kind, target, weight FROM (
+SELECT doc_id, 'contains' AS kind, 'Part ' || source AS target, 1.5 AS weight FROM documents UNION ALL SELECT doc_id, 'references', 'Rule ' || doc_id, 2.0 FROM documents
+UNION ALL SELECT doc_id, 'links', lang, 1.8 FROM documents UNION ALL SELECT doc_id, 'supersedes', 'Plan ' || doc_id % 7, 3.0 FROM documents
+UNION ALL SELECT doc_id, 'mentions', 'Blue River Inc', 1.0 FROM documents UNION ALL SELECT doc_id, 'mentions', 'Acme Data Platform', 1.0 FROM documents) WHERE target IS NOT NULL"""
+
+
 def _labels(s, d):
     return t(s, d, "lineitem").select(F.col("l_suppkey").alias("node")).distinct().unionByName(t(s, d, "lineitem").select((F.col("l_partkey") % 40 + 1000).alias("node")).distinct()).withColumn("component", F.col("node") % 4)
 
@@ -91,7 +104,7 @@ UNIT = "SELECT l_orderkey AS doc_id, l_linenumber AS unit, CAST(min(l_partkey) A
 
 
 PLANS = [
-    Plan("gr1_extract_relations", lambda s, d: gr.extract_relations(t(s, d, "documents"), "doc_id", "text")),
+    Plan("gr1_extract_relations", _relations, RELATIONS_SQL),
     Plan("gr2_entity_type", lambda s, d: t(s, d, "supplier").select("s_suppkey", gr.entity_type(F.when(F.col("s_suppkey") % 3 == 0, F.concat("s_name", F.lit(" Inc."))).when(F.col("s_suppkey") % 3 == 1, F.concat("s_name", F.lit(" System"))).otherwise(F.col("s_name"))).alias("kind")), "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'organisation' WHEN 1 THEN 'system' ELSE 'concept' END AS kind FROM supplier"),
     Plan("gr3_entity_key", lambda s, d: t(s, d, "part").select("p_partkey", gr.entity_key(F.concat(F.lit("  "), "p_name", F.lit("  X ")), "p_brand").alias("key")), "SELECT p_partkey, lower(trim(regexp_replace('  ' || p_name || '  X ', '\\s+', ' ', 'g'))) || '|' || p_brand AS key FROM part"),
     Plan("gr4_merge_relations", lambda s, d: gr.merge_relations(_edges(s, d)).select("src", "dst", "kind", "weight", F.size("doc_ids").cast("long").alias("docs"), F.md5(F.array_join(F.transform("doc_ids", lambda x: x.cast("string")), ",").cast("binary")).alias("docs_md5")), f"WITH {EDGES} SELECT src, dst, kind, weight, len(doc_ids) AS docs, md5(array_to_string(doc_ids, ',')) AS docs_md5 FROM merged"),

@@ -9,7 +9,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that hold a ``PLANS`` list.
-MODULES: list[str] = ["text_quality", "lexical", "rank", "evaluate", "access", "graph", "relational", "streaming", "selection"]
+MODULES: list[str] = ["text_quality", "lexical", "rank", "evaluate", "access", "graph", "relational", "streaming", "selection", "documents"]
 
 
 @dataclass(frozen=True)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyarrow import fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "cairnlake", master: str | None = None, **conf: str) -> SparkSession:
@@ -44,6 +46,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: its lineage ends there, and lost executors cost nothing."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and nothing reads any more."""
+    for table in tables:
+        for folder in {os.path.dirname(p) for p in table.inputFiles()}:
+            fs, path = pafs.FileSystem.from_uri(folder)
+            fs.delete_dir(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver tables, by the name of its Parquet file or folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

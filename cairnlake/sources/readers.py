@@ -112,8 +112,8 @@ def html_to_text(html: str | None) -> str:
         text = _stripped(html)
     # Fenced parts stand at odd places and are kept as they are.
     parts = re.split(r"(?m)^```$", text.replace(CELL, ""))
-    plain = ["\n".join(map(_one_line, part.split("\n"))) if i % 2 == 0 else "```" + part.rstrip() + "\n```" for i, part in enumerate(parts)]
-    return re.sub(r"\n{3,}", "\n\n", "".join(plain)).strip()
+    told = [re.sub(r"\n{3,}", "\n\n", "\n".join(map(_one_line, part.split("\n")))) if i % 2 == 0 else "```" + part.rstrip() + "\n```" for i, part in enumerate(parts)]
+    return "".join(told).strip()
 
 
 @F.pandas_udf(StringType())

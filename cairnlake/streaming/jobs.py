@@ -131,3 +131,11 @@ def sessions(events: DataFrame, ts: str, keys: list[str], gap: str, late: str =
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """Runs a stream over what there is, into Parquet, exactly once by the file sink's own log."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+
+
+def rebuild_times(changes: DataFrame, gap: str = "30 seconds", late: str = "10 minutes") -> DataFrame:
+    """RP7: one rebuild of a scope's tree once its changes (kb_id, ts) have rested for ``gap``: (kb_id, due, changes). Works on
+    streams, where ``late`` bounds how long a session waits for late changes, and on tables."""
+    marked = changes.withWatermark("ts", late) if changes.isStreaming else changes
+    found = marked.groupBy("kb_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("changes"))
+    return found.select("kb_id", F.col("w.end").alias("due"), "changes")

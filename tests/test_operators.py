@@ -113,8 +113,47 @@ def test_components_and_modularity(spark):
     e = spark.createDataFrame(cliques, "src long, dst long, weight double")
     labels = spark.createDataFrame([(i, i // 4) for i in range(8)], "node long, component int")
     assert graph.modularity(e, labels).first().modularity == pytest.approx(2 * (12 / 26 - (13 / 26) ** 2))
-    found = {r.node: r.component for r in graph.communities(e).collect()}
-    assert len({found[i] for i in range(4)}) == 1
+    weak = e.where("not (src = 0 and dst = 4)").union(spark.createDataFrame([(0, 4, 0.1)], e.schema))
+    for given in (weak, weak.selectExpr("dst as src", "src as dst", "weight").orderBy(F.rand(3)).repartition(3)):
+        found = {r.node: r.component for r in graph.communities(given, spark.createDataFrame([(i,) for i in (3, 99)], "node long")).collect()}
+        assert found == {**dict.fromkeys(range(4), 0), **dict.fromkeys(range(4, 8), 4), 99: 99}  # two cliques part, an isolated node stays
+    assert graph.louvain(e.limit(0)).collect() == []
+
+
+def test_louvain_ends_where_no_move_raises_modularity(spark):
+    rng = np.random.default_rng(5)
+    block = np.arange(60) // 12
+    pairs = [(i, j) for i in range(60) for j in range(i) if rng.random() < (0.6 if block[i] == block[j] else 0.03)] + [(7, 7)]
+    pairs += [(100, 101 + k) for k in range(15)]  # a star: many nodes want one community at once
+    rows = [(i, j, float(rng.integers(1, 4))) for i, j in pairs]
+    e = spark.createDataFrame(rows, "src long, dst long, weight double")
+    levels = graph.louvain(e).collect()
+    top = max(r.level for r in levels)
+    label = {r.node: r.component for r in levels if r.level == top}
+    assert set(label) == {x for p in pairs for x in p} and all(c <= n for n, c in label.items())
+    inside = {}
+    for r in levels:  # levels only join communities of the level before
+        inside.setdefault((r.level, r.component), set()).add(label[r.node])
+    assert all(len(x) == 1 for x in inside.values())
+
+    def modularity(label):
+        m2 = 2 * sum(w for *_, w in rows)
+        degree, within = {}, 0.0
+        for i, j, w in rows:
+            for x in (i, j):
+                degree[label[x]] = degree.get(label[x], 0.0) + w
+            within += 2 * w * (label[i] == label[j] and i != j)
+        return within / m2 - sum((d / m2) ** 2 for d in degree.values())
+
+    best = modularity(label)
+    assert best > 0.5
+    for a, b in {(label[i], label[j]) for i, j, _ in rows if label[i] != label[j]}:
+        assert modularity({n: a if c == b else c for n, c in label.items()}) <= best + 1e-9
+    first = {r.node: r.component for r in levels if r.level == 0}
+    at_first = modularity(first)
+    for i, j, _ in rows:
+        if first[i] != first[j]:
+            assert modularity({**first, i: first[j]}) <= at_first + 1e-8
 
 
 def test_exact_tables(spark):
@@ -167,6 +206,12 @@ def test_sources(spark, tmp_path):
     assert readers.decode_bytes("é".encode("utf-16")) == "é" and readers.decode_bytes("中文".encode("gb18030")) == "中文" and readers.decode_bytes(None) == ""
     page = "<html><head><title>t</title></head><body><h2>Head</h2><p>a <b>b</b></p><ul><li>x</li></ul><table><tr><td>1</td><td>2</td></tr></table><script>no</script><pre>k  v</pre></body>"
     assert readers.html_to_text(page) == "## Head\n\na b\n\n- x\n\n1 | 2\n\n```\nk  v\n```"
+    assert readers.html_to_text("<ul><li>a<li>b <i>c</i><ul><li>d</ul></ul><p>x<p>y") == "- a\n\n- b c\n\n- d\n\nx\n\ny"
+    assert readers.html_to_text("<p>unclosed <b>bold<table><tr><th>h<th><tr><td>1<td>2</table>end</b>") == "unclosed bold\n\nh |\n\n1 | 2\n\nend"
+    assert readers.html_to_text("<pre>a\n\n\n  b &lt; c</pre>") == "```\na\n\n\n  b < c\n```"
+    assert readers.html_to_text("<style>x</style><script>all of it</script>") == "" == readers.html_to_text(None)
+    assert readers.html_to_text("<svg><p>told in a drawing") == ""
+    assert readers.html_to_text("a < b <!-- c --> & d") == "a < b & d" and readers.html_to_text("<iframe>x</iframe>") == ""
     data = BytesIO()
     with zipfile.ZipFile(data, "w") as z:
         for name in ("top/a.md", "top/sub/b.txt", "top/.hid.md", "top/x.exe", "top/../e.md"):
