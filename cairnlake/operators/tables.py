@@ -6,9 +6,11 @@ import re
 from collections.abc import Iterator
 from decimal import Decimal
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 #: Fixed value: a number with thousands separators, then a unit without digits.
 NUMBER = r"^\s*([+-]?)([0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?|\.[0-9]+)\s*([^0-9\s.,+-]*)\s*$"
@@ -193,3 +195,9 @@ def title_match(name: str, question: str) -> int:
                 best = max(best, new[j])
         row = new
     return best if best >= 4 and best >= 0.6 * len(name) else 0
+
+
+@F.pandas_udf(IntegerType())
+def title_matches(names: pd.Series, questions: pd.Series) -> pd.Series:
+    """TB9 over columns; null where either is."""
+    return pd.Series([None if a is None or b is None else title_match(a, b) for a, b in zip(names, questions, strict=True)], dtype="Int32")

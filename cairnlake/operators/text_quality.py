@@ -67,8 +67,21 @@ def _valid(kind: str):
 
 
 def scan_pii(docs: DataFrame, text: str = "text") -> DataFrame:
-    """TQ4: adds for each kind an array of its confirmed matches, in order."""
-    return docs.select("*", *(F.filter(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(p), F.lit(0)), _valid(k)).alias(k) for k, p in PII.items()))
+    """TQ4: adds for each kind an array of its confirmed matches, in order, and as ``<kind>_at`` the place of each (code points)."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    out = docs
+    for kind, pattern in PII.items():
+        found = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
+        before = F.transform(F.split(body, pattern, -1), F.length)
+        # Texts between matches and matches in turn: a match begins after all that stands before it.
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<m:string,at:int>>").alias("all"))
+        step = lambda acc, x: F.struct((acc["at"] + x["gap"] + F.length(x["m"])).alias("at"), F.concat(acc["all"], F.array(F.struct(x["m"].alias("m"), (acc["at"] + x["gap"]).alias("at")))).alias("all"))
+        placed = F.aggregate(F.arrays_zip(found.alias("m"), F.slice(before, F.lit(1), F.size(found)).alias("gap")), start, step, lambda acc: acc["all"])
+        check = _valid(kind)
+        good = F.filter(placed, lambda x: check(x["m"]))  # noqa: B023
+        out = out.withColumn(f"_{kind}", F.when(F.size(found) > 0, good).otherwise(F.array().cast("array<struct<m:string,at:int>>")))
+        out = out.withColumn(kind, F.transform(f"_{kind}", lambda x: x["m"])).withColumn(f"{kind}_at", F.transform(f"_{kind}", lambda x: x["at"])).drop(f"_{kind}")
+    return out
 
 
 def _masker(kind: str):

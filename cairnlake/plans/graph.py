@@ -173,8 +173,12 @@ SELECT doc_id, min(ord) AS first_ord, max(ord) AS last_ord, string_agg(content,
     ),
     Plan("ch21_rebuild", _rebuilt),
     Plan("ch22_merge_units", _merge_units, f"WITH o AS ({UNIT}), m AS (SELECT doc_id, unit, CASE WHEN f = 'R' THEN 'retried' ELSE text END AS text, f = 'R' AS retried FROM o) SELECT *, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM m"),
-    Plan("rp2_sections", lambda s, d: st.group_sections(_chunks(s, d).select("doc_id", "ord", F.col("ord").alias("chunk_id"), F.floor(F.col("ord") / 3).alias("section"))).select("doc_id", "section", F.size("chunk_ids").alias("n"), "first_ord")),
-    Plan("rp3_summary", lambda s, d: t(s, d, "documents").select("doc_id", st.extractive_summary("text").alias("summary"))),
+    Plan(
+        "rp2_sections",
+        lambda s, d: st.group_sections(t(s, d, "orders").select(F.col("o_custkey").alias("doc_id"), (F.col("o_orderkey") % 1000).alias("ord"), F.col("o_orderkey").alias("chunk_id"), F.col("o_orderpriority").alias("section"))).withColumn("chunk_ids", F.array_join(F.transform("chunk_ids", lambda x: x.cast("string")), ",")),
+        "SELECT o_custkey AS doc_id, o_orderpriority AS section, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey % 1000, o_orderkey) AS chunk_ids, min(o_orderkey % 1000) AS first_ord FROM orders GROUP BY ALL",
+    ),
+    Plan("rp3_summary", lambda s, d: t(s, d, "documents").select("doc_id", st.extractive_summary("text").alias("summary")), r"SELECT doc_id, array_to_string(list_transform(list_filter(regexp_extract_all(text, '[^.!?。！？\n]+[.!?。！？]?'), lambda x: length(trim(x)) >= 10)[1:4], lambda x: trim(x)), ' ')[1:1800] AS summary FROM documents"),
     Plan("gd1_numeric_claims", lambda s, d: t(s, d, "documents").select("doc_id", F.array_join(st.numeric_claims("text"), ",").alias("claims"))),
     Plan(
         "gd2_supported_quantities",

@@ -71,6 +71,22 @@ def _with_next(s, d):
     return own.join(after, "doc_id").select("doc_id", round_to(jaccard(F.col("a"), F.col("b"))).alias("jaccard"))
 
 
+#: Fingerprints by hand: each token's polynomial modulo 2**64 from its characters, then 64 counts of set bits.
+PRINTS_SQL = """k AS (SELECT doc_id, source, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS w FROM documents),
+h AS (SELECT doc_id, source, CAST(list_reduce(list_prepend(0::HUGEINT, list_transform(range(1, length(w) + 1), lambda i: CAST(ord(w[i:i]) AS HUGEINT))), lambda a, c: (a * 131 + c) % 18446744073709551616) AS UBIGINT) AS x FROM k),
+v AS (SELECT doc_id, source, count(*) AS n, """ + ", ".join(f"sum((x >> {b}) & 1) AS b{b}" for b in range(64)) + """ FROM h GROUP BY ALL),
+sums AS (SELECT doc_id, source, n, """ + " + ".join(f"CASE WHEN 2 * b{b} > n THEN {1 << b}::HUGEINT ELSE 0 END" for b in range(64)) + """ AS x FROM v),
+prints AS (SELECT doc_id, d.source, coalesce(n, 0) AS n, CAST(CASE WHEN x >= 9223372036854775808 THEN x - 18446744073709551616 ELSE coalesce(x, 0) END AS BIGINT) AS simhash FROM documents d LEFT JOIN sums USING (doc_id))"""
+_KEPT = [k.lower() for k in KEYWORDS if len(k) >= 2]
+POOL_SQL = (
+    r"WITH r AS (SELECT doc_id AS id, greatest(length(text), 1) AS len, lower(text) AS low, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents), "
+    + "c AS (SELECT id, len, " + ", ".join(f"contains(low, '{k}') AS p{i}, len(list_filter(ws, lambda w: w = '{k}')) AS f{i}" for i, k in enumerate(_KEPT)) + " FROM r), "
+    + "s AS (SELECT count(*) AS n, avg(len) AS mean, " + ", ".join(f"count(*) FILTER (p{i}) AS d{i}" for i in range(len(_KEPT))) + " FROM c), "
+    + "o AS (SELECT id, " + " + ".join(f"ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * f{i} * 2.2 / (f{i} + 1.2 * (1 - 0.75 + 0.75 * len / mean))" for i in range(len(_KEPT))) + " AS score FROM c, s) "
+    + "SELECT id, round(score, 6) AS score FROM o WHERE score > 0"
+)
+
+
 PLANS = [
     Plan("lx_bm25_search", _bm25, BM25_SQL),
     Plan(
@@ -78,8 +94,13 @@ PLANS = [
         lambda s, d: dd.first_by_hash(t(s, d, "documents").select("doc_id", "source", "text"), ["source"], "text", ["doc_id"]).select("doc_id", "source", "content_hash", "copies", "is_first"),
         "SELECT doc_id, source, sha256(coalesce(text, '')) AS content_hash, count(*) OVER w AS copies, doc_id = min(doc_id) OVER w AS is_first FROM documents WINDOW w AS (PARTITION BY source, sha256(coalesce(text, '')))",
     ),
-    Plan("dd2_simhash", lambda s, d: dd.with_simhash(t(s, d, "documents"), "doc_id", "text", ["source"])),
-    Plan("dd4_near_pairs", _near),
+    Plan("dd2_simhash", lambda s, d: dd.with_simhash(t(s, d, "documents"), "doc_id", "text", ["source"]), f"WITH {PRINTS_SQL} SELECT doc_id, source, CAST(n AS INTEGER) AS n_tokens, simhash FROM prints"),
+    Plan(
+        "dd4_near_pairs",
+        _near,
+        f"""WITH {PRINTS_SQL}, u AS (SELECT source, simhash, min(doc_id) AS id FROM prints WHERE n >= 200 GROUP BY ALL)
+SELECT source, least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b, CAST(bit_count(xor(a.simhash, b.simhash)) AS INTEGER) AS distance FROM u a JOIN u b USING (source) WHERE a.simhash < b.simhash AND bit_count(xor(a.simhash, b.simhash)) <= 3""",
+    ),
     Plan(
         "dd5_distinct_passages",
         lambda s, d: dd.distinct_passages(t(s, d, "documents").select("doc_id", "source", "text"), ["source"], [F.col("doc_id")]).select("doc_id", "source", "evidence_id"),
@@ -122,7 +143,7 @@ SELECT doc_id, round(CASE WHEN na = 0 OR nb = 0 THEN 0.0 ELSE n / (na + nb - n)
 SELECT * FROM c WHERE delta <> 0""",
     ),
     Plan("lx7_stats_after_delta", _applied, f"SELECT source AS kb_id, term, count(*) AS df FROM (SELECT source, unnest({WORDS_SQL.format('text')}) AS term FROM documents WHERE doc_id % 5 <> 1) GROUP BY ALL"),
-    Plan("lx11_pool_bm25", lambda s, d: lx.pool_bm25(t(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), KEYWORDS).withColumn("score", round_to(F.col("score")))),
+    Plan("lx11_pool_bm25", lambda s, d: lx.pool_bm25(t(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), KEYWORDS).withColumn("score", round_to(F.col("score"))), POOL_SQL),
     Plan(
         "lx12_index_health",
         lambda s, d: lx.index_health(_chunks(s, d), lx.postings(_chunks(s, d).where("chunk_id % 3 > 0"), ["kb_id", "chunk_id"]), ["kb_id"]),
@@ -152,7 +173,7 @@ SELECT * FROM f WHERE nth <= 4""",
 p AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.g, b.g)) AS n, len(a.g) + len(b.g) AS m FROM g a JOIN g b ON a.id <> b.id)
 SELECT id_a, id_b, round(n / (m - n), 6) AS similarity FROM p WHERE n / (m - n) >= 0.2""",
     ),
-    Plan("lx18_phrases", lambda s, d: t(s, d, "documents").select("doc_id", F.explode(lx.phrases("text")).alias("phrase"))),
+    Plan("lx18_phrases", lambda s, d: t(s, d, "documents").select("doc_id", F.explode(lx.phrases("text")).alias("phrase")), r"SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\p{Lu}[\p{L}\p{N}''-]+(?:\s+\p{Lu}[\p{L}\p{N}''-]+){1,6}')) AS phrase FROM documents"),
     Plan(
         "tm6_family_key",
         lambda s, d: t(s, d, "part").select("p_partkey", family_key(F.concat("p_name", F.lit(" v2.1.pdf"))).alias("family")),

@@ -69,6 +69,23 @@ def _labels(spark, d):
     return q.confusion(found, F.col("bad"), F.col("quality") == 0)
 
 
+#: A digit run is a phone number of 11 digits, an id of 18 with its check character, or a card of 16 to 19 with Luhn's sum.
+_ID_OK = "list_sum(list_transform(range(1, 19), lambda i: CASE WHEN upper(n[i:i]) = 'X' THEN 10 ELSE CAST(n[i:i] AS BIGINT) END * CAST(pow(2, 18 - i) AS BIGINT))) % 11 = 1"
+_CARD_OK = "list_sum(list_transform(range(1, len(n) + 1), lambda i: CASE WHEN (len(n) - i) % 2 = 0 THEN CAST(n[i:i] AS INTEGER) ELSE (CAST(n[i:i] AS INTEGER) * 2) // 10 + (CAST(n[i:i] AS INTEGER) * 2) % 10 END)) % 10 = 0"
+_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+_RUNS = rf"""d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_EMAIL}', '[REDACTED:email]', 'g') AS t FROM documents),
+p AS (SELECT doc_id, unnest(list_zip(l, range(1, len(l) + 1)), recursive := true) FROM (SELECT doc_id, list_concat([''], regexp_extract_all(t, '[0-9]+[Xx]?|[^0-9]+')) AS l FROM d)),
+k AS (SELECT doc_id, element2 AS i, element1 AS token, regexp_extract(element1, '^[0-9]+') AS digits, regexp_extract(element1, '^[0-9]+([Xx]?)', 1) AS x FROM p),
+n AS (SELECT *, CASE WHEN length(digits) = 17 THEN digits || x ELSE digits END AS id FROM k),
+v AS (SELECT * EXCLUDE (id), CASE WHEN regexp_matches(digits, '^1[3-9][0-9]{{9}}$') THEN 'phone_cn' WHEN length(id) = 18 AND {_ID_OK.replace("n[", "id[")} THEN 'id_cn' WHEN length(digits) BETWEEN 16 AND 19 AND {_CARD_OK.replace("n[", "digits[").replace("len(n)", "len(digits)")} THEN 'bank_card' END AS kind, id FROM n)"""
+_SCAN_SQL = rf"""WITH {_RUNS}, c AS (SELECT doc_id, count(*) FILTER (kind = 'phone_cn') AS phones, count(*) FILTER (kind = 'id_cn') AS ids FROM v GROUP BY 1),
+b AS (SELECT doc_id, count(*) FILTER (kind = 'bank_card' OR kind = 'id_cn' AND length(digits) BETWEEN 16 AND 19 AND {_CARD_OK.replace("n[", "digits[").replace("len(n)", "len(digits)")}) AS cards FROM v GROUP BY 1),
+e AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_EMAIL}') AS l FROM documents)
+SELECT doc_id, len(l) AS emails, array_to_string(l, ',') AS email, phones, ids, cards FROM e JOIN c USING (doc_id) JOIN b USING (doc_id)"""
+_REDACT_SQL = rf"""WITH {_RUNS}
+SELECT doc_id, sha256(string_agg(CASE WHEN kind IS NULL THEN token ELSE '[REDACTED:' || kind || ']' || CASE WHEN kind = 'id_cn' AND length(digits) = 17 THEN '' ELSE x END END, '' ORDER BY i)) AS redacted_sha256 FROM v GROUP BY 1"""
+
+
 PLANS = [
     Plan("tq1_content_quality", lambda s, d: q.assess_quality(t(s, d, "documents").select("doc_id", "text")).drop("text"), _assess_sql(r"[\p{L}\p{N}]")),
     Plan("tq2_worker_quality", lambda s, d: q.assess_quality(t(s, d, "documents").select("doc_id", "text"), han_and_ascii_only=True).drop("text"), _assess_sql(r"[A-Za-z0-9\x{4e00}-\x{9fff}]")),
@@ -76,8 +93,9 @@ PLANS = [
     Plan(
         "tq4_scan_pii",
         lambda s, d: q.scan_pii(t(s, d, "documents").select("doc_id", "text")).select("doc_id", F.size("email").cast("long").alias("emails"), F.array_join("email", ",").alias("email"), F.size("phone_cn").cast("long").alias("phones"), F.size("id_cn").cast("long").alias("ids"), F.size("bank_card").cast("long").alias("cards")),
+        _SCAN_SQL,
     ),
-    Plan("tq5_redact_pii", lambda s, d: q.redact_pii(t(s, d, "documents").select("doc_id", "text")).select("doc_id", F.sha2(F.col("redacted").cast("binary"), 256).alias("redacted_sha256"))),
+    Plan("tq5_redact_pii", lambda s, d: q.redact_pii(t(s, d, "documents").select("doc_id", "text")).select("doc_id", F.sha2(F.col("redacted").cast("binary"), 256).alias("redacted_sha256")), _REDACT_SQL),
     Plan(
         "tq6_simhash_tokens",
         lambda s, d: t(s, d, "documents").select("doc_id", q.simhash_tokens("text").alias("tokens")).select("doc_id", F.size("tokens").cast("long").alias("n"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("tokens_md5")),
