@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -65,13 +66,16 @@ def hamming(a: Column, b: Column) -> Column:
 def near_pairs(prints: DataFrame, id_col: str, scope: list[str], bits: int = NEAR_BITS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """DD4, JN12: pairs of distinct fingerprints of a scope at few differing bits, each with its least id and rows.
 
-    Equal fingerprints are one row each, so copies never multiply; pairs meet on one of bits + 1 equal bands."""
+    Equal fingerprints are one row each, so copies never multiply. The 64 bits fall into twice as many blocks as bits may
+    differ; a pair has half of them equal, so it meets on a key of half of the blocks: 32 bits for three differing ones."""
     distinct = prints.where(F.col("n_tokens") >= min_tokens).groupBy(*scope, "simhash").agg(F.min(id_col).alias("id"), F.count(F.lit(1)).alias("rows"))
-    width = 64 // (bits + 1)
-    bands = F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("simhash", k * width).bitwiseAND(F.lit((1 << width) - 1)).alias("part")) for k in range(bits + 1)))
-    keyed = distinct.withColumn("_b", F.explode(bands)).select(*scope, "simhash", "id", "rows", "_b.band", "_b.part")
-    other = keyed.select(*scope, "band", "part", F.col("simhash").alias("simhash_b"), F.col("id").alias("id_b"), F.col("rows").alias("rows_b"))
-    found = keyed.join(other, [*scope, "band", "part"]).where(F.col("simhash") < F.col("simhash_b"))
+    n = max(1, 2 * bits)
+    starts = [k * 64 // n for k in range(n + 1)]
+    block = [F.shiftrightunsigned("simhash", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(starts[:-1], starts[1:], strict=True)] if n > 1 else [F.col("simhash")]
+    keys = F.array(*(F.xxhash64(F.lit(i), *(block[k] for k in some)) for i, some in enumerate(combinations(range(n), n - bits if bits else 1))))
+    keyed = distinct.withColumn("key", F.explode(keys))
+    other = keyed.select(*scope, "key", F.col("simhash").alias("simhash_b"), F.col("id").alias("id_b"))
+    found = keyed.join(other, [*scope, "key"]).where(F.col("simhash") < F.col("simhash_b"))
     found = found.withColumn("distance", hamming(F.col("simhash"), F.col("simhash_b"))).where(F.col("distance") <= bits)
     return found.select(*scope, F.least("id", "id_b").alias("id_a"), F.greatest("id", "id_b").alias("id_b"), "distance").distinct()
 

@@ -141,7 +141,7 @@ def paired_bootstrap(pairs: DataFrame, keys: list[str], resamples: int = 5000, m
     import pyarrow as pa
 
     def draw(batches):
-        for batch in batches:
+        for batch in (b.slice(lo, 512) for b in batches for lo in range(0, b.num_rows, 512)):  # 512 rows of weights are 20 MB
             cols = [batch.column(i) for i in range(len(keys))]
             ids, diff = batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_numpy(zero_copy_only=False)
             w = np.array([np.random.default_rng([seed, abs(hash(int(i)))]).poisson(1, resamples) for i in ids], np.float64).reshape(len(ids), resamples)

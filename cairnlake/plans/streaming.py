@@ -66,11 +66,17 @@ def _maintenance(s, d):
     return jobs.maintenance(docs, F.lit("1996-01-01").cast("timestamp")).select("doc_id", "status_after", "conflict")
 
 
+BATCHES_SQL = """WITH RECURSIVE e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS "at", event_id, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS rn FROM events),
+r AS (SELECT *, "at" AS opened, 1 AS n, 0 AS batch FROM e WHERE rn = 1 UNION ALL
+SELECT e.*, CASE WHEN e."at" - opened >= 86400 OR n >= 3 THEN e."at" ELSE opened END, CASE WHEN e."at" - opened >= 86400 OR n >= 3 THEN 1 ELSE n + 1 END, batch + CASE WHEN e."at" - opened >= 86400 OR n >= 3 THEN 1 ELSE 0 END FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
+SELECT user_id, "at", event_id, batch FROM r"""
+
+
 PLANS = [
     Plan("sm1_outbox_step", _outbox, f"WITH {OUTBOX} SELECT * FROM step"),
     Plan("sm1_replay_dead", lambda s, d: jobs.replay_dead(_outbox(s, d)).select("event_id", "status", "retries"), f"WITH {OUTBOX} SELECT event_id, CASE WHEN status = 'dead' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'dead' THEN 0 ELSE retries END AS retries FROM step"),
     Plan("sm2_sync_changes", _sync, "SELECT o_custkey AS external_id, max(o_orderkey) AS sequence, arg_max(o_orderstatus, o_orderkey) AS content_hash FROM orders GROUP BY 1"),
-    Plan("sm3_first_event_batches", lambda s, d: jobs.first_event_batches(t(s, d, "events"), "event_type", "ts", 3600, 20)),
+    Plan("sm3_first_event_batches", lambda s, d: jobs.first_event_batches(t(s, d, "events"), "user_id", "ts", 86400, 3), BATCHES_SQL),
     Plan(
         "sm5_maintenance",
         _maintenance,
