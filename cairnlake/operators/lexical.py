@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from cairnlake.functions.text import count_of, grams, jaccard, letters_and_digits, words
+from cairnlake.session import written
 
 K1, B = 1.2, 0.75
 
@@ -75,10 +76,10 @@ def bm25_search(
     (budget None: all); a query whose rarest term is in over rarest_ratio of all chunks finds nothing."""
     qterms = queries.select("query_id", F.explode(F.slice(words("text"), 1, max_terms)).alias("term"))
     total = chunks.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).cast("double").alias("n"), F.sum(lexical_length("text")).alias("len")).select("n", F.greatest(F.col("len") / F.col("n"), F.lit(1.0)).alias("avgdl"))
-    # Only postings of asked terms are kept, before any counting.
+    # Only postings of asked terms are kept, before any counting; they are written, as both counts and scores read them.
     # Lengths are taken before the terms are spread, once for each chunk.
     sized = chunks.select("chunk_id", lexical_length("text").alias("len"), words("text").alias("terms"))
-    posts = sized.select("chunk_id", "len", F.explode("terms").alias("term")).join(qterms.select("term").distinct(), "term", "left_semi")
+    posts = written(sized.select("chunk_id", "len", F.explode("terms").alias("term")).join(qterms.select("term").distinct(), "term", "left_semi"), "asked-postings")
     df = posts.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     terms = qterms.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0.0))).crossJoin(total)
     own = Window.partitionBy("query_id")

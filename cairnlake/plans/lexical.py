@@ -9,6 +9,7 @@ from cairnlake.operators import dedupe as dd
 from cairnlake.operators import lexical as lx
 from cairnlake.plans.registry import Plan
 from cairnlake.session import read_table as t
+from cairnlake.session import written
 
 WORDS_SQL = r"list_distinct(list_concat(list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+'), lambda w: length(w) BETWEEN 2 AND 128), list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: length(w) BETWEEN 2 AND 64)))"
 LEN_SQL = r"greatest(len(regexp_extract_all({0}, '[\p{{L}}\p{{N}}]')), 1)"
@@ -42,6 +43,17 @@ SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS ra
 """
 
 
+_INDEX: dict[tuple[str, str], object] = {}
+
+
+def _index(s, d):
+    """Postings of all documents, written once for a session and a folder: the index that statistics are taken from."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _INDEX:
+        _INDEX[key] = written(lx.postings(_chunks(s, d), ["kb_id", "chunk_id"]), "postings")
+    return _INDEX[key]
+
+
 def _bm25(s, d):
     found = lx.bm25_search(_chunks(s, d), _queries(s, d))
     return found.select("query_id", "chunk_id", round_to(F.col("score")).alias("score"), "rank")
@@ -123,12 +135,12 @@ SELECT doc_id, source, sha256(raw) AS evidence_id FROM n WHERE nth = 1""",
 SELECT doc_id, round(CASE WHEN na = 0 OR nb = 0 THEN 0.0 ELSE n / (na + nb - n) END, 6) AS jaccard FROM p""",
     ),
     Plan("dd10_md5_sample", lambda s, d: dd.sample_by_md5(t(s, d, "documents"), "doc_id", 50).select("doc_id", "source"), "SELECT doc_id, source FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT 50"),
-    Plan("lx1_postings", lambda s, d: lx.postings(_chunks(s, d), ["kb_id", "chunk_id"]), f"SELECT source AS kb_id, doc_id AS chunk_id, unnest({WORDS_SQL.format('text')}) AS term, 1 AS tf FROM documents"),
+    Plan("lx1_postings", _index, f"SELECT source AS kb_id, doc_id AS chunk_id, unnest({WORDS_SQL.format('text')}) AS term, 1 AS tf FROM documents"),
     Plan("lx2_normalized_terms", lambda s, d: t(s, d, "documents").select("doc_id", F.md5(lx.normalize_term("text").cast("binary")).alias("terms_md5"))),
     Plan("lx3_lexical_length", lambda s, d: t(s, d, "documents").select("doc_id", lx.lexical_length("text").alias("len")), f"SELECT doc_id, {LEN_SQL.format('text')} AS len FROM documents"),
     Plan(
         "lx4_term_stats",
-        lambda s, d: lx.term_stats(lx.postings(_chunks(s, d), ["kb_id", "chunk_id"]), ["kb_id"]),
+        lambda s, d: lx.term_stats(_index(s, d), ["kb_id"]),
         f"SELECT kb_id, term, count(*) AS df FROM (SELECT source AS kb_id, unnest({WORDS_SQL.format('text')}) AS term FROM documents) GROUP BY ALL",
     ),
     Plan(
