@@ -13,13 +13,21 @@ CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 SUPPLEMENT = r"[\x{3040}-\x{30ff}\x{ac00}-\x{d7af}\x{3400}-\x{9fff}]"
 
 
-def assess_quality(docs: DataFrame, text: str = "text", confidence: str | None = None, han_and_ascii_only: bool = False) -> DataFrame:
+def assess_quality(
+    docs: DataFrame, text: str = "text", confidence: str | None = None, han_and_ascii_only: bool = False, native: str | None = None, upstream: str | None = None, failed: str | None = None, skipped: str | None = None, ocr_error: str | None = None
+) -> DataFrame:
     """TQ1 (TQ2 with han_and_ascii_only): adds characters, meaningful, replacement_ratio, control_ratio, placeholders,
-    quality_score and quality_status. Only a text without meaningful characters is rejected; a null text is empty."""
+    quality_score, quality_status and quality_issues. Only a text without meaningful characters, or one that a step before
+    rejected, is rejected; a null text is empty. The other names are columns of what a parser found: its own count of
+    characters (in place of the one made here), its status, units that failed or were skipped, an error of recognition."""
     t = F.coalesce(F.col(text), F.lit(""))
     visible = F.regexp_replace(F.regexp_replace(t, COMMENT, ""), IMAGE, "")
     meaningful = count_of(visible, f"[A-Za-z0-9{HAN}]") if han_and_ascii_only else letters_and_digits(visible)
+    if native:
+        meaningful = F.when(F.col(native).isNull(), meaningful).otherwise(F.greatest(F.col(native), F.lit(0))).cast("long")
     n = F.length(t).cast("long")
+    fact = lambda name, other: F.coalesce(F.col(name), other) if name else other
+    uncovered = (fact(failed, F.lit(0)) > 0) | (fact(skipped, F.lit(0)) > 0)
     replaced, control = safe_ratio(count_of(t, "�"), n), safe_ratio(count_of(t, CONTROL), n)
     score = 1 - F.least(replaced * 4, F.lit(0.45)) - F.least(control * 2, F.lit(0.2))
     if confidence:
@@ -32,7 +40,16 @@ def assess_quality(docs: DataFrame, text: str = "text", confidence: str | None =
         round_to(control).alias("control_ratio"),
         count_of(t, PLACEHOLDER).alias("placeholders"),
         round_to(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4).alias("quality_score"),
-        F.when(meaningful == 0, "rejected").otherwise("passed").alias("quality_status"),
+        F.when((meaningful == 0) | (fact(upstream, F.lit("")) == "rejected"), "rejected").otherwise("passed").alias("quality_status"),
+        F.array_compact(
+            F.array(
+                F.when(meaningful == 0, "no text"),
+                F.when(uncovered, "units not covered"),
+                F.when(replaced > 0, "replacement characters"),
+                F.when(count_of(t, PLACEHOLDER) > 0, "image placeholders"),
+                F.when(fact(ocr_error, F.lit("")) != "", "recognition failed"),
+            )
+        ).alias("quality_issues"),
     )
 
 

@@ -86,9 +86,30 @@ _REDACT_SQL = rf"""WITH {_RUNS}
 SELECT doc_id, sha256(string_agg(CASE WHEN kind IS NULL THEN token ELSE '[REDACTED:' || kind || ']' || CASE WHEN kind = 'id_cn' AND length(digits) = 17 THEN '' ELSE x END END, '' ORDER BY i)) AS redacted_sha256 FROM v GROUP BY 1"""
 
 
+def _with_facts(s, d):
+    """Texts with marks of every kind, and a parser's facts."""
+    k = F.col("doc_id")
+    marks = F.concat(F.when(k % 3 == 0, "\ufffd").otherwise(""), F.when(k % 4 == 0, "<!-- image -->").otherwise(""))
+    docs = t(s, d, "documents").select(
+        "doc_id", F.concat(marks, F.coalesce("text", F.lit(""))).alias("text"), F.when(k % 5 == 0, k % 10 - 5).alias("native"), F.when(k % 7 == 0, "rejected").alias("upstream"),
+        (k % 11 == 0).cast("int").alias("failed"), (k % 13 == 0).cast("int").alias("skipped"), F.when(k % 17 == 0, "late").alias("ocr"), F.when(k % 6 == 0, 0.5).alias("sure"),
+    )
+    found = q.assess_quality(docs, confidence="sure", native="native", upstream="upstream", failed="failed", skipped="skipped", ocr_error="ocr")
+    return found.select("doc_id", "meaningful", "quality_score", "quality_status", F.array_join("quality_issues", "; ").alias("issues"))
+
+
+_FACTS_SQL = r"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN chr(65533) ELSE '' END || CASE WHEN doc_id % 4 = 0 THEN '<!-- image -->' ELSE '' END || coalesce(text, '') AS t FROM documents),
+c AS (SELECT doc_id, length(t) AS n, CASE WHEN doc_id % 5 = 0 THEN greatest(doc_id % 10 - 5, 0) ELSE len(regexp_extract_all(regexp_replace(regexp_replace(t, '(?s)<!--.*?-->', '', 'g'), '!\[[^\]]*\]\([^)]*\)', '', 'g'), '[\p{L}\p{N}]')) END AS m,
+ len(regexp_extract_all(t, '\x{fffd}')) / greatest(length(t), 1) AS r, len(regexp_extract_all(t, '[\x00-\x08\x0b\x0c\x0e-\x1f]')) / greatest(length(t), 1) AS k, len(regexp_extract_all(t, '(?i)<!--\s*(?:image|picture|figure)(?:[^\n>]*)\s*-->')) AS p FROM d),
+s AS (SELECT *, 1 - least(4 * r, 0.45) - least(2 * k, 0.2) AS score FROM c)
+SELECT doc_id, CAST(m AS BIGINT) AS meaningful, round(CASE WHEN doc_id % 6 = 0 THEN least(score, 0.5) ELSE score END, 4) AS quality_score, CASE WHEN m = 0 OR doc_id % 7 = 0 THEN 'rejected' ELSE 'passed' END AS quality_status,
+ array_to_string(list_filter([CASE WHEN m = 0 THEN 'no text' END, CASE WHEN doc_id % 11 = 0 OR doc_id % 13 = 0 THEN 'units not covered' END, CASE WHEN r > 0 THEN 'replacement characters' END, CASE WHEN p > 0 THEN 'image placeholders' END, CASE WHEN doc_id % 17 = 0 THEN 'recognition failed' END], lambda x: x IS NOT NULL), '; ') AS issues FROM s"""
+
+
 PLANS = [
-    Plan("tq1_content_quality", lambda s, d: q.assess_quality(t(s, d, "documents").select("doc_id", "text")).drop("text"), _assess_sql(r"[\p{L}\p{N}]")),
-    Plan("tq2_worker_quality", lambda s, d: q.assess_quality(t(s, d, "documents").select("doc_id", "text"), han_and_ascii_only=True).drop("text"), _assess_sql(r"[A-Za-z0-9\x{4e00}-\x{9fff}]")),
+    Plan("tq1_with_facts", _with_facts, _FACTS_SQL),
+    Plan("tq1_content_quality", lambda s, d: q.assess_quality(t(s, d, "documents").select("doc_id", "text")).drop("text", "quality_issues"), _assess_sql(r"[\p{L}\p{N}]")),
+    Plan("tq2_worker_quality", lambda s, d: q.assess_quality(t(s, d, "documents").select("doc_id", "text"), han_and_ascii_only=True).drop("text", "quality_issues"), _assess_sql(r"[A-Za-z0-9\x{4e00}-\x{9fff}]")),
     Plan("tq3_detect_language", lambda s, d: t(s, d, "documents").select("doc_id", q.detect_language("text").alias("language")), _LANG_SQL),
     Plan(
         "tq4_scan_pii",
