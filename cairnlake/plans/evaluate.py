@@ -63,6 +63,10 @@ def _requests(s, d):
     return e.select("event_type", (F.col("event_type") != "error").alias("ok"), F.col("value").alias("ms"), F.unix_timestamp("ts").alias("second"))
 
 
+def _user_means(s, d):
+    return t(s, d, "events").groupBy("user_id").agg(F.avg("value").alias("value"))
+
+
 def _wilson(s, d):
     n = _qrels(s, d).groupBy("qid").agg(F.count_if(F.col("gain") > 0).alias("hits"), F.count(F.lit(1)).alias("n"))
     low, high = ev.wilson(F.col("hits"), F.col("n"))
@@ -165,8 +169,8 @@ SELECT qid, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 *
     ),
     Plan(
         "ev14_gates",
-        lambda s, d: ev.gates(t(s, d, "nation").select(F.col("n_name").alias("metric"), F.col("n_nationkey").cast("double").alias("value")).where("n_nationkey % 4 > 0"), t(s, d, "nation").select(F.col("n_name").alias("metric"), (F.col("n_regionkey") * 5).cast("double").alias("threshold"))),
-        "SELECT t.n_name AS metric, v.n_nationkey::DOUBLE AS value, (t.n_regionkey * 5)::DOUBLE AS threshold, coalesce(v.n_nationkey >= t.n_regionkey * 5, false) AS passed FROM nation t LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 4 > 0) v USING (n_nationkey)",
+        lambda s, d: _rounded(ev.gates(_user_means(s, d).where("user_id % 4 > 0").select(F.col("user_id").alias("metric"), "value"), _user_means(s, d).select(F.col("user_id").alias("metric"), (F.col("user_id") % 100).cast("double").alias("threshold"))), ["value"]),
+        "WITH m AS (SELECT user_id AS metric, avg(value) AS value FROM events GROUP BY 1) SELECT metric, CASE WHEN metric % 4 > 0 THEN round(value, 6) END AS value, (metric % 100)::DOUBLE AS threshold, metric % 4 > 0 AND value >= metric % 100 AS passed FROM m",
     ),
     Plan(
         "ev15_load_summary",

@@ -68,6 +68,16 @@ def _aliases(s, d):
     return gr.resolve_aliases(c, known, ledger).select("id", "how", "entity_id")
 
 
+ALIASES_SQL = """WITH c AS (SELECT p_partkey AS id, p_name || ' x' AS name, p_brand AS type, p_name AS other, p_partkey + 10000 AS entity_id FROM part),
+l AS (SELECT lower(name) AS k, id AS ledger_id FROM c WHERE id % 10 = 0), b AS (SELECT id, name, type, ledger_id FROM c LEFT JOIN l ON lower(name) = k),
+g AS (SELECT b.id, c.entity_id, name_ AS a, c.other AS o, list_distinct([substr('  ' || lower(name_) || ' ', i, 3) FOR i IN range(1, length(name_) + 2)]) AS x, list_distinct([substr('  ' || lower(c.other) || ' ', i, 3) FOR i IN range(1, length(c.other) + 2)]) AS y
+ FROM (SELECT DISTINCT id, name AS name_, type FROM b WHERE ledger_id IS NULL) b JOIN c USING (type)),
+s AS (SELECT *, len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) AS sim FROM g),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, entity_id) AS nth FROM s
+ WHERE sim >= 0.86 OR least(length(a), length(o)) >= 4 AND (contains(lower(a), lower(o)) OR contains(lower(o), lower(a))) AND least(length(a), length(o)) >= 0.6 * greatest(length(a), length(o)))
+SELECT b.id, CASE WHEN ledger_id IS NOT NULL THEN 'ledger' WHEN n.entity_id IS NOT NULL THEN 'similar' ELSE 'new' END AS how, coalesce(ledger_id, n.entity_id) AS entity_id FROM b LEFT JOIN n ON b.id = n.id AND nth = 1"""
+
+
 def _chunks(s, d):
     return st.chunks(t(s, d, "documents").select("doc_id", "text"))
 
@@ -78,7 +88,9 @@ def _stitch(s, d):
 
 
 def _rebuilt(s, d):
-    return st.rebuild(_chunks(s, d)).select("doc_id", F.length("text").alias("n"))
+    """Whether the chunks of a text give back all of it but for white space."""
+    bare = lambda c: F.md5(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "").cast("binary"))
+    return st.rebuild(_chunks(s, d)).select("doc_id", bare(F.col("text")).alias("text_md5"))
 
 
 def _quantities(s, d):
@@ -108,7 +120,7 @@ PLANS = [
     Plan("gr2_entity_type", lambda s, d: t(s, d, "supplier").select("s_suppkey", gr.entity_type(F.when(F.col("s_suppkey") % 3 == 0, F.concat("s_name", F.lit(" Inc."))).when(F.col("s_suppkey") % 3 == 1, F.concat("s_name", F.lit(" System"))).otherwise(F.col("s_name"))).alias("kind")), "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'organisation' WHEN 1 THEN 'system' ELSE 'concept' END AS kind FROM supplier"),
     Plan("gr3_entity_key", lambda s, d: t(s, d, "part").select("p_partkey", gr.entity_key(F.concat(F.lit("  "), "p_name", F.lit("  X ")), "p_brand").alias("key")), "SELECT p_partkey, lower(trim(regexp_replace('  ' || p_name || '  X ', '\\s+', ' ', 'g'))) || '|' || p_brand AS key FROM part"),
     Plan("gr4_merge_relations", lambda s, d: gr.merge_relations(_edges(s, d)).select("src", "dst", "kind", "weight", F.size("doc_ids").cast("long").alias("docs"), F.md5(F.array_join(F.transform("doc_ids", lambda x: x.cast("string")), ",").cast("binary")).alias("docs_md5")), f"WITH {EDGES} SELECT src, dst, kind, weight, len(doc_ids) AS docs, md5(array_to_string(doc_ids, ',')) AS docs_md5 FROM merged"),
-    Plan("gr5_resolve_aliases", _aliases),
+    Plan("gr5_resolve_aliases", _aliases, ALIASES_SQL),
     Plan(
         "gr6_remove_document",
         lambda s, d: gr.remove_document(gr.merge_relations(_edges(s, d)), t(s, d, "supplier").select(F.col("s_suppkey").alias("id")), F.lit(7).cast("long"))[0].select("src", "dst", "kind", F.size("doc_ids").cast("long").alias("docs")),
@@ -171,7 +183,7 @@ SELECT a.l_orderkey AS doc_a, b.l_orderkey AS doc_b, count(*) AS shared FROM r a
         """WITH c AS (SELECT l_orderkey AS doc_id, l_partkey % 9 AS ord, min(l_returnflag) AS content FROM lineitem GROUP BY ALL), i AS (SELECT *, ord - row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS island FROM c)
 SELECT doc_id, min(ord) AS first_ord, max(ord) AS last_ord, string_agg(content, chr(10) ORDER BY ord) AS content FROM i GROUP BY doc_id, island""",
     ),
-    Plan("ch21_rebuild", _rebuilt),
+    Plan("ch21_rebuild", _rebuilt, r"SELECT doc_id, md5(regexp_replace(text, '[\s\v]+', '', 'g')) AS text_md5 FROM documents WHERE regexp_matches(text, '\S')"),
     Plan("ch22_merge_units", _merge_units, f"WITH o AS ({UNIT}), m AS (SELECT doc_id, unit, CASE WHEN f = 'R' THEN 'retried' ELSE text END AS text, f = 'R' AS retried FROM o) SELECT *, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM m"),
     Plan(
         "rp2_sections",

@@ -180,10 +180,10 @@ SELECT * FROM f WHERE nth <= 4""",
     ),
     Plan(
         "lx17_similar_names",
-        lambda s, d: lx.similar_names(*(t(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")),) * 2, 0.2).withColumn("similarity", round_to(F.col("similarity"))),
-        """WITH g AS (SELECT n_nationkey AS id, list_distinct([substr(s, i, 3) FOR i IN range(1, length(s) - 1)]) AS g FROM (SELECT n_nationkey, '  ' || lower(n_name) || ' ' AS s FROM nation)),
-p AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.g, b.g)) AS n, len(a.g) + len(b.g) AS m FROM g a JOIN g b ON a.id <> b.id)
-SELECT id_a, id_b, round(n / (m - n), 6) AS similarity FROM p WHERE n / (m - n) >= 0.2""",
+        lambda s, d: lx.similar_names(*(t(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("name")),) * 2, 0.85).withColumn("similarity", round_to(F.col("similarity"))),
+        """WITH g AS (SELECT p_partkey AS id, list_distinct([substr(s, i, 3) FOR i IN range(1, length(s) - 1)]) AS g FROM (SELECT p_partkey, '  ' || lower(p_name || ' ' || p_brand || ' ' || p_type) || ' ' AS s FROM part)),
+u AS (SELECT id, len(g) AS n, unnest(g) AS x FROM g), p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS n, any_value(a.n + b.n) AS m FROM u a JOIN u b USING (x) WHERE a.id <> b.id AND least(a.n, b.n) >= 0.85 * greatest(a.n, b.n) GROUP BY ALL)
+SELECT id_a, id_b, round(n / (m - n), 6) AS similarity FROM p WHERE n / (m - n) >= 0.85""",
     ),
     Plan("lx18_phrases", lambda s, d: t(s, d, "documents").select("doc_id", F.explode(lx.phrases("text")).alias("phrase")), r"SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\p{Lu}[\p{L}\p{N}''-]+(?:\s+\p{Lu}[\p{L}\p{N}''-]+){1,6}')) AS phrase FROM documents"),
     Plan(

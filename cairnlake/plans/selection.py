@@ -89,7 +89,11 @@ PLANS = [
 SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY g, score DESC, chunk_id) AS INTEGER) AS place FROM g""",
     ),
     Plan("rk25_missing_aspects", lambda s, d: se.missing_aspects(_questions(s, d), _evidence(s, d))),
-    Plan("rk25_bridge_titles", lambda s, d: se.bridge_titles(t(s, d, "nation").select(F.col("n_regionkey").alias("query_id"), F.lower("n_name").alias("name")), t(s, d, "nation").select(F.col("n_name").alias("title"), F.col("n_nationkey").alias("doc_id"))), "SELECT n_regionkey AS query_id, lower(n_name) AS name, n_nationkey AS doc_id FROM nation"),
+    Plan(
+        "rk25_bridge_titles",
+        lambda s, d: se.bridge_titles(t(s, d, "part").select((F.col("p_partkey") % 20).alias("query_id"), F.lower("p_name").alias("name")), t(s, d, "part").where("p_size > 25").select(F.upper("p_name").alias("title"), F.col("p_partkey").alias("doc_id"))),
+        "SELECT DISTINCT a.p_partkey % 20 AS query_id, lower(a.p_name) AS name, b.p_partkey AS doc_id FROM part a JOIN part b ON lower(a.p_name) = lower(b.p_name) WHERE b.p_size > 25",
+    ),
     Plan("rk26_supporting_sentences", lambda s, d: se.supporting_sentences(_evidence(s, d), _questions(s, d))),
     Plan("rk29_tier", lambda s, d: t(s, d, "orders").select("o_orderkey", se.tier(F.col("o_orderkey") % 6, F.when(F.col("o_custkey") % 3 == 0, "simple").when(F.col("o_custkey") % 3 == 1, "multi_hop").otherwise("comparative"), F.col("o_custkey") % 5).alias("tier")), "SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 AND o_orderkey % 6 <= 1 AND o_custkey % 5 <= 3 THEN 'fast' WHEN o_custkey % 3 = 1 OR o_orderkey % 6 > 3 THEN 'deep' ELSE 'standard' END AS tier FROM orders"),
     Plan("rk30_sibling_chunks", _siblings),
