@@ -103,10 +103,16 @@ def _publish(s, d):
 
 def _cache(s, d):
     e = t(s, d, "events")
-    cache = e.select(F.col("event_type").alias("question_key"), (F.col("user_id") % 4).alias("scope"), (F.col("user_id") % 2).alias("epoch"), F.col("event_id").alias("answer"), F.col("ts").alias("created_at"), F.timestamp_add("HOUR", F.lit(1), "ts").alias("expires_at"))
-    asked = e.select(F.col("event_type").alias("question_key"), (F.col("user_id") % 5).alias("scope"), (F.col("user_id") % 2).alias("epoch")).distinct()
-    middle = e.agg(F.percentile_approx("ts", 0.5).alias("m"))
-    return ac.cache_lookup(asked, cache.crossJoin(middle).where("expires_at > m").drop("m"), F.lit("1970-01-01").cast("timestamp"))
+    key = [F.col("event_type").alias("question_key"), (F.col("user_id") % 4).alias("scope"), (F.col("user_id") % 2).alias("epoch")]
+    expires = F.when(F.col("event_id") % 3 > 0, F.timestamp_add("HOUR", F.lit(1), "ts")).otherwise(F.lit("1970-01-01").cast("timestamp"))
+    cache = e.where("event_id % 7 > 0").select(*key, F.col("event_id").alias("answer"), F.col("ts").alias("created_at"), expires.alias("expires_at"))
+    asked = e.select(key[0], (F.col("user_id") % 5).alias("scope"), key[2]).distinct()
+    return ac.cache_lookup(asked, cache, F.lit("1971-01-01").cast("timestamp"))
+
+
+CACHE_SQL = """WITH c AS (SELECT event_type AS question_key, user_id % 4 AS scope, user_id % 2 AS epoch, arg_max(event_id, (ts, event_id)) AS answer FROM events WHERE event_id % 7 > 0 AND event_id % 3 > 0 GROUP BY ALL),
+a AS (SELECT DISTINCT event_type AS question_key, user_id % 5 AS scope, user_id % 2 AS epoch FROM events)
+SELECT question_key, scope, epoch, answer FROM a LEFT JOIN c USING (question_key, scope, epoch)"""
 
 
 def _diff(s, d):
@@ -201,7 +207,7 @@ SELECT doc_id, coalesce(effective_to, TIMESTAMP '{AS_OF}') AS effective_to, 'sup
 SELECT doc_id, change, count(*) AS lines FROM (SELECT *, 'removed' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'added' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) GROUP BY ALL""",
     ),
     Plan("tm8_manifest_hash", lambda s, d: ac.manifest_hash(t(s, d, "lineitem"), ["l_orderkey"], "l_linenumber", F.col("l_partkey").cast("string")), "SELECT l_orderkey, sha256(string_agg(CAST(l_partkey AS VARCHAR), chr(10) ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR))) AS manifest_hash, count(*) AS n FROM lineitem GROUP BY 1"),
-    Plan("tm9_cache_lookup", _cache),
+    Plan("tm9_cache_lookup", _cache, CACHE_SQL),
     Plan(
         "tm10_scope_fingerprints",
         lambda s, d: ac.scope_fingerprints(t(s, d, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("source_key"))),

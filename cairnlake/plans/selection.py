@@ -80,6 +80,18 @@ def _self(s, d):
     return found.agg(F.count(F.lit(1)).alias("queries"), F.count_if("found").alias("found"), round_to(F.avg(F.when(F.col("found"), 1 / F.col("rank")).otherwise(0.0))).alias("mrr"))
 
 
+FOUND_SQL = """c AS (SELECT p_brand AS title, min(p_partkey) AS community_id, min(p_type) AS summary FROM part GROUP BY 1),
+cs AS (SELECT q.vec_id AS query_id, c.community_id, c.title, c.summary, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS cosine FROM embeddings q CROSS JOIN c LEFT JOIN embeddings e ON e.vec_id + 1 = c.community_id WHERE q.vec_id % 20 = 0),
+w AS (SELECT *, 3 * contains(lower(title), 'steel')::INT + contains(lower(summary), 'steel')::INT + 3 * contains(lower(title), 'brand#1')::INT + contains(lower(summary), 'brand#1')::INT AS words FROM cs),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY words DESC, community_id) AS rw, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC NULLS LAST, community_id) AS rc FROM w),
+f AS (SELECT query_id, community_id, CASE WHEN words > 0 THEN 1.0 / (60 + rw) ELSE 0 END + CASE WHEN cosine > 0 THEN 1.0 / (60 + rc) ELSE 0 END AS rrf FROM r),
+found AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, community_id) AS INTEGER) AS rank FROM f WHERE rrf > 0)"""
+DRIFT_SQL = f"""WITH {FOUND_SQL}, m AS (SELECT query_id, p_name AS name, min(rank) AS rank FROM found JOIN part ON p_partkey % 25 + 1 = community_id WHERE rank <= 3 GROUP BY ALL)
+SELECT query_id, name, nth FROM (SELECT query_id, name, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank, name) AS INTEGER) AS nth FROM m) WHERE nth <= 4"""
+SUMMARIES_SQL = f"""WITH {FOUND_SQL}, s AS (SELECT query_id, community_id AS node_id, CASE WHEN cosine >= 0.3 THEN cosine WHEN contains(lower(summary), 'steel') OR contains(lower(summary), 'brand#1') THEN 0.01 * (contains(lower(summary), 'steel')::INT + contains(lower(summary), 'brand#1')::INT) END AS score FROM cs)
+SELECT query_id, node_id, round(score, 4) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS INTEGER) AS rank FROM s WHERE score IS NOT NULL) WHERE rank <= 5"""
+
+
 PLANS = [
     Plan("rk17_select_evidence", lambda s, d: se.select_evidence(_candidates(s, d), 1500)),
     Plan(
@@ -107,9 +119,9 @@ SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER B
     Plan("gd3_polarity", lambda s, d: t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", se.polarity_conflict(F.when(F.col("l_returnflag") == "R", "it is at most 5").otherwise("it is allowed"), F.when(F.col("l_linestatus") == "O", "at least 5").otherwise("it is not allowed")).alias("conflict")), "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linestatus = 'O' THEN l_returnflag = 'R' ELSE true END AS conflict FROM lineitem"),
     Plan("gd5_attributed", lambda s, d: t(s, d, "orders").select("o_orderkey", se.attributed(F.concat(F.lit("on "), F.date_format("o_orderdate", "yyyy-MM-dd")), F.concat(F.lit("dated "), F.date_format(F.date_add(F.to_date("o_orderdate"), F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(0)), "yyyy-MM-dd"))).alias("attributed")), "SELECT o_orderkey, o_orderkey % 2 <> 0 AS attributed FROM orders"),
     Plan("lx15_keywords", lambda s, d: t(s, d, "benchmark").select("item_id", F.array_join(se.query_keywords("text"), ",").alias("keywords"))),
-    Plan("gr14_search_communities", lambda s, d: se.search_communities(_keyword_queries(s, d), _communities(s, d)).withColumn("rrf", round_to(F.col("rrf")))),
-    Plan("gr15_drift_probes", _drift),
-    Plan("rp6_search_summaries", lambda s, d: se.search_summaries(_keyword_queries(s, d), _communities(s, d).select(F.col("community_id").alias("node_id"), F.lit(1).alias("level"), F.col("summary").alias("text"), "embedding")).withColumn("score", round_to(F.col("score")))),
+    Plan("gr14_search_communities", lambda s, d: se.search_communities(_keyword_queries(s, d), _communities(s, d)).withColumn("rrf", round_to(F.col("rrf"))), f"WITH {FOUND_SQL} SELECT query_id, community_id, round(rrf, 6) AS rrf, rank FROM found WHERE rank <= 5"),
+    Plan("gr15_drift_probes", _drift, DRIFT_SQL),
+    Plan("rp6_search_summaries", lambda s, d: se.search_summaries(_keyword_queries(s, d), _communities(s, d).select(F.col("community_id").alias("node_id"), F.lit(1).alias("level"), F.col("summary").alias("text"), "embedding")).withColumn("score", round_to(F.col("score"), 4)), SUMMARIES_SQL),
     Plan("ch19_passages", lambda s, d: _passages(s, d).select("doc_id", "ord", F.md5(F.col("text").cast("binary")).alias("text_md5"))),
     Plan("ch20_localise", _localise),
     Plan("ev8_alias_match", lambda s, d: t(s, d, "part").select("p_partkey", F.pandas_udf(ev.alias_match, BooleanType())(F.concat(F.lit("The "), "p_brand", F.lit(" brand.")), F.array("p_brand", "p_name")).alias("match")), "SELECT p_partkey, true AS match FROM part"),
