@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,15 +50,20 @@ def _unspaced(run: Column) -> Column:
     return F.concat(F.filter(chars, lambda c: ~F.contains(F.lit(CJK_STOPS), c)), F.array_compact(pairs))
 
 
+def _terms(low: Column, of_runs: Callable[[Column], Column]) -> Column:
+    runs = of_runs(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    ascii_runs = F.filter(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w).between(2, 64))
+    return F.array_distinct(F.concat(runs, ascii_runs))
+
+
 def words(text: Column | str, most: int | None = None) -> Column:
     """Distinct index terms of a text, the first ``most`` if that is given: letter-digit runs of 2 to 128 characters (of runs that
     hold scripts without spaces, characters and pairs), then their ASCII parts of 2 to 64. Full-width ASCII counts as ASCII."""
-    low = F.lower(F.translate(text, WIDE, NARROW))
-    runs = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    spaced = F.filter(runs, lambda w: F.length(w).between(2, 128))
-    mixed = F.flatten(F.transform(runs, lambda w: F.when(w.rlike(CJK), _unspaced(w)).when(F.length(w).between(2, 128), F.array(w)).otherwise(F.array().cast("array<string>"))))
-    ascii_runs = F.filter(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w).between(2, 64))
-    found = F.array_distinct(F.concat(F.when(low.rlike(CJK), mixed).otherwise(spaced), ascii_runs))
+    plain = _terms(F.lower(text), lambda runs: F.filter(runs, lambda w: F.length(w).between(2, 128)))
+    mixed = lambda runs: F.flatten(F.transform(runs, lambda w: F.when(w.rlike(CJK), _unspaced(w)).when(F.length(w).between(2, 128), F.array(w)).otherwise(F.array().cast("array<string>"))))
+    # Nearly all texts have neither full-width characters nor such scripts: they take the short way.
+    other = F.rlike(text, F.lit(CJK.replace("]", "\uff01-\uff5e]")))
+    found = F.when(other, _terms(F.lower(F.translate(text, WIDE, NARROW)), mixed)).otherwise(plain)
     return found if most is None else F.slice(found, 1, most)
 
 
