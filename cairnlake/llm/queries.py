@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairnlake.llm import bpe, exact_dedup, langid, mixing, pii, quality, simhash, tokencount, tokenfiles, toxicity
+from cairnlake.llm import bpe, exact_dedup, langid, mixing, pieces, pii, quality, simhash, tokencount, tokenfiles, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_language_id": langid.op9_language_id,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op13_sentencepiece": pieces.op13_sentencepiece,
     }
 
 
