@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairnlake.llm import bpe, exact_dedup, langid, mixing, pieces, pii, quality, simhash, tokencount, tokenfiles, toxicity
+from cairnlake.llm import bpe, codes, exact_dedup, langid, mixing, negatives, pieces, pii, quality, simhash, tokencount, tokenfiles, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_language_id": langid.op9_language_id,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op11_hard_negatives": negatives.op11_hard_negatives,
+        "op12_vector_codes": codes.op12_vector_codes,
         "op13_sentencepiece": pieces.op13_sentencepiece,
     }
 
@@ -24,4 +26,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op10_exact_dedup": exact_dedup.SQL,
+        "op11_hard_negatives": negatives.SQL,
+        "op12_vector_codes": codes.SQL,
     }
