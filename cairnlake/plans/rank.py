@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairnlake.functions.text import round_to
+from cairnlake.operators import graph_index as gi
 from cairnlake.operators import rank as rk
 from cairnlake.operators import vector as vx
 from cairnlake.plans.registry import Plan
 from cairnlake.session import read_table as t
+from cairnlake.session import written
 
 CHANNEL = {"1-URGENT": "lexical", "2-HIGH": "vector", "3-MEDIUM": "graph", "4-NOT SPECIFIED": "sparse", "5-LOW": "title"}
 HITS = """hits AS (SELECT o_custkey AS query_id, o_orderkey AS chunk_id, o_orderkey % 97 AS doc_id, o_orderkey % 13 AS ord, o_totalprice / 500000 AS score,
@@ -75,6 +77,32 @@ def _ivf(s, d):
     return recall.agg(F.count(F.lit(1)).alias("queries"), (F.avg("recall") >= 0.9).alias("reached"))
 
 
+#: Filters of the graph search: the scopes that a query may read, of twenty (null: all).
+FILTERS = {"all": None, "a quarter": 5, "a twentieth": 1}
+
+
+def _graph(s, d):
+    """A graph index of all vectors, searched for every twentieth one under each filter, against exact search."""
+    v = _vectors(s, d).select("vec_id", "embedding", (F.col("vec_id") % 20).alias("scope"))
+    index = written(gi.build(v, "scope"), "graph-index")
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    out = None
+    for name, n in FILTERS.items():
+        first = (F.col("query_id") / 20).cast("long")
+        scopes = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: ((first + i) % 20).cast("string")) if n else F.lit(None).cast("array<string>")
+        asked = q.withColumn("scopes", scopes)
+        found = written(gi.walked(index, asked, 10), "graph-hits")
+        recall = vx.recall_at_k(vx.knn(v, asked, 10, scope="scope"), gi.hits(found, 10), 10)
+        part = recall.join(gi.effort(found, index), "query_id").select(F.lit(name).alias("filter"), "query_id", round_to(F.col("recall")).alias("recall"), "short", round_to(F.col("distance_share")).alias("distance_share"), round_to(F.col("sketch_share")).alias("sketch_share"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _graph_gate(s, d):
+    g = _graph(s, d).groupBy("filter").agg(F.count(F.lit(1)).alias("queries"), F.avg("recall").alias("recall"), F.count_if("short").alias("short"))
+    return g.select("filter", "queries", (F.col("recall") >= 0.95).alias("reached"), "short")
+
+
 def _sparse(s, d):
     li = t(s, d, "lineitem")
     posts = li.groupBy(F.col("l_orderkey").alias("chunk_id"), (F.col("l_partkey") % 500).alias("token")).agg(F.sum("l_quantity").alias("weight"))
@@ -155,6 +183,8 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY round(score,
     Plan("vx7_window_clusters", lambda s, d: vx.window_clusters(_vectors(s, d).select("label", "vec_id", "embedding"), "label", "vec_id")),
     Plan("vx8_finite_vectors", lambda s, d: _vectors(s, d).select("vec_id", vx.is_finite("embedding").alias("ok")), "SELECT vec_id, len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AS ok FROM embeddings"),
     Plan("vx9_coverage", lambda s, d: vx.coverage(_vectors(s, d).withColumn("embedding", F.when(F.col("vec_id") % 7 > 0, F.col("embedding"))), ["label"]), "SELECT label, count(*) AS n, count(*) FILTER (vec_id % 7 = 0) AS missing FROM embeddings GROUP BY 1"),
+    Plan("vx2_graph_recall", _graph),
+    Plan("vx2_graph_gate", _graph_gate, "SELECT f AS filter, count(*) AS queries, true AS reached, 0 AS short FROM embeddings, (VALUES ('all'), ('a quarter'), ('a twentieth')) AS t(f) WHERE vec_id % 20 = 0 GROUP BY 1"),
     Plan("vx10_model_drift", lambda s, d: vx.model_drift(t(s, d, "customer").select(F.col("c_custkey").alias("kb_id"), F.col("c_mktsegment").alias("model")), "BUILDING"), "SELECT c_custkey AS kb_id, c_mktsegment AS model FROM customer WHERE c_mktsegment IS DISTINCT FROM 'BUILDING'"),
     Plan("vx11_merge_probes", _probes, _sql("SELECT query_id, doc_id AS chunk_id, max(score) AS score, arg_min(channel, struct_pack(a := -score, b := channel)) AS probe FROM hits GROUP BY ALL")),
     Plan("vx12_valid_vectors", lambda s, d: vx.valid_vectors(_vectors(s, d), "embedding", 64).select("vec_id", "ok", F.col("embedding").isNull().alias("dropped")), "SELECT vec_id, len(embedding) = 64 AS ok, len(embedding) <> 64 AS dropped FROM embeddings"),
