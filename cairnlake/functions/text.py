@@ -67,6 +67,14 @@ def words(text: Column | str, most: int | None = None) -> Column:
     return found if most is None else F.slice(found, 1, most)
 
 
+def word_sequence(text: Column | str) -> Column:
+    """Index terms of a text in their order, repeats included, without the ASCII parts of mixed runs: what stands at each position."""
+    runs = F.regexp_extract_all(F.lower(F.translate(text, WIDE, NARROW)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    plain = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.length(w).between(2, 128))
+    mixed = F.flatten(F.transform(runs, lambda w: F.when(w.rlike(CJK), _unspaced(w)).when(F.length(w).between(2, 128), F.array(w)).otherwise(F.array().cast("array<string>"))))
+    return F.when(F.rlike(text, F.lit(CJK.replace("]", "\uff01-\uff5e]"))), mixed).otherwise(plain)
+
+
 def grams(s: Column, n: int) -> Column:
     """Distinct character n-grams of a string, in order of appearance."""
     last = F.length(s) - n + 1

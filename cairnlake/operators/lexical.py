@@ -7,10 +7,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from cairnlake.functions.text import count_of, grams, jaccard, letters_and_digits, words
+from cairnlake.functions.text import count_of, grams, jaccard, letters_and_digits, word_sequence, words
 from cairnlake.session import written
 
 K1, B = 1.2, 0.75
+#: LX10: fixed value: the weight of a plain term.
+TERM_WEIGHT = 0.1
 
 
 @F.pandas_udf(StringType())
@@ -42,6 +44,60 @@ def candidate_window(posts: DataFrame, asked: DataFrame, window: int, keys: list
     return hits.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= window).drop("_n")
 
 
+def positional_postings(chunks: DataFrame, keys: list[str], text: str = "text", terms: DataFrame | None = None) -> DataFrame:
+    """LX10: a row for each term of each chunk with its positions, ascending, from 1. With ``terms`` (term) only these are kept, before
+    anything is grouped."""
+    placed = chunks.select(*keys, F.posexplode(word_sequence(text)).alias("pos", "term"))
+    if terms is not None:
+        placed = placed.join(terms.select("term").distinct(), "term", "left_semi")
+    return placed.groupBy(*keys, "term").agg(F.array_sort(F.collect_list(F.col("pos") + 1)).alias("positions"))
+
+
+def _covers(occurrences: Column, n: Column) -> Column:
+    """Sum over the minimal covers of n terms: occurrences are (position, place, term number) in order. A sweep remembers each
+    term's last place; where the least of them moves on, the stretch from there to here is a cover that holds no other one. It counts
+    with its share of asked words: 1 / (1 + words in it that were not asked)."""
+    none = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.lit(0).alias("place"), F.lit(0).alias("pos")))
+    start = F.struct(none.alias("last"), F.lit(0).alias("from"), F.lit(0.0).alias("sum"))
+
+    def step(state: Column, x: Column) -> Column:
+        last = F.transform(state["last"], lambda old, i: F.when(i == x["term"], F.struct(x["place"].alias("place"), x["pos"].alias("pos"))).otherwise(old))
+        first = F.array_min(last)
+        new = first["place"] > state["from"]
+        noise = (x["pos"] - first["pos"]) - (x["place"] - first["place"])
+        return F.struct(last.alias("last"), F.when(new, first["place"]).otherwise(state["from"]).alias("from"), (state["sum"] + F.when(new, 1 / (1 + noise)).otherwise(F.lit(0.0))).alias("sum"))
+
+    return F.aggregate(occurrences, start, step, lambda state: state["sum"])
+
+
+def cover_density(posts: DataFrame, asked: DataFrame, keys: list[str], all_terms: bool = True) -> DataFrame:
+    """LX10: (query_id, *keys, matched, density) of chunks by how closely they hold the asked terms: posts with positions, asked
+    (query_id, term). With ``all_terms`` a chunk must hold each term of the query, and its minimal covers count; else any term
+    will do, and each occurrence is a cover of its own. A query's terms in one chunk are what is grouped: bounded by the chunk."""
+    numbered = asked.groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    numbered = numbered.select("query_id", F.size("terms").alias("n"), F.posexplode("terms").alias("number", "term"))
+    met = posts.join(numbered, "term")
+    found = met.groupBy("query_id", *keys, "n").agg(F.count(F.lit(1)).alias("matched"), F.sum(F.size("positions")).alias("occurrences"), F.collect_list(F.struct("number", "positions")).alias("held"))
+    if not all_terms:
+        return found.select("query_id", *keys, "matched", (TERM_WEIGHT * F.col("occurrences")).alias("density"))
+    every = F.array_sort(F.flatten(F.transform("held", lambda h: F.transform(h["positions"], lambda p: F.struct(p.alias("pos"), h["number"].alias("term"))))))
+    placed = F.transform(every, lambda x, i: F.struct(x["pos"].alias("pos"), (i + 1).alias("place"), x["term"].alias("term")))
+    return found.where("matched = n").select("query_id", *keys, "matched", (TERM_WEIGHT * _covers(placed, F.col("n"))).alias("density"))
+
+
+def density_window(density: DataFrame, window: int, keys: list[str]) -> DataFrame:
+    """LX10: the ``window`` densest chunks of each query, ties by key; adds rank."""
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("density", 9)), *keys)
+    return density.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= window)
+
+
+def rarest_terms(asked: DataFrame, stats: DataFrame, most: int) -> DataFrame:
+    """The ``most`` rarest terms (query_id, term) of each query among those that any chunk holds."""
+    known = asked.join(stats.select("term", "df"), "term")
+    first = Window.partitionBy("query_id").orderBy("df", "term")
+    return known.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).select("query_id", "term")
+
+
 def term_stats(posts: DataFrame, scope: list[str]) -> DataFrame:
     """LX4: document frequency of each term of each scope."""
     return posts.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))

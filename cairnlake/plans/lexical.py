@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairnlake.functions.text import family_key, jaccard, round_to, words
+from cairnlake.functions.text import family_key, jaccard, round_to, word_sequence, words
 from cairnlake.operators import dedupe as dd
 from cairnlake.operators import lexical as lx
 from cairnlake.plans.registry import Plan
@@ -43,15 +43,8 @@ SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS ra
 """
 
 
-_INDEX: dict[tuple[str, str], object] = {}
-
-
-def _index(s, d):
-    """Postings of all documents, written once for a session and a folder: the index that statistics are taken from."""
-    key = (s.sparkContext.applicationId, d)
-    if key not in _INDEX:
-        _INDEX[key] = written(lx.postings(_chunks(s, d), ["kb_id", "chunk_id"]), "postings")
-    return _INDEX[key]
+def _postings(s, d):
+    return lx.postings(_chunks(s, d), ["kb_id", "chunk_id"])
 
 
 def _bm25(s, d):
@@ -59,6 +52,40 @@ def _bm25(s, d):
     return found.select("query_id", "chunk_id", round_to(F.col("score")).alias("score"), "rank")
 
 
+def _cover(s, d, terms, all_terms):
+    """Each benchmark item's rarest terms among all documents, and the documents that hold them most densely. Positions of asked
+    terms alone are kept; they are written, as frequencies and covers read them."""
+    asked = _queries(s, d).select("query_id", F.explode(F.array_distinct(word_sequence("text"))).alias("term"))
+    posts = written(lx.positional_postings(_chunks(s, d), ["chunk_id"], terms=asked), "positions")
+    density = lx.cover_density(posts, lx.rarest_terms(asked, posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), terms), ["chunk_id"], all_terms)
+    return lx.density_window(density, 20, ["chunk_id"]).withColumn("density", round_to(F.col("density"), 9))
+
+
+#: Words at their positions, those of benchmark items, and each item's two rarest.
+COVER_SQL = r"""WITH w AS (SELECT doc_id AS chunk_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: length(w) BETWEEN 2 AND 128) AS ws FROM documents),
+p AS MATERIALIZED (SELECT chunk_id, unnest(ws) AS term, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: length(w) BETWEEN 2 AND 128)) AS term FROM benchmark),
+df AS (SELECT term, count(DISTINCT chunk_id) AS df FROM p WHERE term IN (SELECT term FROM q) GROUP BY term),
+k AS MATERIALIZED (SELECT query_id, term, nth, count(*) OVER (PARTITION BY query_id) AS n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY df, term) AS nth FROM q JOIN df USING (term)) WHERE nth <= {0}),
+o AS MATERIALIZED (SELECT query_id, chunk_id, nth, n, pos, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY pos) AS place FROM k JOIN p USING (term)),
+"""
+COVER_ALL_SQL = (
+    COVER_SQL.replace("{0}", "2")
+    + """e AS (SELECT *, greatest(min(CASE WHEN nth = 1 THEN pos END) OVER f, CASE WHEN n = 2 THEN min(CASE WHEN nth = 2 THEN pos END) OVER f ELSE pos END) AS stop, n = 1 OR min(CASE WHEN nth = 2 THEN pos END) OVER f IS NOT NULL AND min(CASE WHEN nth = 1 THEN pos END) OVER f IS NOT NULL AS whole
+ FROM o WINDOW f AS (PARTITION BY query_id, chunk_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+c AS (SELECT query_id, chunk_id, any_value(n) AS n, stop, max(pos) AS start FROM e WHERE whole GROUP BY query_id, chunk_id, stop),
+s AS (SELECT c.query_id, c.chunk_id, any_value(c.n) AS matched, 0.1::DOUBLE * sum(1.0::DOUBLE / (1 + (c.stop - c.start) - (b.place - a.place))) AS density FROM c JOIN o a ON a.query_id = c.query_id AND a.chunk_id = c.chunk_id AND a.pos = c.start JOIN o b ON b.query_id = c.query_id AND b.chunk_id = c.chunk_id AND b.pos = c.stop GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(density, 9) DESC, chunk_id) AS rank FROM s)
+SELECT query_id, chunk_id, matched, round(density, 9) AS density, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20"""
+)
+COVER_ANY_SQL = (
+    COVER_SQL.replace("{0}", "5")
+    + """s AS (SELECT query_id, chunk_id, count(DISTINCT nth) AS matched, 0.1::DOUBLE * count(*) AS density FROM o GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(density, 9) DESC, chunk_id) AS rank FROM s)
+SELECT query_id, chunk_id, matched, round(density, 9) AS density, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20"""
+)
+
+
 def _near(s, d):
     prints = dd.with_simhash(t(s, d, "documents"), "doc_id", "text", ["source"])
     return dd.near_pairs(prints, "doc_id", ["source"])
@@ -135,12 +162,12 @@ SELECT doc_id, source, sha256(raw) AS evidence_id FROM n WHERE nth = 1""",
 SELECT doc_id, round(CASE WHEN na = 0 OR nb = 0 THEN 0.0 ELSE n / (na + nb - n) END, 6) AS jaccard FROM p""",
     ),
     Plan("dd10_md5_sample", lambda s, d: dd.sample_by_md5(t(s, d, "documents"), "doc_id", 50).select("doc_id", "source"), "SELECT doc_id, source FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT 50"),
-    Plan("lx1_postings", _index, f"SELECT source AS kb_id, doc_id AS chunk_id, unnest({WORDS_SQL.format('text')}) AS term, 1 AS tf FROM documents"),
+    Plan("lx1_postings", _postings, f"SELECT source AS kb_id, doc_id AS chunk_id, unnest({WORDS_SQL.format('text')}) AS term, 1 AS tf FROM documents"),
     Plan("lx2_normalized_terms", lambda s, d: t(s, d, "documents").select("doc_id", F.md5(lx.normalize_term("text").cast("binary")).alias("terms_md5"))),
     Plan("lx3_lexical_length", lambda s, d: t(s, d, "documents").select("doc_id", lx.lexical_length("text").alias("len")), f"SELECT doc_id, {LEN_SQL.format('text')} AS len FROM documents"),
     Plan(
         "lx4_term_stats",
-        lambda s, d: lx.term_stats(_index(s, d), ["kb_id"]),
+        lambda s, d: lx.term_stats(_postings(s, d), ["kb_id"]),
         f"SELECT kb_id, term, count(*) AS df FROM (SELECT source AS kb_id, unnest({WORDS_SQL.format('text')}) AS term FROM documents) GROUP BY ALL",
     ),
     Plan(
@@ -155,6 +182,8 @@ SELECT doc_id, round(CASE WHEN na = 0 OR nb = 0 THEN 0.0 ELSE n / (na + nb - n)
 SELECT * FROM c WHERE delta <> 0""",
     ),
     Plan("lx7_stats_after_delta", _applied, f"SELECT source AS kb_id, term, count(*) AS df FROM (SELECT source, unnest({WORDS_SQL.format('text')}) AS term FROM documents WHERE doc_id % 5 <> 1) GROUP BY ALL"),
+    Plan("lx10_cover_density", lambda s, d: _cover(s, d, 2, True), COVER_ALL_SQL),
+    Plan("lx10_occurrences", lambda s, d: _cover(s, d, 5, False), COVER_ANY_SQL),
     Plan("lx11_pool_bm25", lambda s, d: lx.pool_bm25(t(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), KEYWORDS).withColumn("score", round_to(F.col("score"))), POOL_SQL),
     Plan(
         "lx12_index_health",
