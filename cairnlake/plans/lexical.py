@@ -53,11 +53,13 @@ def _bm25(s, d):
 
 
 def _cover(s, d, terms, all_terms):
-    """Each benchmark item's rarest terms among all documents, and the documents that hold them most densely. Positions of asked
-    terms alone are kept; they are written, as frequencies and covers read them."""
+    """Each benchmark item's rarest terms among all documents, and the documents that hold them most densely. Frequencies come first, so
+    that positions are kept of the rarest terms alone."""
     asked = _queries(s, d).select("query_id", F.explode(F.array_distinct(word_sequence("text"))).alias("term"))
-    posts = written(lx.positional_postings(_chunks(s, d), ["chunk_id"], terms=asked), "positions")
-    density = lx.cover_density(posts, lx.rarest_terms(asked, posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), terms), ["chunk_id"], all_terms)
+    held = _chunks(s, d).select(F.explode(F.array_distinct(word_sequence("text"))).alias("term"))
+    stats = held.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rarest = written(lx.rarest_terms(asked, stats, terms), "rarest")
+    density = lx.cover_density(lx.positional_postings(_chunks(s, d), ["chunk_id"], terms=rarest), rarest, ["chunk_id"], all_terms)
     return lx.density_window(density, 20, ["chunk_id"]).withColumn("density", round_to(F.col("density"), 9))
 
 
