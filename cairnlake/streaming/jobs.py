@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from cairnlake.session import forget, written
+
 #: SM1: kinds of events that are handled first; attempts before an event is dead. SM3: delay in seconds and size of a batch.
 URGENT = ("deleted", "acl_changed", "repealed")
 MAX_RETRIES, BATCH_DELAY, BATCH_SIZE = 5, 4, 100
@@ -36,27 +38,67 @@ def replay_dead(events: DataFrame) -> DataFrame:
     return events.withColumn("retries", F.when(dead, 0).otherwise(F.col("retries"))).withColumn("status", F.when(dead, "pending").otherwise(F.col("status")))
 
 
+def running_count(rows: DataFrame, key: str, order: list[str], flag: str) -> DataFrame:
+    """Adds ``before``: how many rows of the same key with a true ``flag`` come before a row, by ``order``. Rows are ranged over all tasks by key
+    and order, counted within a task, and the tasks' counts are summed: a key may span any number of tasks."""
+    ranged = written(rows.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    ones = F.col(flag).cast("long")
+    own = Window.partitionBy("_part", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_of")).agg(F.sum(ones).alias("_n"))
+    earlier = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_key", "_of", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    counted = ranged.withColumn("_own", F.coalesce(F.sum(ones).over(own), F.lit(0)))
+    joined = counted.join(parts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_of")))
+    return joined.withColumn("before", F.col("_base") + F.col("_own")).drop("_key", "_of", "_part", "_base", "_own")
+
+
+def _by_place(a: DataFrame, b: DataFrame, at: str, key: str) -> DataFrame:
+    """a joined with b on the key and a place (a's ``at``, b's ``place``)."""
+    b = b.withColumnsRenamed({key: "_key", "place": "_place"})
+    return a.join(b, F.col(key).eqNullSafe(F.col("_key")) & (F.col(at) == F.col("_place"))).drop("_key", "_place")
+
+
 def first_event_batches(events: DataFrame, key: str, ts: str, delay: int = BATCH_DELAY, size: int = BATCH_SIZE) -> DataFrame:
     """SM3 over a bounded table: the batch of each event: the first event of a key opens one for ``delay`` seconds, which later
-    events do not extend; ``size`` events close it. Events of a key come in order from a sorted partition, one at a time."""
-    import pyarrow as pa
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, opened, n, number = object(), 0, 0, 0
-        for batch in batches:
-            numbers = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if k != last:
-                    last, opened, n, number = k, t, 0, 0
-                elif t - opened >= delay or n >= size:
-                    opened, n, number = t, 0, number + 1
-                n += 1
-                numbers.append(number)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(numbers, pa.int64())], names=[key, "at", "event_id", "batch"])
-
-    rows = events.select(key, F.unix_seconds(F.col(ts).cast("timestamp")).alias("at"), "event_id")
-    kind = events.schema[key].dataType.simpleString()
-    return rows.repartition(key).sortWithinPartitions(key, "at", "event_id").mapInArrow(run, f"{key} {kind}, at long, event_id long, batch long")
+    events do not extend; ``size`` events close it. (key, at, event_id, batch); events without a time are left out.
+
+    If a batch began with an event, the next one would begin with the first event ``delay`` seconds on or ``size`` events on, whichever
+    comes sooner: each event has one successor. Which events do begin one follows from the first by doubling: a round adds the
+    successors of all that are known, and makes each successor that of twice as many steps. Joins on (key, place) alone, so
+    one key may hold all events."""
+    if delay < 0 or size < 1:
+        raise ValueError("a batch needs a delay of 0 or more and a size of 1 or more")
+    rows = events.select(key, F.unix_seconds(F.col(ts).cast("timestamp")).alias("at"), "event_id").where("at IS NOT NULL")
+    # Each event stands in the order once for itself, and once for the time when its batch would end, before the events of that second.
+    probes = rows.select(key, (F.col("at") + delay).alias("at"), "event_id", F.lit(False).alias("real"), F.col("at").alias("opened"))
+    both = rows.select(key, "at", "event_id", F.lit(True).alias("real"), F.col("at").alias("opened")).unionByName(probes)
+    counted = written(running_count(both, key, ["at", "real", "event_id", "opened"], "real"), "places")
+    placed = counted.where("real").select(key, "at", "event_id", F.col("before").alias("place"))
+    ends = counted.where("NOT real").select(F.col(key).alias("_key"), F.col("event_id").alias("_event"), F.col("opened").alias("_at"), F.col("before").alias("late"))
+    # Repeated rows have the same end: one of them is enough.
+    ends = ends.groupBy("_key", "_event", "_at").agg(F.min("late").alias("late"))
+    total = counted.where("real").groupBy(F.col(key).alias("_of")).agg(F.count(F.lit(1)).alias("n"))
+    steps = placed.join(ends, F.col(key).eqNullSafe(F.col("_key")) & F.col("event_id").eqNullSafe(F.col("_event")) & (F.col("at") == F.col("_at")))
+    then = F.greatest(F.col("place") + 1, F.least(F.col("place") + size, F.col("late")))
+    steps = steps.withColumn("then", then).join(total, F.col(key).eqNullSafe(F.col("_of"))).select(key, "at", "event_id", "place", "then", "n")
+    steps = written(steps, "successors")
+    forget(counted)
+    jumps = steps.where("then < n").select(key, "place", "then")
+    begun = written(steps.where("place = 0").select(key, "place", F.lit(0).cast("long").alias("batch")), "batches")
+    done, step = begun, 1
+    while True:
+        found = _by_place(begun, jumps, "place", key).select(key, F.col("then").alias("place"), (F.col("batch") + step).alias("batch"))
+        found = written(found, "batches")
+        if found.isEmpty():
+            break
+        done = done.unionByName(found)
+        begun = begun.unionByName(found)
+        further = _by_place(jumps.withColumnRenamed("then", "_via"), jumps, "_via", key).select(key, "place", "then")
+        jumps, step = written(further, "jumps"), step * 2
+    # A batch holds at most ``size`` events: its places are spread, and the events meet theirs.
+    opened = _by_place(done, steps.select(key, "place", "then", "n"), "place", key)
+    places = opened.select(key, "batch", F.explode(F.sequence("place", F.least("then", "n") - 1)).alias("place"))
+    return _by_place(steps.select(key, "at", "event_id", "place"), places, "place", key).select(key, "at", "event_id", "batch")
 
 
 def coalesced_syncs(events: DataFrame, key: str, delay: int = BATCH_DELAY, size: int = BATCH_SIZE) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import time
 
 import pandas as pd
@@ -18,6 +19,41 @@ def test_first_event_opens_a_batch_that_later_ones_do_not_extend(spark):
     assert jobs.first_event_batches(df.limit(0), "k", "ts").collect() == []
 
 
+def sequential(rows, delay, size):
+    """Batches by reading each key's events in order."""
+    out, state = {}, {}
+    for k, at, e in sorted(rows, key=lambda r: (repr(r[0]), r[1], r[2])):
+        opened, n, number = state.get(k, (None, 0, -1))
+        if opened is None or at - opened >= delay or n >= size:
+            opened, n, number = at, 0, number + 1
+        state[k] = (opened, n + 1, number)
+        out[e] = number
+    return out
+
+
+def test_batches_by_doubling_equal_the_sequential_reading(spark):
+    rng = random.Random(11)
+    # One key holds most events; times come in bursts, so that delays and sizes both close batches, and some batches are one event.
+    rows = [(k, rng.randrange(600) if rng.random() < 0.7 else 300, i) for i, k in enumerate(rng.choice(["hot", "hot", "hot", "b", None]) for _ in range(1500))]
+    df = spark.createDataFrame(rows, "k string, s long, event_id long").withColumn("ts", F.timestamp_seconds("s"))
+    for delay, size in ((4, 100), (1, 1), (50, 7), (0, 100), (10_000, 10_000)):
+        got = jobs.first_event_batches(df, "k", "ts", delay, size).collect()
+        assert len(got) == len(rows) and {r.event_id: r.batch for r in got} == sequential(rows, delay, size), (delay, size)
+
+
+def test_counts_before_a_row_need_no_task_for_a_key(spark):
+    df = spark.range(4000).select(F.lit("one").alias("k"), (F.col("id") * 7 % 1000).alias("at"), "id", (F.col("id") % 3 == 0).alias("flag")).repartition(8)
+    got = jobs.running_count(df, "k", ["at", "id"], "flag")
+    n = 0
+    for r in sorted(got.collect(), key=lambda r: (r.at, r.id)):
+        assert r.before == n
+        n += r.flag
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 2 and "_part" in plan
+    ranged = df.repartitionByRange(4, "k", "at", "id").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in ranged) < 2000
+
+
 def test_coalesced_syncs_close_by_size(spark):
     at = folder(spark, "syncs")
     spark.createDataFrame([("a", i) for i in range(7)] + [("b", 1)], "k string, doc_id long").write.parquet(f"{at}/in")
