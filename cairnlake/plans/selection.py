@@ -7,8 +7,10 @@ from pyspark.sql.types import BooleanType
 
 from cairnlake.functions.text import round_to, words
 from cairnlake.operators import evaluate as ev
+from cairnlake.operators import evidence as evd
 from cairnlake.operators import lexical as lx
 from cairnlake.operators import selection as se
+from cairnlake.operators import text_quality as tq
 from cairnlake.plans.rank import HITS, _hits, _placed
 from cairnlake.plans.registry import Plan
 from cairnlake.session import read_table as t
@@ -20,6 +22,24 @@ def _candidates(s, d):
     return h.select("query_id", "chunk_id", (F.col("doc_id") % 4).alias("doc_id"), "score", F.when(F.col("status") == "F", F.col("score")).alias("measured"), (F.col("ord") * 30 + 50).alias("tokens"), terms.alias("terms"))
 
 
+def _turns(s, d, soft):
+    """Turns of conversations stand for the candidates of benchmark items: a conversation is a document, its role a section."""
+    n = t(s, d, "benchmark").count()
+    mark = lambda m, seed: F.pmod(F.xxhash64("conv_id", "turn", F.lit(seed)), F.lit(m))
+    score = mark(1000, 1) / 1000
+    turns = t(s, d, "conversations").select(
+        (F.col("conv_id") % n).alias("query_id"), F.concat_ws("-", "conv_id", "turn").alias("chunk_id"), F.col("conv_id").cast("string").alias("doc_id"),
+        (F.floor(F.col("conv_id") / n) * 100_000 + F.col("turn")).cast("long").alias("ordinal"), score.alias("score"), F.when(mark(4, 2) > 0, score).alias("measured"),
+        tq.estimate_tokens("text").cast("long").alias("tokens"), F.when(mark(3, 3) == 0, F.concat_ws("-", "conv_id", "role")).alias("section"), "text",
+        (mark(12, 4) == 0).alias("is_summary"), F.contains("text", F.lit("|")).alias("is_table"), (mark(97, 5) == 0).alias("exempt"),
+        F.when(mark(40, 6) == 0, F.lit("the second part of it")).alias("origin"), F.when(mark(50, 7) == 0, F.lit(2)).alias("hop"), (mark(17, 8) == 0).alias("skipped"),
+    )
+    item = F.col("item_id")
+    subs = F.when(item % 2 == 0, F.array(F.substring_index("text", " ", 6), F.lit("the second part")))
+    questions = t(s, d, "benchmark").select(item.alias("query_id"), F.lit(2500).alias("budget"), (item % 5 == 0).alias("breadth"), (item % 3 == 0).alias("wants_summary"), subs.alias("sub_queries"))
+    return evd.constrained_selection(turns, questions, soft)
+
+
 def _questions(s, d):
     return t(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -93,6 +113,8 @@ SELECT query_id, node_id, round(score, 4) AS score, rank FROM (SELECT *, CAST(ro
 
 
 PLANS = [
+    Plan("rk17_constrained_selection", lambda s, d: _turns(s, d, False)),
+    Plan("rk17_funnel", lambda s, d: evd.funnel(_turns(s, d, True))),
     Plan("rk17_select_evidence", lambda s, d: se.select_evidence(_candidates(s, d), 1500)),
     Plan(
         "rk21_structured_order",
