@@ -10,7 +10,7 @@ from cairnlake.functions.text import round_to
 from cairnlake.plans.registry import Plan
 from cairnlake.session import read_table as t
 from cairnlake.session import shared_dir
-from cairnlake.streaming import jobs
+from cairnlake.streaming import jobs, leases
 
 
 def _folder(spark) -> str:
@@ -72,7 +72,52 @@ SELECT e.*, CASE WHEN e."at" - opened >= 86400 OR n >= 3 THEN e."at" ELSE opened
 SELECT user_id, "at", event_id, batch FROM r"""
 
 
+def _messages(s, d):
+    """Turns of conversations stand for messages about pieces of work: the first turn adds it, later ones claim it, answer or replay."""
+    c = t(s, d, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    kind = (F.col("conv_id") + F.col("turn") * F.col("turn")) % 5
+    action = F.when(F.col("turn") == 0, "add").when(kind == 0, "fail").when(kind == 3, "ok").when(kind == 4, "replay").otherwise("claim")
+    second = F.lit(1_700_000_000) + F.col("turn") * 50 + (F.col("conv_id") * F.col("turn")) % 40
+    return c.select(F.col("conv_id").alias("key"), F.timestamp_seconds(second).alias("at"), F.col("turn").cast("long").alias("seq"), action.alias("action"), F.concat(F.lit("w"), (F.col("turn") % 3 % 2).cast("string")).alias("worker"))
+
+
+def _leases(s, d):
+    """The stream of claims over all messages, and a last one that lets all leases end."""
+    out = _folder(s)
+    messages = _messages(s, d)
+    end = messages.agg(F.max("at").alias("at")).select(F.lit(-1).cast("long").alias("key"), (F.col("at") + F.expr("INTERVAL 1 DAY")).alias("at"), F.lit(0).cast("long").alias("seq"), F.lit("add").alias("action"), F.lit(None).cast("string").alias("worker"))
+    messages.unionByName(end.where("at IS NOT NULL")).write.parquet(f"{out}/in")
+    stream = jobs.read_stream(s, f"{out}/in", messages.schema, 1_000_000)
+    leases.run_changes(leases.lease_changes(stream, lease=60, most=3, kept=7 * 86_400), f"{out}/out", f"{out}/checkpoint")
+    return leases.last_states(s.read.schema(leases.CHANGE).parquet(f"{out}/out").where("key >= 0"))
+
+
+def _folded(s, d):
+    messages = _messages(s, d)
+    return leases.folded_states(messages, F.lit("2100-01-01").cast("timestamp"), 60, 3)
+
+
+#: The same states, one message after another.
+LEASES_SQL = """WITH RECURSIVE m AS (SELECT conv_id AS key, 1700000000 + turn * 50 + (conv_id * turn) % 40 AS sec, turn AS seq, CASE WHEN turn = 0 THEN 'add' WHEN (conv_id + turn * turn) % 5 = 0 THEN 'fail' WHEN (conv_id + turn * turn) % 5 = 3 THEN 'ok' WHEN (conv_id + turn * turn) % 5 = 4 THEN 'replay' ELSE 'claim' END AS action, 'w' || (turn % 3 % 2) AS worker FROM conversations),
+o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY sec, seq) AS rn FROM (SELECT * FROM m UNION ALL SELECT DISTINCT key, 4102444800, 0, 'end', '' FROM m)),
+r AS (SELECT key, 0::BIGINT AS rn, NULL::VARCHAR AS status, 0 AS retries, NULL::VARCHAR AS worker, NULL::BIGINT AS until, 0 AS attempts FROM (SELECT DISTINCT key FROM m) UNION ALL
+SELECT key, rn,
+ CASE WHEN action = 'add' AND s IS NULL THEN 'pending' WHEN action = 'claim' AND s IN ('pending', 'failed') THEN 'processing' WHEN action = 'ok' AND own THEN 'completed' WHEN action = 'fail' AND own THEN CASE WHEN n + 1 >= 3 THEN 'dead' ELSE 'failed' END WHEN action = 'replay' AND s = 'dead' THEN 'pending' ELSE s END,
+ CASE WHEN action = 'add' AND s IS NULL OR action = 'replay' AND s = 'dead' THEN 0 WHEN action = 'fail' AND own THEN n + 1 ELSE n END,
+ CASE WHEN action = 'claim' AND s IN ('pending', 'failed') THEN claimant WHEN action = 'fail' AND own OR action = 'replay' AND s = 'dead' THEN NULL ELSE holder END,
+ CASE WHEN action = 'claim' AND s IN ('pending', 'failed') THEN sec + 60 WHEN s = 'processing' AND (action <> 'ok' AND action <> 'fail' OR NOT own) THEN until END,
+ attempts + CASE WHEN action = 'claim' AND s IN ('pending', 'failed') THEN 1 ELSE 0 END
+FROM (SELECT o.key, o.rn, o.sec, o.action, o.worker AS claimant, r.until, r.attempts, r.status = 'processing' AND r.until < o.sec,
+  CASE WHEN r.status = 'processing' AND r.until < o.sec THEN CASE WHEN r.retries + 1 >= 3 THEN 'dead' ELSE 'failed' END ELSE r.status END AS s,
+  r.retries + CASE WHEN r.status = 'processing' AND r.until < o.sec THEN 1 ELSE 0 END AS n,
+  CASE WHEN r.status = 'processing' AND r.until < o.sec THEN NULL ELSE r.worker END AS holder,
+  coalesce(r.status = 'processing' AND r.until >= o.sec AND r.worker = o.worker, false) AS own FROM r JOIN o ON o.key = r.key AND o.rn = r.rn + 1))
+SELECT key, status, retries, worker, attempts FROM r WHERE status IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY rn DESC) = 1"""
+
+
 PLANS = [
+    Plan("sm1_lease_stream", _leases, LEASES_SQL),
+    Plan("sm6_lease_states", _folded, LEASES_SQL),
     Plan("sm1_outbox_step", _outbox, f"WITH {OUTBOX} SELECT * FROM step"),
     Plan("sm1_replay_dead", lambda s, d: jobs.replay_dead(_outbox(s, d)).select("event_id", "status", "retries"), f"WITH {OUTBOX} SELECT event_id, CASE WHEN status = 'dead' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'dead' THEN 0 ELSE retries END AS retries FROM step"),
     Plan("sm2_sync_changes", _sync, "SELECT o_custkey AS external_id, max(o_orderkey) AS sequence, arg_max(o_orderstatus, o_orderkey) AS content_hash FROM orders GROUP BY 1"),
