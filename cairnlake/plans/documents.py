@@ -6,6 +6,8 @@ import io
 import zipfile
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType
 
@@ -18,6 +20,7 @@ from cairnlake.plans.registry import Plan
 from cairnlake.session import fresh_path
 from cairnlake.session import read_table as t
 from cairnlake.sources import readers as rd
+from cairnlake.sources.archives import ArchiveSource
 from cairnlake.streaming import jobs
 
 
@@ -66,6 +69,44 @@ def _archives(s, d):
     return rd.expand_archives(files).select(F.col("path").cast("long").alias("doc_id"), "title", "status", "size")
 
 
+def _zip_writer(folder: str):
+    """Writes the archives of a stretch of documents, named by their number; every seventh is cut in half, every eleventh has too many files."""
+
+    def run(table: pa.Table) -> pa.Table:
+        number = table.column("archive")[0].as_py()
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for i, text in sorted(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True)):
+                z.writestr(f"a{number}/d{i}.md", text or "")
+            for n in range(501 if number % 11 == 5 else 0):
+                z.writestr(f"a{number}/{n}.txt", "")
+            z.writestr(f"a{number}/.hidden.md", "x")
+        data = out.getvalue()
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        with fs.open_output_stream(f"{root}/{number:09d}.zip") as f:
+            f.write(data[: len(data) // 2] if number % 7 == 3 else data)
+        return pa.table({"archive": pa.array([number], pa.int64())})
+
+    return run
+
+
+def _archive_source(s, d):
+    """Documents in archives of about forty, read back by the data source."""
+    folder = fresh_path(s, "zips")
+    docs = t(s, d, "documents").where("doc_id IS NOT NULL").select(F.floor(F.col("doc_id") / 40).cast("long").alias("archive"), "doc_id", "text")
+    docs.groupBy("archive").applyInArrow(_zip_writer(folder), "archive long").write.format("noop").mode("overwrite").save()
+    s.dataSource.register(ArchiveSource)
+    found = s.read.format("archives").load(folder)
+    return found.select(F.regexp_extract("archive", r"(\d+)", 1).cast("long").alias("archive"), "title", "status", "size", F.sha2("content", 256).alias("sha256"))
+
+
+ARCHIVE_SOURCE_SQL = """WITH d AS (SELECT doc_id // 40 AS archive, doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL), a AS (SELECT DISTINCT archive, archive % 7 = 3 AS cut, archive % 11 = 5 AS packed FROM d)
+SELECT archive, NULL AS title, CASE WHEN cut THEN 'broken' ELSE 'too_many_files' END AS status, NULL::BIGINT AS size, NULL AS sha256 FROM a WHERE cut OR packed
+UNION ALL SELECT archive, 'd' || doc_id || '.md', 'ok', octet_length(encode(text)), sha256(text) FROM d JOIN a USING (archive) WHERE NOT cut AND NOT packed
+UNION ALL SELECT archive, 'a' || archive || '/.hidden.md', 'hidden', 1, NULL FROM a WHERE NOT cut AND NOT packed"""
+
+
 def _batches(s, d):
     out = fresh_path(s, "batches")
     rows = t(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
@@ -205,6 +246,7 @@ PLANS = [
     Plan("src8_qa_csv", _qa_csv, QA_SQL),
     Plan("src10_artifact", _artifact, "SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS price, min(o_orderkey) AS least FROM orders GROUP BY 1"),
     Plan("src11_archives", _archives, ARCHIVE_SQL),
+    Plan("src11_archive_source", _archive_source, ARCHIVE_SOURCE_SQL),
     Plan("snk2_batches", _batches, "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders"),
     Plan("ch7_numerals", _numerals, "SELECT o_orderkey, o_orderkey % 10000 AS value FROM orders"),
     Plan("ch8_table_headers", lambda s, d: st.carry_table_headers(_chunks(s, d)).select("doc_id", "ord", "with_header", F.array_join("row_meanings", "; ").alias("row_meanings")), f"WITH {CHUNKS_SQL}"),

@@ -72,6 +72,21 @@ SELECT e.*, CASE WHEN e."at" - opened >= 86400 OR n >= 3 THEN e."at" ELSE opened
 SELECT user_id, "at", event_id, batch FROM r"""
 
 
+def _hot_batches(s, d):
+    """Turns of conversations by role: two keys hold all events."""
+    c = t(s, d, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    second = F.lit(1_700_000_000) + F.col("turn") * 50 + (F.col("conv_id") * 13) % 50_000
+    events = c.select("role", F.timestamp_seconds(second).alias("ts"), (F.col("conv_id") * 100_000 + F.col("turn")).alias("event_id"))
+    return jobs.first_event_batches(events, "role", "ts", 40, 60)
+
+
+HOT_SQL = """WITH RECURSIVE e AS (SELECT role, 1700000000 + turn * 50 + (conv_id * 13) % 50000 AS sec, conv_id * 100000 + turn AS event_id FROM conversations),
+o AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY sec, event_id) AS rn FROM e),
+r AS (SELECT *, sec AS opened, 1 AS n, 0 AS batch FROM o WHERE rn = 1 UNION ALL
+SELECT o.*, CASE WHEN o.sec - opened >= 40 OR n >= 60 THEN o.sec ELSE opened END, CASE WHEN o.sec - opened >= 40 OR n >= 60 THEN 1 ELSE n + 1 END, batch + CASE WHEN o.sec - opened >= 40 OR n >= 60 THEN 1 ELSE 0 END FROM r JOIN o ON o.role = r.role AND o.rn = r.rn + 1)
+SELECT role, sec AS "at", event_id, batch FROM r"""
+
+
 def _messages(s, d):
     """Turns of conversations stand for messages about pieces of work: the first turn adds it, later ones claim it, answer or replay."""
     c = t(s, d, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL")
@@ -122,6 +137,7 @@ PLANS = [
     Plan("sm1_replay_dead", lambda s, d: jobs.replay_dead(_outbox(s, d)).select("event_id", "status", "retries"), f"WITH {OUTBOX} SELECT event_id, CASE WHEN status = 'dead' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'dead' THEN 0 ELSE retries END AS retries FROM step"),
     Plan("sm2_sync_changes", _sync, "SELECT o_custkey AS external_id, max(o_orderkey) AS sequence, arg_max(o_orderstatus, o_orderkey) AS content_hash FROM orders GROUP BY 1"),
     Plan("sm3_first_event_batches", lambda s, d: jobs.first_event_batches(t(s, d, "events"), "user_id", "ts", 86400, 3), BATCHES_SQL),
+    Plan("sm3_hot_keys", _hot_batches, HOT_SQL),
     Plan(
         "sm5_maintenance",
         _maintenance,

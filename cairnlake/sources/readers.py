@@ -179,34 +179,43 @@ def read_table_artifact(spark: SparkSession, path: str, schema: str, sha256: str
     return spark.read.json(path, schema=schema, mode="FAILFAST")
 
 
+class TooManyFiles(ValueError):
+    pass
+
+
+def archive_plan(z: zipfile.ZipFile) -> list[tuple[zipfile.ZipInfo, str, str]]:
+    """SRC11: (member, title, status) of a zip's files, from its directory alone; more than MAX_FILES of them are an error."""
+    out, total, titles = [], 0, set()
+    infos = [i for i in z.infolist() if not i.is_dir()]
+    if len(infos) > MAX_FILES:
+        raise TooManyFiles(f"{len(infos)} files")
+    names = [i.filename.replace("\\", "/") for i in infos]
+    root = names[0].split("/")[0] + "/" if names and all("/" in n and n.split("/")[0] == names[0].split("/")[0] for n in names) else ""
+    for info, name in zip(infos, names, strict=True):
+        parts, short = name.split("/"), name[len(root) :]
+        if ".." in parts or name.startswith("/") or ":" in parts[0]:
+            out.append((info, name, "unsafe"))
+        elif any(p.startswith(".") or p == "__MACOSX" for p in parts):
+            out.append((info, name, "hidden"))
+        elif posixpath.splitext(name)[1].lower() not in TEXT_SUFFIXES:
+            out.append((info, name, "unsupported"))
+        elif info.file_size > MAX_FILE or total + info.file_size > MAX_TOTAL:
+            out.append((info, name, "too_large"))
+        else:
+            stem, suffix = posixpath.splitext(short.replace("/", " - "))
+            title, n = stem + suffix, 1
+            while title in titles:
+                n, title = n + 1, f"{stem} ({n + 1}){suffix}"
+            titles.add(title)
+            total += info.file_size
+            out.append((info, title, "ok"))
+    return out
+
+
 def archive_entries(data: bytes) -> list[tuple[str, str, int, bytes | None]]:
     """SRC11: (title, status, size, content) of a zip's files: unsafe, hidden, unsupported and over-large ones are told, not read."""
-    out, total, titles = [], 0, set()
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        infos = [i for i in z.infolist() if not i.is_dir()]
-        if len(infos) > MAX_FILES:
-            raise ValueError("too many files")
-        names = [i.filename.replace("\\", "/") for i in infos]
-        root = names[0].split("/")[0] + "/" if names and all("/" in n and n.split("/")[0] == names[0].split("/")[0] for n in names) else ""
-        for info, name in zip(infos, names, strict=True):
-            parts, short = name.split("/"), name[len(root) :]
-            if ".." in parts or name.startswith("/") or ":" in parts[0]:
-                out.append((name, "unsafe", info.file_size, None))
-            elif any(p.startswith(".") or p == "__MACOSX" for p in parts):
-                out.append((name, "hidden", info.file_size, None))
-            elif posixpath.splitext(name)[1].lower() not in TEXT_SUFFIXES:
-                out.append((name, "unsupported", info.file_size, None))
-            elif info.file_size > MAX_FILE or total + info.file_size > MAX_TOTAL:
-                out.append((name, "too_large", info.file_size, None))
-            else:
-                stem, suffix = posixpath.splitext(short.replace("/", " - "))
-                title, n = stem + suffix, 1
-                while title in titles:
-                    n, title = n + 1, f"{stem} ({n + 1}){suffix}"
-                titles.add(title)
-                total += info.file_size
-                out.append((title, "ok", info.file_size, z.read(info)))
-    return out
+        return [(title, status, info.file_size, z.read(info) if status == "ok" else None) for info, title, status in archive_plan(z)]
 
 
 def expand_archives(files: DataFrame) -> DataFrame:
