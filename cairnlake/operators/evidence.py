@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnlake.functions.text import jaccard
-from cairnlake.session import written
+from cairnlake.session import fresh_path, written
 
 #: Fixed values. Floors as shares of the baseline, least relevance of a guaranteed group, guaranteed groups and filled-in unmeasured ones (soft mode).
 RIGID_FLOOR, SOFT_FLOOR, VIABLE, GUARANTEED, FILLED = 0.35, 0.22, 0.10, 6, 2
@@ -52,6 +52,10 @@ def pairs_of(text: Column) -> Column:
     return F.when(F.length(t) >= 2, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
 
+#: Columns of a selection's own tables.
+KEPT = {"chosen": "query_id long, key string, whole boolean, rep_ordinal long, reason string, step int, at int", "passed": "query_id long, key string"}
+
+
 @dataclass
 class _Run:
     """Tables of one selection: candidates with their groups' keys, groups, and what queries have chosen so far."""
@@ -59,10 +63,16 @@ class _Run:
     members: DataFrame
     groups: DataFrame
     state: DataFrame
-    chosen: list[DataFrame]
-    skipped: list[DataFrame]
+    folder: str
     step: int = 0
 
+    def keep(self, rows: DataFrame, name: str) -> None:
+        """Adds rows to one of the selection's tables: ``chosen`` (picks) or ``passed`` (groups that did not fit)."""
+        rows.write.mode("append").parquet(f"{self.folder}/{name}")
+
+    def kept(self, name: str) -> DataFrame:
+        return self.state.sparkSession.read.schema(KEPT[name]).parquet(f"{self.folder}/{name}")
+
     def took(self, picks: DataFrame) -> None:
         """picks: query_id, key, spent, words, doc, is_summary, counted, and what came in by ``_chosen``. Adds them to the state."""
         sets = picks.groupBy("query_id").agg(F.sum("spent").alias("_spent"), F.array_sort(F.collect_list(F.struct("at", "key", "words", "doc", "is_summary", "counted"))).alias("_sets"))
@@ -131,7 +141,7 @@ def _picked(run: _Run, picks: DataFrame) -> None:
     """Writes a round's picks (query_id, key, whole, reason, ...): they join the state, and their members the chosen ones."""
     run.step += 1
     run.took(picks)
-    run.chosen.append(picks.select("query_id", "key", "whole", "rep_ordinal", "reason", F.lit(run.step).alias("step"), "at"))
+    run.keep(picks.select("query_id", "key", "whole", "rep_ordinal", "reason", F.lit(run.step).alias("step"), F.col("at").cast("int").alias("at")), "chosen")
 
 
 def _set(picks: DataFrame, spent: Column, counted: Column, at: Column) -> DataFrame:
@@ -171,13 +181,14 @@ def _greedy(run: _Run) -> None:
         scored = open_.select("query_id", rank.alias("rank"), fits.alias("fits"), F.when(fits, F.struct(whole.alias("whole"), F.when(whole, F.col("cost")).otherwise(F.col("rep_cost")).alias("spent"), "rep_ordinal", "words", "doc", "is_summary", "reason")).alias("x"))
         best = scored.groupBy("query_id").agg(F.min(F.when(F.col("fits"), F.struct("rank", "x"))).alias("p"), F.count_if(~F.col("fits")).alias("unfit"))
         best = written(best, "picks")
+        made = best.agg(F.count("p").alias("picks"), F.sum("unfit").alias("unfit")).first()
         # Groups that stand before the pick and do not fit are passed over for good.
-        if not best.where("unfit > 0").isEmpty():
+        if made.unfit:
             passed = scored.where("NOT fits").join(best.select("query_id", F.col("p.rank").alias("pick")), "query_id").where("pick IS NULL OR rank < pick")
-            run.skipped.append(written(passed.select("query_id", "rank.key"), "passed"))
-        picks = best.where("p IS NOT NULL").select("query_id", "p.rank.key", "p.x.*")
-        if picks.isEmpty():
+            run.keep(passed.select("query_id", "rank.key"), "passed")
+        if not made.picks:
             return
+        picks = best.where("p IS NOT NULL").select("query_id", "p.rank.key", "p.x.*")
         _picked(run, picks.withColumns({"counted": ~F.col("is_summary"), "at": F.lit(1)}))
 
 
@@ -196,10 +207,7 @@ def _fill(run: _Run) -> None:
 
 def _selected(run: _Run) -> DataFrame:
     """Members that came in: query_id, ordinal, reason (of the first step that took them), step, at, lead (the representative comes last)."""
-    out = None
-    for picks in run.chosen:
-        every = run.members.select("query_id", "key", "ordinal").join(picks, ["query_id", "key"]).where("whole OR ordinal = rep_ordinal")
-        out = every if out is None else out.unionByName(every)
+    out = run.members.select("query_id", "key", "ordinal").join(run.kept("chosen"), ["query_id", "key"]).where("whole OR ordinal = rep_ordinal")
     first = F.min(F.struct("step", "at", F.coalesce(F.col("ordinal") == F.col("rep_ordinal"), F.lit(False)).alias("lead"), "reason")).alias("f")
     return out.groupBy("query_id", "ordinal").agg(first).select("query_id", "ordinal", "f.*")
 
@@ -267,7 +275,7 @@ def constrained_selection(candidates: DataFrame, questions: DataFrame, soft: boo
     (summary, floor, guaranteed, exempt, synthetic_fill, subquery, hop, multi_source) or where it fell out (rerank_cap, floor, mmr_budget, max_groups).
 
     candidates: ``CANDIDATE`` columns; ordinal is the place in recall, unique in a query; measured is null without a measured score; section
-    null is a group of its own; skipped rows were never measured. questions: query_id, budget, breadth, wants_summary, sub_queries.
+    null is a group of its own; skipped rows were never measured; query_id and ordinal are long. questions: query_id, budget, breadth, wants_summary, sub_queries.
     ``soft``: the looser floor with guaranteed groups and filled-in unmeasured ones. Nulls count as false, zero, empty or absent."""
     subs = F.slice(F.filter(F.coalesce("sub_queries", F.array().cast("array<string>")), lambda q: F.coalesce(F.length(F.trim(q)) >= 3, F.lit(False))), 1, SUBQUERIES)
     n = F.size(F.coalesce("sub_queries", F.array().cast("array<string>")))
@@ -275,7 +283,8 @@ def constrained_selection(candidates: DataFrame, questions: DataFrame, soft: boo
     asked = written(questions.select("query_id", F.coalesce("budget", F.lit(0)).cast("long").alias("budget"), places.cast("int").alias("places"), F.coalesce("wants_summary", F.lit(False)).alias("wants_summary"), subs.alias("subs"), (n > 0).alias("divided")), "questions")
     members, groups = _prepared(candidates, asked, soft)
     empty = F.array().cast("array<struct<key:string,words:array<string>,doc:string,is_summary:boolean,counted:boolean>>")
-    run = _Run(members, groups, asked.drop("subs", "divided").withColumns({"used": F.lit(0).cast("long"), "sets": empty}), [], [])
+    run = _Run(members, groups, asked.drop("subs", "divided").withColumns({"used": F.lit(0).cast("long"), "sets": empty}), fresh_path(candidates.sparkSession, "selection"))
+    run.keep(groups.sparkSession.createDataFrame([], KEPT["passed"]), "passed")
     _asked_summaries(run)
     _greedy(run)
     if soft:
@@ -287,12 +296,7 @@ def constrained_selection(candidates: DataFrame, questions: DataFrame, soft: boo
     order = Window.partitionBy("query_id").orderBy("step", "at", "lead", "ordinal")
     selected = selected.withColumn("place", F.row_number().over(order)).select("query_id", "ordinal", "place", F.col("reason").alias("came"))
     state = groups.select("query_id", "key", "eligible")
-    degraded = None
-    for picks in run.chosen:
-        part = picks.where("NOT whole AND reason IN ('floor', 'guaranteed', 'exempt')").select("query_id", "key")
-        degraded = part if degraded is None else degraded.unionByName(part)
-    for part in run.skipped:
-        degraded = degraded.unionByName(part)
+    degraded = run.kept("chosen").where("NOT whole AND reason IN ('floor', 'guaranteed', 'exempt')").select("query_id", "key").unionByName(run.kept("passed"))
     out = members.select("query_id", "key", "chunk_id", "ordinal", "skipped").join(selected, ["query_id", "ordinal"], "left").join(state, ["query_id", "key"]).join(degraded.distinct().withColumn("passed", F.lit(True)), ["query_id", "key"], "left")
     fell = F.when(F.col("skipped"), "rerank_cap").when(F.col("passed"), "mmr_budget").when(~F.col("eligible"), "floor").otherwise("max_groups")
     return out.select("query_id", "chunk_id", "ordinal", "place", F.coalesce("came", fell).alias("reason"))
