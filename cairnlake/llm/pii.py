@@ -8,7 +8,7 @@ their time follows the text's length also where nothing matches.
 
 Base kinds: email; ip (parts at most 255); card (16 to 19 digits, Luhn); phone (8 to 15 digits).
 Added kinds: iban (mod-97), national (18 characters with the ISO 7064 mod 11-2 check, as of Chinese resident ids),
-mobile (11 digits 1[3-9]..., no digits beside it), secret (a value of 20 to 128 letters, digits and ``_-/+=`` with a digit
+mobile (11 digits 1[3-9]..., no digits beside it), secret (a value of 20 or more letters, digits and ``_-/+=`` with a digit
 and a letter among them that a word like token names, or that has a known prefix), ssn (nine digits as 3-2-4, of ranges in use).
 An added span's score starts at its validator's weight; words near it (``CONTEXT`` characters before and after it, those of a
 neighbouring match of its kind not counted) raise or lower the score; spans of ``MIN_SCORE`` and more that overlap no base
@@ -22,6 +22,8 @@ only the named columns are read, so others may have any name.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "mobile": r"(?<![0-9+])1[3-9][0-9]{9}(?![0-9])",
     "national": r"(?<![0-9A-Za-z])[1-9][0-9]{16}[0-9Xx](?![0-9A-Za-z])",
-    "secret": r"(?<![0-9A-Za-z_/+-])[0-9A-Za-z_/+-]{20,128}+={0,2}(?![0-9A-Za-z_/+=-])",
+    "secret": r"(?<![0-9A-Za-z_/+-])[0-9A-Za-z_/+-]{20,}+={0,2}(?![0-9A-Za-z_/+=-])",
     "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
 }
 BASE = ("email", "ip", "card", "phone")
@@ -57,8 +59,16 @@ WORDS = {
 PREFIXES = r"^(?:AKIA[0-9A-Z]{16}$|gh[pousr]_|github_pat_|sk-|sk_live_|rk_live_|xox[abprs]-|AIza|glpat-|npm_|eyJ)"
 #: Words that speak of examples or checksums lower a score.
 AGAINST, PENALTY = "example only|sample value|checksum|sha256|sha1|md5|commit|digest|order no|isbn", 0.4
-#: No letter or digit beside a word; marks like _ and - may stand there.
-_APART = r"(?<![\p{{L}}\p{{N}}])(?:{})(?![\p{{L}}\p{{N}}])"
+#: Letters of scripts that are written with spaces, and digits: what may not stand beside a word of such a script. Marks like _ and - may.
+_SPACED = r"[\p{L}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]]"
+_HAN = re.compile("[\u4e00-\u9fff]")
+
+
+def _words(alternatives: str) -> str:
+    """A pattern for any of some words; those of a script without spaces need no border."""
+    every = alternatives.split("|")
+    spaced, unspaced = ([w for w in every if bool(_HAN.search(w)) == own] for own in (False, True))
+    return "|".join([f"(?<!{_SPACED})(?:{'|'.join(spaced)})(?!{_SPACED})"] * bool(spaced) + unspaced)
 
 
 def _digits(match: Column) -> Column:
@@ -147,7 +157,7 @@ def _score(kind: str, match: Column, near: Column) -> Column:
     if kind in BASE:
         return F.lit(1.0)
     base, plus = WEIGHTS[kind]
-    found = F.lit(base) + F.when(near.rlike(_APART.format(WORDS[kind])), plus).otherwise(0.0) - F.when(near.rlike(_APART.format(AGAINST)), PENALTY).otherwise(0.0)
+    found = F.lit(base) + F.when(near.rlike(_words(WORDS[kind])), plus).otherwise(0.0) - F.when(near.rlike(_words(AGAINST)), PENALTY).otherwise(0.0)
     return F.when(match.rlike(PREFIXES), F.lit(1.0)).otherwise(found) if kind == "secret" else found
 
 

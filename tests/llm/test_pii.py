@@ -70,6 +70,12 @@ def test_context_stands_on_both_sides(spark):
         ("123-45-6789", []),
         ("13812345678 is my mobile", ["mobile"]),
         ("token" + " " * 60 + key, []),
+        *(("api_key = " + "a1" * (n // 2) + "b" * (n % 2), ["secret"]) for n in (129, 240, 5000)),
+        ("我的手机号码是13812345678", ["mobile"]),
+        ("请拨打电话13812345678联系", ["mobile"]),
+        ("身份证号11010519491231002X", ["national"]),
+        ("我的phone是13812345678", ["mobile"]),
+        ("我的iphone是13812345678", []),
     ]
     docs = spark.createDataFrame([(i, t, "m") for i, (t, _) in enumerate(cases)], "doc_id long, text string, _text string")
     got = {r.doc_id: [x["kind"] for k in pii.ADDED for x in r[k]] for r in pii.find_pii(docs).collect()}
