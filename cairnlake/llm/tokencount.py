@@ -13,7 +13,7 @@ changes nothing on the other:
   piece of the vocabulary, so merges never join them;
 * JSON files of tokenizers whose steps are among ``PROVEN`` and whose added tokens hold no white space: a space
   follows a character that is none; words begin there whatever stands around them.
-JSON files with other steps are encoded whole.
+Other models and JSON files with other steps are encoded whole.
 
 Cases: a null text counts as empty (0 bytes, 0 tokens); repeated rows give repeated results (rows are numbered
 before chunks are dealt); of several points the first is taken; an empty table gives an empty result; only the named
@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.llm.common import bounded_batches, column, written
+from cairnlake.llm.pieces import is_plain_bpe, read_model
 
 #: Characters of a chunk and of the first overlap; tokens that make a text too long.
 CHUNK_CHARS, OVERLAP, LIMIT = 65_536, 256, 4096
@@ -61,11 +62,10 @@ class Joints:
 class PieceEncoder:
     """A sentencepiece model: token numbers, tokens' offsets, proven points."""
 
-    splices = True
-
     def __init__(self, path: str) -> None:
         import sentencepiece
 
+        self.splices = is_plain_bpe(read_model(path))
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         kinds = (self.model.is_control, self.model.is_byte, self.model.is_unknown)
         self.joints = Joints([self.model.id_to_piece(i) for i in range(self.model.get_piece_size()) if not any(k(i) for k in kinds)])
