@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnlake.operators.vector import is_finite, soft_clusters
 from cairnlake.session import written
 
 #: Fixed values of the chunker: most characters, overlap, shortest tail, clause documents.
@@ -336,6 +340,37 @@ def carry_table_headers(chunks: DataFrame, doc: str = "doc_id", order: str = "or
     return out.withColumn("row_meanings", F.coalesce(F.slice(meant, 1, MAX_MEANT), F.array().cast("array<string>"))).drop("_own", "_last", "_lines")
 
 
+def cluster_members(parts: DataFrame, window: int = 250, most_groups: int = 6, least: int = 3) -> DataFrame:
+    """RP1: the membership of chunks (kb_id, doc_id, section, ord, embedding): (kb_id, doc_id, ord, node). Contiguous windows of a document's
+    chunks are clustered softly by their vectors, so a chunk may be in several nodes; chunks without a finite vector, and windows
+    with fewer than ``least`` of them, go by section: no chunk is left out."""
+    numbered = parts.withColumn("_w", F.floor((F.row_number().over(Window.partitionBy("kb_id", "doc_id").orderBy("ord")) - 1) / window).cast("int"))
+    ok = is_finite("embedding") & F.exists("embedding", lambda x: x != 0)
+    own = Window.partitionBy("kb_id", "doc_id", "_w")
+    told = numbered.withColumn("_ok", ok).withColumn("_n", F.count_if("_ok").over(own)).withColumn("_own", F.col("_ok") & (F.col("_n") >= least))
+    kind = {c: parts.schema[c].dataType.simpleString() for c in ("kb_id", "doc_id", "ord")}
+
+    def clustered(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("ord")
+        k = min(most_groups, min(8, max(2, math.ceil(math.sqrt(len(group))))))
+        found = soft_clusters(np.array(group["embedding"].tolist(), np.float64), k)
+        at = [(i, c) for i, cs in enumerate(found) for c in cs]
+        out = group[["kb_id", "doc_id", "ord"]].iloc[[i for i, _ in at]].reset_index(drop=True)
+        return out.assign(node=[f"w{group['_w'].iloc[0]}-c{c}" for _, c in at])
+
+    by_vector = told.where("_own").select("kb_id", "doc_id", "ord", "embedding", "_w").groupBy("kb_id", "doc_id", "_w").applyInPandas(clustered, ", ".join(f"{c} {k}" for c, k in kind.items()) + ", node string")
+    by_section = told.where("NOT _own").select("kb_id", "doc_id", "ord", F.concat(F.lit("s-"), F.coalesce(F.col("section").cast("string"), F.lit(""))).alias("node"))
+    return by_vector.unionByName(by_section)
+
+
+def cluster_tree(parts: DataFrame, window: int = 250, sentences: int = 4, group: int = 20) -> tuple[DataFrame, DataFrame]:
+    """RP1: the summary tree over windowed clusters, and its membership: chunks (kb_id, doc_id, section, ord, content, embedding), ord unique in
+    a document. Sources of the levels above count memberships."""
+    members = written(cluster_members(parts, window), "members")
+    grouped = parts.select("kb_id", "doc_id", "ord", "content").join(members, ["kb_id", "doc_id", "ord"]).withColumnRenamed("node", "section")
+    return summary_tree(grouped, sentences, group), members
+
+
 def summary_tree(parts: DataFrame, sentences: int = 4, group: int = 20) -> DataFrame:
     """RP1, RP4, RP5: summary nodes (kb_id, doc_id, level, node, content, sources) of chunks (kb_id, doc_id, section, ord, content):
     level 0 for each section, level 1 for each document from its sections' summaries, level 2 for each knowledge base from its

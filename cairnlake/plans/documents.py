@@ -165,6 +165,28 @@ def _tree_counts(s, d):
     return _tree(s, d).groupBy("kb_id", "level").agg(F.count(F.lit(1)).alias("nodes"), F.sum("sources").alias("sources"), F.count_if(F.length("content") > 0).alias("told"))
 
 
+def _tree_texts(s, d):
+    """Summaries of sections and documents."""
+    return _tree(s, d).where("level < 2").select("kb_id", "doc_id", "level", "node", "content", "sources")
+
+
+#: A chunk holds two sentences and a summary four: the first two orders of a section, and the first two of a document by section.
+TREE_TEXTS_SQL = """WITH o AS (SELECT c_mktsegment AS kb_id, o_custkey AS doc_id, o_orderpriority AS section, o_orderkey AS ord, 'Order ' || o_orderkey || ' was placed. It is of state ' || o_orderstatus || ' now.' AS content FROM orders JOIN customer ON c_custkey = o_custkey),
+k AS (SELECT *, row_number() OVER w AS nth, min(ord) OVER (PARTITION BY kb_id, doc_id, section) AS first_ord, count(*) OVER (PARTITION BY kb_id, doc_id, section) AS n, count(*) OVER (PARTITION BY kb_id, doc_id) AS total FROM o WINDOW w AS (PARTITION BY kb_id, doc_id, section ORDER BY ord)),
+z AS (SELECT *, row_number() OVER (PARTITION BY kb_id, doc_id ORDER BY first_ord, section, ord) AS place FROM k WHERE nth <= 2)
+SELECT kb_id, doc_id, 0 AS level, section AS node, string_agg(content, ' ' ORDER BY ord) AS content, any_value(n) AS sources FROM z GROUP BY kb_id, doc_id, section
+UNION ALL SELECT kb_id, doc_id, 1, 'document', string_agg(content, ' ' ORDER BY place), any_value(total) FROM z WHERE place <= 2 GROUP BY kb_id, doc_id"""
+
+
+def _cluster_tree(s, d):
+    """Documents stand for chunks of works of sixty, with the vectors that have their number."""
+    docs = t(s, d, "documents").where("doc_id IS NOT NULL")
+    e = t(s, d, "embeddings").select(F.col("vec_id").alias("ord"), "embedding")
+    parts = docs.select(F.coalesce("source", F.lit("")).alias("kb_id"), F.floor(F.col("doc_id") / 60).cast("long").alias("doc_id"), F.col("lang").alias("section"), F.col("doc_id").alias("ord"), F.coalesce("text", F.lit("")).alias("content"))
+    tree, _ = st.cluster_tree(parts.join(e, "ord", "left"))
+    return tree.select("kb_id", "doc_id", "level", "node", F.md5(F.col("content").cast("binary")).alias("content_md5"), "sources")
+
+
 def _levels(s, d):
     """Levels of communities of the supply graph, and whether modularity rises from level to level."""
     li = t(s, d, "lineitem")
@@ -256,6 +278,8 @@ PLANS = [
     Plan("lx10_window", _window, WINDOW_SQL),
     Plan("rk34_merged_pages", _merged, MERGED_SQL),
     Plan("rp1_tree", _tree_counts, TREE_SQL),
+    Plan("rp1_tree_texts", _tree_texts, TREE_TEXTS_SQL),
+    Plan("rp1_cluster_tree", _cluster_tree),
     Plan("rp7_rebuilds", lambda s, d: jobs.rebuild_times(t(s, d, "events").select((F.col("user_id") % 50).alias("kb_id"), "ts"), "6 hours"), REBUILD_SQL),
     Plan("gr9_levels", _levels),
 ]
