@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from cairnlake.functions.text import grams
+
 #: Fixed value: a number with thousands separators, then a unit without digits.
 NUMBER = r"^\s*([+-]?)([0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?|\.[0-9]+)\s*([^0-9\s.,+-]*)\s*$"
 MAX_FRACTION, MAX_WHOLE = 18, 30
@@ -184,20 +186,90 @@ def extract_tables(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(id_col, text).mapInArrow(run, f"{id_col} {kind}, table long, row long, column long, header string, value string, char_start long, char_end long")
 
 
-def title_match(name: str, question: str) -> int:
+#: TB9: fixed values: characters of a common part, its share of a title, lengths of titles that are matched.
+COMMON, COMMON_SHARE, TITLE_MOST = 4, 0.6, 160
+
+
+class SuffixAutomaton:
+    """All substrings of a text: states with their longest length, links to their longest suffix of another kind, and steps by character."""
+
+    def __init__(self, text: str) -> None:
+        self.steps: list[dict[str, int]] = [{}]
+        self.link, self.length, last = [-1], [0], 0
+        for c in text:
+            new = self._state(self.length[last] + 1, {}, 0)
+            at = last
+            while at >= 0 and c not in self.steps[at]:
+                self.steps[at][c] = new
+                at = self.link[at]
+            if at >= 0:
+                to = self.steps[at][c]
+                if self.length[to] != self.length[at] + 1:
+                    # Shorter ends of the old state part from it.
+                    part = self._state(self.length[at] + 1, dict(self.steps[to]), self.link[to])
+                    while at >= 0 and self.steps[at].get(c) == to:
+                        self.steps[at][c] = part
+                        at = self.link[at]
+                    self.link[to] = to = part
+                self.link[new] = to
+            last = new
+
+    def _state(self, length: int, steps: dict[str, int], link: int) -> int:
+        self.steps.append(steps)
+        self.length.append(length)
+        self.link.append(link)
+        return len(self.length) - 1
+
+    def longest(self, other: str) -> int:
+        """Length of the longest part that another text shares: one step for each of its characters, but for falling back."""
+        state = n = best = 0
+        for c in other:
+            while state and c not in self.steps[state]:
+                state = self.link[state]
+                n = self.length[state]
+            if c in self.steps[state]:
+                state, n = self.steps[state][c], n + 1
+                best = max(best, n)
+        return best
+
+
+def title_match(name: str, question: str | SuffixAutomaton) -> int:
     """TB9: length of the longest common part of a title and a question, if it is four and more characters and 60 % of the title."""
-    best, row = 0, [0] * (len(question) + 1)
-    for a in name:
-        new = [0] * (len(question) + 1)
-        for j, b in enumerate(question, 1):
-            if a == b:
-                new[j] = row[j - 1] + 1
-                best = max(best, new[j])
-        row = new
-    return best if best >= 4 and best >= 0.6 * len(name) else 0
+    best = (question if isinstance(question, SuffixAutomaton) else SuffixAutomaton(question)).longest(name)
+    return best if best >= COMMON and best >= COMMON_SHARE * len(name) else 0
 
 
 @F.pandas_udf(IntegerType())
 def title_matches(names: pd.Series, questions: pd.Series) -> pd.Series:
     """TB9 over columns; null where either is."""
     return pd.Series([None if a is None or b is None else title_match(a, b) for a, b in zip(names, questions, strict=True)], dtype="Int32")
+
+
+def matched_titles(titles: DataFrame, questions: DataFrame) -> DataFrame:
+    """TB9: (query_id, title_id, common) of titles (title_id, name) that questions (query_id, text) name: case and a suffix after a dot do not
+    count, names of 4 to 160 characters do.
+
+    A common part of 60 % of a name holds one of a few of its four-grams, as many as stand that far apart; these are joined with the
+    questions' four-grams. A suffix automaton of each question tells the longest common part of the pairs that are left."""
+    stem = F.lower(F.regexp_replace("name", r"(?i)\.[a-z0-9]+$", ""))
+    named = titles.select("title_id", stem.alias("name")).where(F.length("name").between(COMMON, TITLE_MOST))
+    step = F.greatest(F.lit(COMMON), F.floor(COMMON_SHARE * F.length("name")).cast("int")) - (COMMON - 1)
+    # A common part holds ``step`` four-grams one after another, or more: of so many one is enough.
+    places = F.sequence(step, F.length("name") - (COMMON - 1), step)
+    keyed = named.select("title_id", "name", F.explode(F.array_distinct(F.transform(places, lambda p: F.substr("name", p, F.lit(COMMON))))).alias("gram"))
+    asked = questions.select("query_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    found = keyed.join(asked.select("query_id", F.explode(grams(F.col("text"), COMMON)).alias("gram")), "gram").select("query_id", "title_id", "name").distinct()
+    pairs = found.join(asked, "query_id").select("query_id", "title_id", "name", "text").sortWithinPartitions("query_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, automaton = None, None
+        for batch in batches:
+            common = []
+            for name, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if automaton is None or text != held:
+                    held, automaton = text, SuffixAutomaton(text)
+                common.append(title_match(name, automaton))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int32())], names=["query_id", "title_id", "common"])
+
+    kinds = f"query_id {questions.schema['query_id'].dataType.simpleString()}, title_id {titles.schema['title_id'].dataType.simpleString()}, common int"
+    return pairs.mapInArrow(run, kinds).where("common > 0")

@@ -151,6 +151,19 @@ c AS (SELECT p_partkey, a, max(CASE WHEN contains(b, a[i:j]) THEN j - i + 1 ELSE
 SELECT p_partkey, CAST(CASE WHEN best >= 4 AND best >= 0.6 * length(a) THEN best ELSE 0 END AS INTEGER) AS common FROM c"""
 
 
+def _named_titles(s, d):
+    """Turns of conversations as questions (those of every twentieth conversation), and stretches of the others as titles."""
+    c = t(s, d, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    titles = c.where("turn % 3 = 1").select(F.col("id").alias("title_id"), F.concat(F.substr("text", (F.col("conv_id") % 20 + 1).cast("int"), (F.col("conv_id") % 13 + 6).cast("int")), F.lit(".pdf")).alias("name"))
+    return tb.matched_titles(titles, c.where("conv_id % 20 = 0").select(F.col("id").alias("query_id"), "text"))
+
+
+NAMED_SQL = """WITH c AS (SELECT conv_id * 1000 + turn AS id, * FROM conversations), q AS (SELECT id AS query_id, lower(coalesce(text, '')) AS text FROM c WHERE conv_id % 20 = 0),
+n AS (SELECT id AS title_id, lower(substr(text, conv_id % 20 + 1, conv_id % 13 + 6)) AS name FROM c WHERE turn % 3 = 1), k AS (SELECT * FROM n WHERE length(name) BETWEEN 4 AND 160),
+h AS (SELECT query_id, title_id, length(name) AS n, list_max([l FOR l IN range(4, length(name) + 1) IF len([i FOR i IN range(1, length(name) - l + 2) IF contains(text, substr(name, i, l))]) > 0]) AS common FROM k, q)
+SELECT query_id, title_id, CAST(common AS INTEGER) AS common FROM h WHERE common >= 4 AND common >= 0.6::DOUBLE * n"""
+
+
 PLANS = [
     Plan("jn14_closure", lambda s, d: ac.closure(_org(s, d)), f"WITH RECURSIVE {UP_SQL} SELECT * FROM up"),
     Plan("tm1_effective", lambda s, d: _docs(s, d).where(ac.effective(F.col("effective_from"), F.col("effective_to"), F.col("status"), _as_of())).select("doc_id", "status"), f"WITH {DOCS_SQL} SELECT doc_id, status FROM valid"),
@@ -251,5 +264,6 @@ SELECT l_suppkey, count(*) FILTER (k) AS count, CAST((sum(q) FILTER (k))::DECIMA
         _markdown,
         "SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, '| ' || l_partkey || ' | ' || l_returnflag) - 1 AS row, 'part' AS header, CAST(l_partkey AS VARCHAR) AS value FROM lineitem UNION ALL SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, '| ' || l_partkey || ' | ' || l_returnflag) - 1, 'flag', l_returnflag FROM lineitem",
     ),
+    Plan("tb9_matched_titles", _named_titles, NAMED_SQL),
     Plan("tb9_title_match", lambda s, d: t(s, d, "part").select("p_partkey", tb.title_matches("p_name", F.concat(F.lit("what is "), F.substring("p_name", 1, 9))).alias("common")), TITLE_SQL),
 ]
