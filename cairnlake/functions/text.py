@@ -61,9 +61,10 @@ def words(text: Column | str, most: int | None = None) -> Column:
     hold scripts without spaces, characters and pairs), then their ASCII parts of 2 to 64. Full-width ASCII counts as ASCII."""
     plain = _terms(F.lower(text), lambda runs: F.filter(runs, lambda w: F.length(w).between(2, 128)))
     mixed = lambda runs: F.flatten(F.transform(runs, lambda w: F.when(w.rlike(CJK), _unspaced(w)).when(F.length(w).between(2, 128), F.array(w)).otherwise(F.array().cast("array<string>"))))
-    # Nearly all texts have neither full-width characters nor such scripts: they take the short way.
+    # Texts of ASCII alone need one pattern, and nearly all others have neither full-width characters nor such scripts.
+    only_ascii = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w).between(2, 128)))
     other = F.rlike(text, F.lit(CJK.replace("]", "\uff01-\uff5e]")))
-    found = F.when(other, _terms(F.lower(F.translate(text, WIDE, NARROW)), mixed)).otherwise(plain)
+    found = F.when(~F.rlike(text, F.lit(r"[^\x00-\x7F]")), only_ascii).when(other, _terms(F.lower(F.translate(text, WIDE, NARROW)), mixed)).otherwise(plain)
     return found if most is None else F.slice(found, 1, most)
 
 
