@@ -6,10 +6,10 @@ failures the work is dead. What does not fit the state is ignored: a second clai
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,82 +23,84 @@ CHANGE = "key long, at timestamp, status string, retries int, worker string, att
 
 
 class Leases(StatefulProcessor):
-    """State of one piece of work: a value (status, retries, worker, end of the lease) and a list of its claims. A timer stands at the
-    end of each lease, and one where finished work is forgotten."""
+    """State of one piece of work: a value (status, retries, worker, end of the lease, attempts) and a list of its claims. A timer stands at
+    the end of a lease that is running, and one where finished work is forgotten. State is read and written once for a key and batch."""
 
     def __init__(self, lease: int, most: int | None, kept: int) -> None:
         self.lease, self.most, self.kept = lease * 1000, most, kept * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.work = handle.getValueState("work", "status string, retries int, worker string, until long")
+        self.work = handle.getValueState("work", "status string, retries int, worker string, until long, attempts int")
         self.claims = handle.getListState("claims", "worker string, at long")
 
-    def _change(self, key: int, at: int, status: str, retries: int, worker: str | None, until: int | None) -> tuple:
-        self.work.update((status, retries, worker, until))
-        if status in ("completed", "dead"):
+    def _failed(self, s: tuple) -> tuple:
+        dead = self.most is not None and s[1] + 1 >= self.most
+        return "dead" if dead else "failed", s[1] + 1, None, None, s[4]
+
+    def _next(self, s: tuple, at: int, action: str, worker: str | None) -> tuple | None:
+        """The state after a message, none if it does not fit."""
+        status, retries, holder, _, attempts = s
+        own = status == "processing" and worker == holder
+        if action == "add" and status is None or action == "replay" and status == "dead":
+            return "pending", 0, None, None, attempts
+        if action == "claim" and status in ("pending", "failed"):
+            return "processing", retries, worker, at + self.lease, attempts + 1
+        if action == "ok" and own:
+            return "completed", retries, worker, None, attempts
+        return self._failed(s) if action == "fail" and own else None
+
+    def _save(self, s: tuple, at: int) -> None:
+        self.work.update(s)
+        if s[0] == "processing":
+            self.handle.registerTimer(s[3])
+        elif s[0] in ("completed", "dead"):
             self.handle.registerTimer(at + self.kept)
-        attempts = sum(1 for _ in self.claims.get()) if self.claims.exists() else 0
-        return key, at, status, retries, worker, attempts
-
-    def _failed(self, key: int, at: int, retries: int) -> tuple:
-        dead = self.most is not None and retries + 1 >= self.most
-        return self._change(key, at, "dead" if dead else "failed", retries + 1, None, None)
-
-    def _apply(self, key: int, at: int, action: str, worker: str | None) -> list[tuple]:
-        out = []
-        state = self.work.get() if self.work.exists() else None
-        if state is not None and state[0] == "processing" and state[3] < at:  # the timer of this lease comes with a later watermark
-            out.append(self._failed(key, state[3], state[1]))
-            state = self.work.get()
-        status, retries, holder = (state[0], state[1], state[2]) if state is not None else (None, 0, None)
-        if action == "add" and status is None:
-            out.append(self._change(key, at, "pending", 0, None, None))
-        elif action == "claim" and status in ("pending", "failed"):
-            self.claims.appendValue((worker, at))
-            self.handle.registerTimer(at + self.lease)
-            out.append(self._change(key, at, "processing", retries, worker, at + self.lease))
-        elif action == "ok" and status == "processing" and worker == holder:
-            out.append(self._change(key, at, "completed", retries, worker, None))
-        elif action == "fail" and status == "processing" and worker == holder:
-            out.append(self._failed(key, at, retries))
-        elif action == "replay" and status == "dead":
-            out.append(self._change(key, at, "pending", 0, None, None))
-        return out
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        every = pd.concat(list(rows)).sort_values(["ms", "seq"])
-        out = []
-        for at, action, worker in zip(every["ms"], every["action"], every["worker"], strict=True):
-            out += self._apply(key[0], int(at), action, worker)
-        yield self._table(out)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at, out = expiredTimerInfo.getExpiryTimeInMs(), []
-        if self.work.exists():
-            status, retries, _, until = self.work.get()
-            if status == "processing" and until <= at:
-                out.append(self._failed(key[0], until, retries))
-            elif status in ("completed", "dead") and not any(t > at for t in self.handle.listTimers()):
-                self.work.clear()
-                self.claims.clear()
-        yield self._table(out)
+
+    @staticmethod
+    def _change(key: int, at: int, s: tuple) -> Row:
+        when = datetime.datetime.fromtimestamp(at / 1000, datetime.UTC)
+        return Row(key=key, at=when, status=s[0], retries=s[1], worker=s[2], attempts=s[4])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        found = self.work.get() if self.work.exists() else None
+        s = tuple(found) if found is not None else (None, 0, None, None, 0)
+        claims, changed, at = [], None, 0
+        for at, _, action, worker in sorted(((r["ms"], r["seq"], r["action"], r["worker"]) for r in rows), key=lambda m: m[:2]):
+            if s[0] == "processing" and s[3] < at:  # the timer of this lease comes with a later watermark
+                changed, s = s[3], self._failed(s)
+                yield self._change(key[0], changed, s)
+            after = self._next(s, at, action, worker)
+            if after is not None:
+                changed, s = at, after
+                yield self._change(key[0], changed, s)
+                if action == "claim":
+                    claims.append((worker, at))
+        if claims:
+            self.claims.appendList(claims)
+        if changed is not None:
+            self._save(s, changed)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        s = tuple(self.work.get()) if self.work.exists() else (None,)
+        if s[0] == "processing" and s[3] <= at:
+            until, s = s[3], self._failed(s)
+            self._save(s, until)
+            yield self._change(key[0], until, s)
+        elif s[0] in ("completed", "dead") and not any(t > at for t in self.handle.listTimers()):
+            self.work.clear()
+            self.claims.clear()
 
     def close(self) -> None:
         pass
 
-    @staticmethod
-    def _table(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["key", "at", "status", "retries", "worker", "attempts"])
-        out["at"] = pd.to_datetime(out["at"].astype("int64"), unit="ms")
-        return out.astype({"key": "int64", "retries": "int32", "attempts": "int32"})
-
 
 def lease_changes(messages: DataFrame, late: str = "0 seconds", lease: int = LEASE, most: int | None = MAX_RETRIES, kept: int = KEPT) -> DataFrame:
     """SM1, SM6: every change of state of a stream of messages (key, at, seq, action, worker), as ``CHANGE``. Messages later than the watermark
     are dropped by the engine. The session needs ``STORE`` set to ``ROCKS`` when the query starts (``run_changes`` does so)."""
     marked = messages.withWatermark("at", late).withColumn("ms", F.unix_millis("at"))
-    return marked.groupBy("key").transformWithStateInPandas(Leases(lease, most, kept), CHANGE, "Append", "eventTime")
+    return marked.groupBy("key").transformWithState(Leases(lease, most, kept), CHANGE, "Append", "eventTime")
 
 
 def run_changes(changes: DataFrame, path: str, checkpoint: str) -> None:
