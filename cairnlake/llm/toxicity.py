@@ -17,7 +17,7 @@ words and word stems whose odds of label 1 are surely high, counted by Spark ove
 near copies; the labels' weights come from a ridge logistic regression. The rows' order changes nothing.
 
 Cases: a null or empty text scores as one without marked words; without labelled rows of both kinds every document
-scores 0; a null id is held out; repeated rows give repeated results; an id with two labels counts as toxic; an
+scores 0; a null id is held out; repeated rows give repeated results; an id with two labels counts as toxic; labels other than 0 and 1 take no part; an
 empty table gives an empty result; very long texts are read whole; only the named columns are read, so others may
 have any name.
 """
@@ -303,7 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) ->
     """Lexicon and weights from labelled rows that are not held out."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    marked = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marked = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = marked.count()
     if not n:
         return None

@@ -127,6 +127,12 @@ def test_the_fit_does_not_hang_on_the_order_of_rows(spark, fitted):
         assert again.lexicon == model.lexicon and (again.weights == model.weights).all()
 
 
+def test_other_labels_take_no_part(spark, fitted):
+    _, docs, labels, model = fitted
+    more = labels.unionByName(labels.select("doc_id", x.F.when(x.F.col("doc_id") % 2 == 0, 4).otherwise(-1).alias("toxic"), *(c for c in labels.columns if c not in ("doc_id", "toxic"))).select(*labels.columns))
+    assert x.fit(docs, more).lexicon == model.lexicon
+
+
 def test_odd_rows_and_missing_labels(spark, fitted):
     _, _, labels, model = fitted
     odd = spark.createDataFrame([(1, None), (2, ""), (None, "blarg"), (3, "w " * 200000), (3, "w " * 200000)], "doc_id long, text string")
