@@ -11,7 +11,8 @@ Texts are equal when identical after each run of ASCII white space became one sp
 
 Cases: a null text counts as empty; a null id is greater than any other and stays only if all ids of the group
 are null; rows that share the smallest id are one document and share its flags (``drop_duplicates`` returns one
-of them); an empty table gives an empty result. Only the named columns are read, so others may have any name.
+of them); an empty table gives an empty result. Very long texts are compared
+whole, one against its bucket's table at a time. Only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations

@@ -19,7 +19,7 @@ Components come from alternating large and small stars over the distinct fingerp
 shared folder. Equal fingerprints are one node throughout, whatever the number of documents.
 
 Cases: a null text counts as empty; no words: fingerprint zero, linked like any other; a null id never names a
-component unless all its ids are null; repeated rows give repeated results; an empty table gives an empty result; very long texts
+component unless all its ids are null; repeated rows give repeated results; a bit set in just half of all hashes is 0; an empty table gives an empty result; very long texts
 are read whole; only the named columns are read, so others may have any name.
 """
 

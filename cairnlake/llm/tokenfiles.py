@@ -13,8 +13,9 @@ A task writes under a name of its own attempt and renames at the end, so a lost
 Whole words are encoded once and remembered (the pre-tokenizer of word_bpe_49k.json cuts at white space and drops
 it, and neither normalisation nor added tokens reach across it), so the library sees each distinct word only.
 
-Cases: a null text counts as empty and yields the end id alone; repeated rows and ids yield a document each; an
-empty table yields a manifest without shards.
+Cases: a null text counts as empty and yields the end id alone; repeated rows and ids yield a document each; very long
+texts are encoded whole; only the named columns are read, so others may have any name; an empty table yields a manifest
+without shards.
 """
 
 from __future__ import annotations

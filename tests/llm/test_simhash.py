@@ -142,5 +142,15 @@ def test_query(spark):
     assert sorted(map(tuple, got), key=str) == want
 
 
+def test_a_very_long_text_is_read_whole(spark):
+    words = [f"w{i * i % 9973}" for i in range(60_000)]
+    texts = {1: " ".join(words), 2: " ".join([*words[:-1], "other"]), 3: " ".join(words[:30_000]), 4: "x" * 200_000}
+    docs = spark.createDataFrame([(i, t, "e") for i, t in texts.items()], "doc_id long, text string, key string")
+    got = {r.doc_id: r for r in s.near_dedup(docs).collect()}
+    prints = {i: brute_print(t) for i, t in texts.items()}
+    assert {i: int(r.fingerprint, 16) if isinstance(r.fingerprint, str) else r.fingerprint % 2**64 for i, r in got.items()} == prints
+    assert [got[i].component_id for i in texts] == brute_components(list(texts), list(prints.values()))
+
+
 def test_empty_table(spark):
     assert s.near_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -40,6 +40,16 @@ def test_files_round_trip(spark):
     assert sorted(((r[0], r[2], r[3]) for r in got), key=str) == want
 
 
+def test_a_very_long_text_is_encoded_whole(spark):
+    long = "Some words, then more of them: ÉÉ 中文 🙂\n" * 12_000
+    docs = spark.createDataFrame([(2, long, "x"), (1, "short", "y")], "doc_id long, text string, n_tokens string")
+    folder = fresh_path(spark, "tokens")
+    got = {r[0]: r[1:] for r in map(tuple, t.read_tokens(spark, folder, t.write_tokens(docs, PATH, 2, folder)).collect())}
+    library = t.WordEncoder(PATH, "<u4").library
+    ids = [*library.encode(long, add_special_tokens=False).ids, 2]
+    assert got[2] == (got[1][1], len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     folder = fresh_path(spark, "tokens")
