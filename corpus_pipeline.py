@@ -5,7 +5,8 @@ folder and read back as the next stage's documents, so a lost executor never cos
 
 Cases: a null text, or one without a letter, is in no learned language and goes in the first stage, whatever its ``lang``; a
 null ``lang`` is only not learned from; where no language can be learned, all documents stay. Null ids and sources are
-kept as they are. Repeated rows are exact copies: one stays. Very long texts are read whole in every stage. An empty table
+kept as they are. Repeated rows are exact copies: one stays. Of equal scores of languages the first by name
+counts, of copies the row of the least id stays, and places of the mix that tie go by id. Very long texts are read whole in every stage. An empty table
 gives an empty result. All stages but the last return the columns of documents, extra ones of any name included.
 """
 
