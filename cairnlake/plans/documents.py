@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
 import pyarrow as pa
@@ -21,6 +22,7 @@ from cairnlake.session import fresh_path
 from cairnlake.session import read_table as t
 from cairnlake.sources import readers as rd
 from cairnlake.sources.archives import ArchiveSource
+from cairnlake.sources.workbooks import WorkbookSource, place, regions
 from cairnlake.streaming import jobs
 
 
@@ -107,6 +109,77 @@ UNION ALL SELECT archive, 'd' || doc_id || '.md', 'ok', octet_length(encode(text
 UNION ALL SELECT archive, 'a' || archive || '/.hidden.md', 'hidden', 1, NULL FROM a WHERE NOT cut AND NOT packed"""
 
 
+def workbook(sheets: dict[str, tuple[dict[str, object], list[str]]]) -> bytes:
+    """A workbook as its zipped XML. Sheets: cells by reference (text, a number, (number, format) or (formula, stored number or None)),
+    and merged areas. Texts are shared strings; format 10 is a share with two places."""
+    strings: dict[str, int] = {}
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    refs = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+    def cell(ref: str, value: object) -> str:
+        if isinstance(value, str):
+            return f'<c r="{ref}" t="s"><v>{strings.setdefault(value, len(strings))}</v></c>'
+        if isinstance(value, tuple) and isinstance(value[0], str):
+            return f'<c r="{ref}"><f>{value[0]}</f>' + (f"<v>{value[1]}</v>" if value[1] is not None else "") + "</c>"
+        number, style = value if isinstance(value, tuple) else (value, 0)
+        return f'<c r="{ref}" s="{int(style == 10)}"><v>{number!r}</v></c>'
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for n, (cells, merges) in enumerate(sheets.values(), 1):
+            rows: dict[int, list] = {}
+            for ref, value in cells.items():
+                at = place(ref)
+                rows.setdefault(at[0], []).append((at[1], cell(ref, value)))
+            data = "".join(f'<row r="{r}">{"".join(x for _, x in sorted(cs))}</row>' for r, cs in sorted(rows.items()))
+            merged = f"<mergeCells>{''.join(f'<mergeCell ref="{m}"/>' for m in merges)}</mergeCells>" if merges else ""
+            z.writestr(f"xl/worksheets/sheet{n}.xml", f"<worksheet {main}><sheetData>{data}</sheetData>{merged}</worksheet>")
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{refs}"><sheets>{"".join(f"<sheet name={quoteattr(name)} sheetId=\'{n}\' r:id=\'r{n}\'/>" for n, name in enumerate(sheets, 1))}</sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{"".join(f"<Relationship Id=\'r{n}\' Type=\'{refs}/worksheet\' Target=\'worksheets/sheet{n}.xml\'/>" for n in range(1, len(sheets) + 1))}</Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet {main}><cellXfs><xf numFmtId="0"/><xf numFmtId="10"/></cellXfs></styleSheet>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}>{''.join(f'<si><t>{escape(x)}</t></si>' for x in strings)}</sst>")
+    return out.getvalue()
+
+
+def _workbook_writer(folder: str):
+    """Writes a workbook for each hundred documents: a table under two rows of headers, its sum, and a second table beneath."""
+
+    def run(table: pa.Table) -> pa.Table:
+        number, table = table.column("book")[0].as_py(), table.sort_by("doc_id")
+        cells: dict[str, object] = {"A1": "Document", "B1": "Size", "B2": "characters (chars)", "C2": "share", "D1": "lang"}
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("doc_id", "n", "lang")), strict=True))
+        for r, (i, n, lang) in enumerate(rows, 3):
+            cells |= {f"A{r}": i, f"B{r}": n, f"C{r}": (n / 20_000, 10)} | ({f"D{r}": lang} if lang else {})
+        end = len(rows) + 3
+        cells |= {f"B{end}": (f"SUM(B3:B{end - 1})", sum(n for _, n, _ in rows)), f"A{end + 2}": "kind", f"B{end + 2}": "count", f"A{end + 3}": "documents", f"B{end + 3}": len(rows)}
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        with fs.open_output_stream(f"{root}/{number:09d}.xlsx") as f:
+            f.write(workbook({"Sizes & more": (cells, ["A1:A2", "B1:C1", "D1:D2"])}))
+        return pa.table({"book": pa.array([number], pa.int64())})
+
+    return run
+
+
+def _workbooks(s, d):
+    folder = fresh_path(s, "books")
+    docs = t(s, d, "documents").where("doc_id IS NOT NULL").select(F.floor(F.col("doc_id") / 100).cast("long").alias("book"), "doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"), "lang")
+    docs.groupBy("book").applyInArrow(_workbook_writer(folder), "book long").write.format("noop").mode("overwrite").save()
+    s.dataSource.register(WorkbookSource)
+    found = regions(s.read.format("workbooks").load(folder))
+    return found.where("NOT is_header").select(F.regexp_extract("workbook", r"(\d+)", 1).cast("long").alias("book"), "band", "row", "header", "kind", "text", round_to(F.col("number")).alias("number"), "unit", "is_summary")
+
+
+WORKBOOK_SQL = """WITH d AS (SELECT doc_id // 100 AS book, doc_id, coalesce(length(text), 0) AS n, lang, 2 + row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) AS r FROM documents WHERE doc_id IS NOT NULL),
+b AS (SELECT book, count(*) AS c, sum(n) AS n FROM d GROUP BY 1)
+SELECT book, 0 AS band, r AS row, 'Document' AS header, 'number' AS kind, CAST(doc_id AS VARCHAR) AS text, doc_id::DOUBLE AS number, NULL AS unit, false AS is_summary FROM d
+UNION ALL SELECT book, 0, r, 'Size / characters (chars)', 'number', CAST(n AS VARCHAR), n, 'chars', false FROM d
+UNION ALL SELECT book, 0, r, 'Size / share', 'number', CASE WHEN n = 0 THEN '0.0' ELSE CAST(n::DOUBLE / 20000 AS VARCHAR) END, round(n::DOUBLE / 20000, 6), '%', false FROM d
+UNION ALL SELECT book, 0, r, 'lang', 'string', lang, NULL, NULL, false FROM d WHERE lang <> ''
+UNION ALL SELECT book, 0, c + 3, 'Size / characters (chars)', 'formula', CAST(n AS VARCHAR), n, 'chars', true FROM b
+UNION ALL SELECT book, 1, c + 6, 'kind', 'string', 'documents', NULL, NULL, false FROM b UNION ALL SELECT book, 1, c + 6, 'count', 'number', CAST(c AS VARCHAR), c, NULL, false FROM b"""
+
+
 def _batches(s, d):
     out = fresh_path(s, "batches")
     rows = t(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
@@ -269,6 +342,7 @@ PLANS = [
     Plan("src10_artifact", _artifact, "SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS price, min(o_orderkey) AS least FROM orders GROUP BY 1"),
     Plan("src11_archives", _archives, ARCHIVE_SQL),
     Plan("src11_archive_source", _archive_source, ARCHIVE_SOURCE_SQL),
+    Plan("src6_workbooks", _workbooks, WORKBOOK_SQL),
     Plan("snk2_batches", _batches, "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders"),
     Plan("ch7_numerals", _numerals, "SELECT o_orderkey, o_orderkey % 10000 AS value FROM orders"),
     Plan("ch8_table_headers", lambda s, d: st.carry_table_headers(_chunks(s, d)).select("doc_id", "ord", "with_header", F.array_join("row_meanings", "; ").alias("row_meanings")), f"WITH {CHUNKS_SQL}"),

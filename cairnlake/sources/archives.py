@@ -53,6 +53,11 @@ class _Seekable(io.RawIOBase):
         return len(data)
 
 
+def seekable(file) -> io.BufferedReader:
+    """A file of the store as the zip reader takes it."""
+    return io.BufferedReader(_Seekable(file), 1 << 20)
+
+
 @dataclass
 class Stretch(InputPartition):
     pieces: list[tuple[str, int, int]]  # path, which part, of how many
@@ -87,7 +92,7 @@ class ArchiveReader(DataSourceReader):
         name = path.rsplit("/", 1)[-1]
         with fs.open_input_file(path) as file:
             try:
-                z = zipfile.ZipFile(io.BufferedReader(_Seekable(file), 1 << 20))
+                z = zipfile.ZipFile(seekable(file))
                 plan = archive_plan(z)
             except (zipfile.BadZipFile, TooManyFiles) as e:
                 if part == 0:

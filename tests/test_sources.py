@@ -76,3 +76,38 @@ def test_a_full_queue_takes_nothing_and_commits_make_room(tmp_path):
         with pytest.raises(ValueError):
             queue.append("s", [bad])
     assert queue.append("s", []) == 6
+
+
+def test_regions_of_a_workbook(spark, tmp_path):
+    from cairnlake.plans.documents import workbook
+    from cairnlake.sources.workbooks import WorkbookSource, regions
+
+    # Two blocks side by side, a band beneath without headers, a merged title, a formula without a stored value, a second sheet.
+    one = {"B2": "Name", "C2": "Price (EUR)", "B3": "x", "C3": 1.5, "B4": "y", "C4": 2, "C5": ("SUM(C3:C4)", 3.5), "F2": "Year", "F3": 2024, "F4": ("A1+1", None),
+           "B8": 1, "C8": (0.25, 10), "B9": 2, "C9": ("AVERAGE(B8:B9)", 1.5), "AB8": "far"}
+    two = {"A1": "Title", "A2": "left", "B2": "right", "A3": "a", "B3": "b"}
+    (tmp_path / "w.xlsx").write_bytes(workbook({"One": (one, []), "T<wo": (two, ["A1:B1"])}))
+    (tmp_path / "bad.xlsx").write_bytes(b"PK nothing")
+    spark.dataSource.register(WorkbookSource)
+    cells = spark.read.format("workbooks").load(str(tmp_path))
+    assert [(r.workbook, r.status) for r in cells.where("status <> 'ok'").collect()] == [("bad.xlsx", "broken")]
+    got = {(r.sheet, r.row, r.col): r for r in regions(cells).collect()}
+    at = lambda s, r, c: got[s, r, c]
+    assert [(at("One", 3, c).header, at("One", 3, c).band, at("One", 3, c).block) for c in (2, 3, 6)] == [("Name", 0, 0), ("Price (EUR)", 0, 0), ("F", 0, 1)]
+    assert at("One", 2, 2).is_header and not at("One", 3, 2).is_header
+    # A block of one text is no header: two texts, or a merged one, are.
+    assert not at("One", 2, 6).is_header
+    assert (at("One", 3, 3).unit, at("One", 3, 3).number, at("One", 5, 3).is_summary, at("One", 4, 3).is_summary) == ("EUR", 1.5, True, False)
+    assert at("One", 4, 6).kind == "formula" and at("One", 4, 6).text is None
+    assert [(at("One", 8, c).header, at("One", 8, c).is_header) for c in (2, 3, 28)] == [("B", False), ("C", False), ("AB", False)] and at("One", 8, 3).unit == "%"
+    assert not at("One", 9, 3).is_summary  # it takes in its own row and another column
+    assert [at("T<wo", 3, c).header for c in (1, 2)] == ["Title / left", "Title / right"] and [at("T<wo", r, 1).is_header for r in (1, 2, 3)] == [True, True, False]
+
+
+def test_names_of_columns(spark):
+    from pyspark.sql import functions as F
+
+    from cairnlake.sources.workbooks import letters, place
+
+    for n, name in ((1, "A"), (26, "Z"), (27, "AA"), (52, "AZ"), (53, "BA"), (702, "ZZ"), (703, "AAA"), (16384, "XFD")):
+        assert spark.range(1).select(letters(F.lit(n))).first()[0] == name and place(f"{name}7") == (7, n)
