@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from cairnlake.session import forget, written
 from cairnlake.sources.archives import seekable
 
 #: Rows and columns of a sheet; the namespace of sheets and of references; kinds of built-in formats that are dates or shares.
@@ -192,9 +193,11 @@ def regions(cells: DataFrame) -> DataFrame:
     A region is a block of columns within a band of rows, with empty lines around both. Its first row is a header if it holds two or more
     texts and nothing else (or one merged text); a row of texts after a header with merged cells is one too. A column's name is the chain of
     its labels; one that only shares a merged label is named by its letters. A row that aggregates the rows above it by a formula is a
-    summary. Units come from a cell's format, else from brackets at the end of its header."""
-    good = cells.where("status = 'ok' AND col IS NOT NULL").drop("status")
-    banded = _islands(_islands(good, ["workbook", "sheet"], "row", "band"), ["workbook", "sheet", "band"], "col", "block")
+    summary. Units come from a cell's format, else from brackets at the end of its header. Cells are written once with their regions, so that
+    workbooks are read once."""
+    good = written(cells.where("status = 'ok' AND col IS NOT NULL").drop("status"), "cells")
+    banded = written(_islands(_islands(good, ["workbook", "sheet"], "row", "band"), ["workbook", "sheet", "band"], "col", "block"), "banded")
+    forget(good)
     own = ["workbook", "sheet", "band", "block"]
     texts = (F.col("kind") == "string") & ~F.col("inherited")
     real = ~F.col("inherited") & F.col("text").isNotNull()
@@ -209,7 +212,8 @@ def regions(cells: DataFrame) -> DataFrame:
     goes_on = F.when(nth == 1, first).otherwise(only & (F.col("real") > 0) & F.lag("has_merged", 1).over(order))
     rows = rows.withColumn("_on", F.coalesce(goes_on, F.lit(False)))
     rows = rows.withColumn("is_header", F.min(F.col("_on").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) == 1)
-    told = banded.join(rows.select(*own, "row", "is_header", "is_summary"), [*own, "row"])
+    told = written(banded.join(rows.select(*own, "row", "is_header", "is_summary"), [*own, "row"]), "told")
+    forget(banded)
     label = F.struct("row", "text", "inherited")
     heads = told.where("is_header AND text IS NOT NULL").groupBy(*own, "col").agg(F.array_sort(F.collect_list(label)).alias("labels"))
     chain = F.transform(F.filter("labels", lambda x, i: (i == 0) | (x["text"] != F.get("labels", i - 1)["text"])), lambda x: x["text"])
