@@ -188,6 +188,8 @@ def extract_tables(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 #: TB9: fixed values: characters of a common part, its share of a title, lengths of titles that are matched.
 COMMON, COMMON_SHARE, TITLE_MOST = 4, 0.6, 160
+#: Lengths of grams by which titles are proposed.
+GRAMS = (4, 6, 8, 12, 16, 24, 32, 48, 64)
 
 
 class SuffixAutomaton:
@@ -249,16 +251,21 @@ def matched_titles(titles: DataFrame, questions: DataFrame) -> DataFrame:
     """TB9: (query_id, title_id, common) of titles (title_id, name) that questions (query_id, text) name: case and a suffix after a dot do not
     count, names of 4 to 160 characters do.
 
-    A common part of 60 % of a name holds one of a few of its four-grams, as many as stand that far apart; these are joined with the
-    questions' four-grams. A suffix automaton of each question tells the longest common part of the pairs that are left."""
+    A common part of 60 % of a name holds one of a few of its grams, as many as stand that far apart; their length is the longest of
+    ``GRAMS`` that such a part holds. They are joined, by hash, with the questions' grams of the lengths in use. A suffix automaton of
+    each question tells the longest common part of the pairs that are left."""
     stem = F.lower(F.regexp_replace("name", r"(?i)\.[a-z0-9]+$", ""))
     named = titles.select("title_id", stem.alias("name")).where(F.length("name").between(COMMON, TITLE_MOST))
-    step = F.greatest(F.lit(COMMON), F.floor(COMMON_SHARE * F.length("name")).cast("int")) - (COMMON - 1)
-    # A common part holds ``step`` four-grams one after another, or more: of so many one is enough.
-    places = F.sequence(step, F.length("name") - (COMMON - 1), step)
-    keyed = named.select("title_id", "name", F.explode(F.array_distinct(F.transform(places, lambda p: F.substr("name", p, F.lit(COMMON))))).alias("gram"))
+    least = F.greatest(F.lit(COMMON), F.floor(COMMON_SHARE * F.length("name")).cast("int"))
+    size = F.greatest(*(F.when(least >= g, g).otherwise(0) for g in GRAMS))
+    named = named.withColumn("size", size).withColumn("step", least - F.col("size") + 1)
+    # A common part holds ``step`` grams one after another, or more: of so many one is enough.
+    places = F.sequence("step", F.length("name") - F.col("size") + 1, "step")
+    keyed = named.select("title_id", "name", F.explode(F.array_distinct(F.transform(places, lambda p: F.xxhash64(F.substr("name", p, F.col("size")))))).alias("gram"))
     asked = questions.select("query_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
-    found = keyed.join(asked.select("query_id", F.explode(grams(F.col("text"), COMMON)).alias("gram")), "gram").select("query_id", "title_id", "name").distinct()
+    used = sorted(r.size for r in named.select("size").distinct().collect())
+    theirs = F.flatten(F.array(*(F.transform(grams(F.col("text"), g), lambda x: F.xxhash64(x)) for g in used))) if used else F.array().cast("array<bigint>")
+    found = keyed.join(asked.select("query_id", F.explode(theirs).alias("gram")), "gram").select("query_id", "title_id", "name").distinct()
     pairs = found.join(asked, "query_id").select("query_id", "title_id", "name", "text").sortWithinPartitions("query_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
