@@ -363,10 +363,11 @@ def cluster_members(parts: DataFrame, window: int = 250, most_groups: int = 6, l
     return by_vector.unionByName(by_section)
 
 
-def cluster_tree(parts: DataFrame, window: int = 250, sentences: int = 4, group: int = 20) -> tuple[DataFrame, DataFrame]:
-    """RP1: the summary tree over windowed clusters, and its membership: chunks (kb_id, doc_id, section, ord, content, embedding), ord unique in
-    a document. Sources of the levels above count memberships."""
-    members = written(cluster_members(parts, window), "members")
+def cluster_tree(parts: DataFrame, vectors: DataFrame | None = None, window: int = 250, sentences: int = 4, group: int = 20) -> tuple[DataFrame, DataFrame]:
+    """RP1: the summary tree over windowed clusters, and its membership: chunks (kb_id, doc_id, section, ord, content), ord unique in a document,
+    with their vectors (doc_id, ord, embedding), or with a column embedding. Sources of the levels above count memberships."""
+    short = parts.drop("content") if vectors is None else parts.select("kb_id", "doc_id", "section", "ord").join(vectors, ["doc_id", "ord"], "left")
+    members = written(cluster_members(short, window), "members")
     grouped = parts.select("kb_id", "doc_id", "ord", "content").join(members, ["kb_id", "doc_id", "ord"]).withColumnRenamed("node", "section")
     return summary_tree(grouped, sentences, group), members
 

@@ -254,9 +254,9 @@ UNION ALL SELECT kb_id, doc_id, 1, 'document', string_agg(content, ' ' ORDER BY
 def _cluster_tree(s, d):
     """Documents stand for chunks of works of sixty, with the vectors that have their number."""
     docs = t(s, d, "documents").where("doc_id IS NOT NULL")
-    e = t(s, d, "embeddings").select(F.col("vec_id").alias("ord"), "embedding")
+    e = t(s, d, "embeddings").select(F.floor(F.col("vec_id") / 60).cast("long").alias("doc_id"), F.col("vec_id").alias("ord"), "embedding")
     parts = docs.select(F.coalesce("source", F.lit("")).alias("kb_id"), F.floor(F.col("doc_id") / 60).cast("long").alias("doc_id"), F.col("lang").alias("section"), F.col("doc_id").alias("ord"), F.coalesce("text", F.lit("")).alias("content"))
-    tree, _ = st.cluster_tree(parts.join(e, "ord", "left"))
+    tree, _ = st.cluster_tree(parts, e)
     return tree.select("kb_id", "doc_id", "level", "node", F.md5(F.col("content").cast("binary")).alias("content_md5"), "sources")
 
 
