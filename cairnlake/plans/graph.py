@@ -45,7 +45,10 @@ UNION ALL SELECT doc_id, 'mentions', 'Blue River Inc', 1.0 FROM documents UNION
 
 
 def _labels(s, d):
-    return t(s, d, "lineitem").select(F.col("l_suppkey").alias("node")).distinct().unionByName(t(s, d, "lineitem").select((F.col("l_partkey") % 40 + 1000).alias("node")).distinct()).withColumn("component", F.col("node") % 4)
+    """A component for every node of ``_edges``, each node once: suppliers from 1000 on share numbers with parts."""
+    li = t(s, d, "lineitem")
+    nodes = li.select(F.col("l_suppkey").alias("node")).unionByName(li.select((F.col("l_partkey") % 40 + 1000).alias("node")))
+    return nodes.distinct().withColumn("component", F.col("node") % 4)
 
 
 LABELS = "labels AS (SELECT DISTINCT l_suppkey AS node, l_suppkey % 4 AS component FROM lineitem UNION SELECT DISTINCT l_partkey % 40 + 1000, (l_partkey % 40 + 1000) % 4 FROM lineitem)"
