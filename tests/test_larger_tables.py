@@ -30,3 +30,16 @@ def test_a_supplier_and_a_part_of_one_number_are_one_node(spark, tmp_path, name)
     rows = [(1, 0, 1000, 4.0, "N"), (2, 0, 7, 8.0, "N"), (3, 1, 1001, 12.0, "R"), (4, 2, 1000, 4.0, "N")]
     spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
     assert against_sql(spark, tmp_path, name)
+
+
+def test_chains_of_versions_of_any_length_are_retired(spark):
+    """Seventy versions and more than a recursion's depth, a translation between two, and a cycle."""
+    from cairnlake.operators import access
+
+    rows = [(i, i - 1, "revision") for i in range(1, 71)] + [(101, 100, "translation"), (201, 200, "revision"), (200, 201, "revision"), (301, None, "revision")]
+    links = spark.createDataFrame(rows, "doc_id long, previous_id long, kind string")
+    docs = spark.createDataFrame([(i, None) for i in [*range(71), 100, 101, 200, 201, 301]], "doc_id long, effective_to timestamp")
+    heads = spark.createDataFrame([(70,), (101,), (201,), (301,)], "doc_id long")
+    got = access.retire_chain(links, heads, docs, F.lit("1996-06-01").cast("timestamp")).collect()
+    assert sorted(r.doc_id for r in got) == [*range(70), 200, 201]
+    assert {r.effective_to for r in got} == {datetime.datetime(1996, 6, 1)} and {r.status for r in got} == {"superseded"}
