@@ -167,10 +167,10 @@ def validate_qa(rows: DataFrame) -> DataFrame:
 
 
 def read_table_artifact(spark: SparkSession, path: str, schema: str, sha256: str | None = None, most_bytes: int = 200 << 20) -> DataFrame:
-    """SRC10: rows of a JSONL artifact, if its size is within the budget and its digest is the expected one. Sizes come from
-    the listing; contents are read for a digest only if one is asked for, and then a single file must have it."""
+    """SRC10: rows of JSONL artifacts, a file each, if the size of each is within the budget and its digest is the expected one.
+    Sizes come from the listing; contents are read for a digest only if one is asked for, and then a single file must have it."""
     files = spark.read.format("binaryFile").load(path)
-    if (files.agg(F.sum("length").alias("n")).first().n or 0) > most_bytes:
+    if (files.agg(F.max("length").alias("n")).first().n or 0) > most_bytes:
         raise ValueError("artifact over budget")
     if sha256:
         facts = files.agg(F.count(F.lit(1)).alias("n"), F.min(F.sha2("content", 256)).alias("digest")).first()

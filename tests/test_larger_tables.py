@@ -43,3 +43,14 @@ def test_chains_of_versions_of_any_length_are_retired(spark):
     got = access.retire_chain(links, heads, docs, F.lit("1996-06-01").cast("timestamp")).collect()
     assert sorted(r.doc_id for r in got) == [*range(70), 200, 201]
     assert {r.effective_to for r in got} == {datetime.datetime(1996, 6, 1)} and {r.status for r in got} == {"superseded"}
+
+
+def test_the_budget_of_an_artifact_is_that_of_a_file(spark, tmp_path):
+    from cairnlake.sources import readers
+
+    for i in range(3):
+        (tmp_path / f"{i}.json").write_text('{"k": %d}\n' % i * 10)
+    got = readers.read_table_artifact(spark, str(tmp_path), "k long", most_bytes=100)
+    assert sorted(r.k for r in got.collect()) == [0] * 10 + [1] * 10 + [2] * 10
+    with pytest.raises(ValueError, match="over budget"):
+        readers.read_table_artifact(spark, str(tmp_path), "k long", most_bytes=80)
