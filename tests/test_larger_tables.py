@@ -54,3 +54,23 @@ def test_the_budget_of_an_artifact_is_that_of_a_file(spark, tmp_path):
     assert sorted(r.k for r in got.collect()) == [0] * 10 + [1] * 10 + [2] * 10
     with pytest.raises(ValueError, match="over budget"):
         readers.read_table_artifact(spark, str(tmp_path), "k long", most_bytes=80)
+
+
+def test_names_titles_and_chains_with_many_copies(spark):
+    """Copies meet by what they share: each pair comes once, and ties of equal chunks go to the first keys."""
+    from cairnlake.operators import evaluate, lexical, selection
+
+    names = spark.createDataFrame([(i, ("Large ring", "large Ring", "large rings", "cold bolt", None)[i % 5]) for i in range(50)], "id long, name string")
+    got = lexical.similar_names(names, names, 0.7).collect()
+    want = {(a, b) for a in range(50) for b in range(50) if a != b and (a % 5 < 3 and b % 5 < 3 or a % 5 == b % 5 == 3)}
+    assert len(got) == len(want) and {(r.id_a, r.id_b) for r in got} == want
+    titles = spark.createDataFrame([("COLD BOLT", 1), ("Cold bolt", 1), ("cold bolt", 2)], "title string, doc_id long")
+    asked = names.select((names.id % 2).alias("query_id"), "name")
+    assert sorted(tuple(r) for r in selection.bridge_titles(asked, titles).collect()) == [(q, "cold bolt", d) for q in (0, 1) for d in (1, 2)]
+    posts = spark.createDataFrame([(c, w) for c in range(40) for w in (("a", "b") if c % 4 else ("a",))], "chunk_id long, term string")
+    terms = spark.createDataFrame([(q, w) for q in range(30) for w in ("a", "b", "z")], "query_id long, term string")
+    found = sorted(tuple(r) for r in lexical.candidate_window(posts, terms, 3, ["chunk_id"]).collect())
+    assert found == sorted((q, c, 2) for q in range(30) for c in (1, 2, 3))
+    chains = spark.createDataFrame([(1, 10, 5), (1, 10, 5), (1, 10, 6), (1, 11, 7), (1, 11, 8), (1, 11, 9), (2, 12, 1)], "qid long, chain_id long, docid long")
+    hits = spark.createDataFrame([(1, 6), (1, 6), (1, 7), (1, 8), (2, 5)], "qid long, docid long")
+    assert sorted((r.qid, round(r.chain_recall, 6), r.complete) for r in evaluate.chain_recall(hits, chains).collect()) == [(1, 0.666667, False), (2, 0.0, False)]
