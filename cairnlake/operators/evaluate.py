@@ -127,10 +127,13 @@ def ablation(runs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def chain_recall(found: DataFrame, chains: DataFrame) -> DataFrame:
-    """EV17: of evidence chains (qid, chain_id, docids), the best share that the docids found (qid, docids) hold, and completeness."""
-    joined = chains.withColumnRenamed("docids", "need").join(found, "qid", "left")
-    share = F.size(F.array_intersect("need", F.coalesce("docids", F.array().cast("array<bigint>")))) / F.size("need")
-    return joined.groupBy("qid").agg(F.max(share).alias("chain_recall")).withColumn("complete", F.col("chain_recall") == 1)
+    """EV17: of evidence chains (qid, chain_id, docid), the best share that the found documents (qid, docid) hold, and completeness.
+
+    Both are rows, so that neither what a question found nor a chain gathers in one place."""
+    need = chains.select("qid", "chain_id", "docid").distinct()
+    held = need.join(found.select("qid", "docid", F.lit(1).alias("_f")).distinct(), ["qid", "docid"], "left")
+    share = held.groupBy("qid", "chain_id").agg((F.count("_f") / F.count("docid")).alias("share"))
+    return share.groupBy("qid").agg(F.max("share").alias("chain_recall")).withColumn("complete", F.col("chain_recall") == 1)
 
 
 def paired_bootstrap(pairs: DataFrame, keys: list[str], resamples: int = 5000, margin: float = 0.01, comparisons: int = 1, seed: int = 42) -> DataFrame:
