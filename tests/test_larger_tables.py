@@ -74,3 +74,24 @@ def test_names_titles_and_chains_with_many_copies(spark):
     chains = spark.createDataFrame([(1, 10, 5), (1, 10, 5), (1, 10, 6), (1, 11, 7), (1, 11, 8), (1, 11, 9), (2, 12, 1)], "qid long, chain_id long, docid long")
     hits = spark.createDataFrame([(1, 6), (1, 6), (1, 7), (1, 8), (2, 5)], "qid long, docid long")
     assert sorted((r.qid, round(r.chain_recall, 6), r.complete) for r in evaluate.chain_recall(hits, chains).collect()) == [(1, 0.666667, False), (2, 0.0, False)]
+
+
+def within(spark, seconds, df):
+    """Rows of a table, or a failure where it takes longer than pairs of all copies may."""
+    import threading
+
+    timer = threading.Timer(seconds, spark.sparkContext.cancelAllJobs)
+    timer.start()
+    try:
+        return df.collect()
+    finally:
+        timer.cancel()
+
+
+def test_window_of_queries_with_the_same_terms(spark):
+    from cairnlake.operators import lexical
+
+    posts = spark.range(40_000).select(F.col("id").alias("chunk_id"), F.explode(F.array(F.lit("a"), F.when(F.col("id") % 4 > 0, "b").otherwise("c"))).alias("term"))
+    asked = spark.range(20_000).select(F.col("id").alias("query_id"), F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("z"))).alias("term"))
+    got = within(spark, 60, lexical.candidate_window(posts, asked, 3, ["chunk_id"]).groupBy("chunk_id", "matched").count())
+    assert sorted(tuple(r) for r in got) == [(1, 2, 20_000), (2, 2, 20_000), (3, 2, 20_000)]
