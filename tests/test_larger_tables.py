@@ -95,3 +95,11 @@ def test_window_of_queries_with_the_same_terms(spark):
     asked = spark.range(20_000).select(F.col("id").alias("query_id"), F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("z"))).alias("term"))
     got = within(spark, 60, lexical.candidate_window(posts, asked, 3, ["chunk_id"]).groupBy("chunk_id", "matched").count())
     assert sorted(tuple(r) for r in got) == [(1, 2, 20_000), (2, 2, 20_000), (3, 2, 20_000)]
+
+
+def test_distinct_names_are_compared_and_copies_joined(spark):
+    from cairnlake.operators import lexical
+
+    names = spark.range(30_000).select("id", F.concat(F.lit("Large ring number "), (F.col("id") % 3).cast("string")).alias("name"))
+    got = within(spark, 60, lexical.similar_names(names.where("id < 600"), names, 0.99).groupBy((F.col("id_a") % 3).alias("a"), (F.col("id_b") % 3).alias("b"), "similarity").count())
+    assert sorted(tuple(r) for r in got) == [(k, k, 1.0, 200 * 9_999) for k in range(3)]
