@@ -103,3 +103,15 @@ def test_distinct_names_are_compared_and_copies_joined(spark):
     names = spark.range(30_000).select("id", F.concat(F.lit("Large ring number "), (F.col("id") % 3).cast("string")).alias("name"))
     got = within(spark, 60, lexical.similar_names(names.where("id < 600"), names, 0.99).groupBy((F.col("id_a") % 3).alias("a"), (F.col("id_b") % 3).alias("b"), "similarity").count())
     assert sorted(tuple(r) for r in got) == [(k, k, 1.0, 200 * 9_999) for k in range(3)]
+
+
+def test_siblings_of_many_copies_and_of_anchors_with_two_texts(spark):
+    from cairnlake.operators import selection
+
+    docs = spark.range(4_000).select(F.col("id").alias("doc_id"), F.lit("Rules v1.pdf").alias("title"))
+    text = F.concat(F.lit("text of number "), (F.col("id") % 2).cast("string"), F.lit(" of all of these"))
+    chunks = spark.range(4_000).select(F.col("id").alias("doc_id"), F.col("id").alias("chunk_id"), text.alias("text")).unionByName(spark.createDataFrame([(1, -1, "text of number 1 of all of these"), (3, -3, None)], "doc_id long, chunk_id long, text string"))
+    anchors = spark.range(2_000).select(F.lit(7).alias("query_id"), F.col("id").alias("doc_id"), text.alias("text")).unionByName(spark.createDataFrame([(7, 1, "text of number 0 of all of these"), (8, 2, None)], "query_id int, doc_id long, text string"))
+    found = selection.sibling_chunks(anchors, docs, chunks, F.lit("number"), 0.99)
+    got = within(spark, 90, found.groupBy("query_id", (F.col("anchor_doc") == 1).alias("twice")).agg(F.count(F.lit(1)).alias("n"), F.min("chunk_id").alias("least")))
+    assert sorted(tuple(r) for r in got) == [(7, False, 1_999 * 1_999, -1), (7, True, 3_999, 0)]
