@@ -115,3 +115,13 @@ def test_siblings_of_many_copies_and_of_anchors_with_two_texts(spark):
     found = selection.sibling_chunks(anchors, docs, chunks, F.lit("number"), 0.99)
     got = within(spark, 90, found.groupBy("query_id", (F.col("anchor_doc") == 1).alias("twice")).agg(F.count(F.lit(1)).alias("n"), F.min("chunk_id").alias("least")))
     assert sorted(tuple(r) for r in got) == [(7, False, 1_999 * 1_999, -1), (7, True, 3_999, 0)]
+
+
+def test_aliases_of_many_copies_of_a_name(spark):
+    from cairnlake.operators import graph
+
+    names = spark.range(20_000).select("id", F.lit("Acme Data").alias("name"), F.lit("org").alias("type")).unionByName(spark.createDataFrame([(-1, "Blue", "org"), (-2, None, "org"), (-3, "Green", None)], "id long, name string, type string"))
+    known = spark.range(20_000).select((F.col("id") + 5).alias("entity_id"), F.lit("Acme Data x").alias("name"), F.lit("org").alias("type"))
+    ledger = spark.createDataFrame([("blue", 1), ("BLUE", 2), ("acme data", None), ("green", None)], "alias string, entity_id long")
+    got = within(spark, 60, graph.resolve_aliases(names, known, ledger).groupBy("name", "how", "entity_id").count())
+    assert sorted((tuple(r) for r in got), key=repr) == sorted([("Acme Data", "similar", 5, 20_000), ("Blue", "ledger", 1, 1), ("Blue", "ledger", 2, 1), (None, "new", None, 1), ("Green", "new", None, 1)], key=repr)
