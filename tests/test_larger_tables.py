@@ -125,3 +125,21 @@ def test_aliases_of_many_copies_of_a_name(spark):
     ledger = spark.createDataFrame([("blue", 1), ("BLUE", 2), ("acme data", None), ("green", None)], "alias string, entity_id long")
     got = within(spark, 60, graph.resolve_aliases(names, known, ledger).groupBy("name", "how", "entity_id").count())
     assert sorted((tuple(r) for r in got), key=repr) == sorted([("Acme Data", "similar", 5, 20_000), ("Blue", "ledger", 1, 1), ("Blue", "ledger", 2, 1), (None, "new", None, 1), ("Green", "new", None, 1)], key=repr)
+
+
+def _rights(spark):
+    """Many users of one role and organisation, many repeated grants; single rights beside and within those of groups."""
+    users = spark.range(20_000).select(F.col("id").cast("string").alias("user_id"), F.lit("r").alias("role_id"), (F.col("id") == 0).alias("is_admin"))
+    kbs = spark.createDataFrame([(1, "org", "1", "top"), (2, "industry", "1", None), (3, "personal", "7", None), (4, "org", "1", "else")], "kb_id long, kind string, owner_id string, org_id string")
+    orgs = users.select("user_id", F.lit("low").alias("org_id"))
+    tree = spark.createDataFrame([("low", "low", 0), ("low", "top", 1)], "id string, ancestor_id string, depth int")
+    grants = spark.range(20_000).select(F.lit(2).cast("long").alias("kb_id"), F.lit("role").alias("subject_kind"), F.lit("r").alias("subject_id"), F.lit(None).cast("timestamp").alias("expires_at"))
+    managers = spark.createDataFrame([("5", 1), ("5", 4), ("0", 4), ("guest", 1), ("guest", 1), ("7", 3)], "user_id string, kb_id long")
+    return users, kbs, orgs, tree, grants, managers, F.lit("2024-01-01").cast("timestamp")
+
+
+def test_groups_of_users_see_scopes(spark):
+    from cairnlake.operators import access
+
+    got = within(spark, 60, access.visible_kbs(*_rights(spark)).groupBy("kb_id").agg(F.count(F.lit(1)), F.count_distinct("user_id")))
+    assert sorted(tuple(r) for r in got) == [(1, 20_001, 20_001), (2, 20_000, 20_000), (3, 1, 1), (4, 2, 2)]
