@@ -143,3 +143,10 @@ def test_groups_of_users_see_scopes(spark):
 
     got = within(spark, 60, access.visible_kbs(*_rights(spark)).groupBy("kb_id").agg(F.count(F.lit(1)), F.count_distinct("user_id")))
     assert sorted(tuple(r) for r in got) == [(1, 20_001, 20_001), (2, 20_000, 20_000), (3, 1, 1), (4, 2, 2)]
+
+
+def test_users_of_scopes_are_counted_by_groups(spark):
+    from cairnlake.operators import access
+
+    got = within(spark, 60, access.kb_users(*_rights(spark)))
+    assert sorted(tuple(r) for r in got) == [(1, 20_001), (2, 20_000), (3, 1), (4, 2)]
