@@ -150,3 +150,18 @@ def test_users_of_scopes_are_counted_by_groups(spark):
 
     got = within(spark, 60, access.kb_users(*_rights(spark)))
     assert sorted(tuple(r) for r in got) == [(1, 20_001), (2, 20_000), (3, 1), (4, 2)]
+
+
+def test_totals_of_readable_documents_are_those_of_the_pairs(spark):
+    from cairnlake.operators import access
+
+    at = F.lit("2024-01-01").cast("timestamp")
+    k = F.col("id")
+    docs = spark.range(300).select(k.alias("doc_id"), (k % 5).alias("kb_id"), F.when(k % 4 == 0, (k % 9).cast("string")).alias("owner_id"), F.when(k % 3 == 0, "restricted").otherwise("inherit").alias("acl_mode"), F.lit(None).cast("timestamp").alias("effective_from"), F.lit(None).cast("timestamp").alias("effective_to"), F.lit("current").alias("status"))
+    acl = docs.where("doc_id % 2 = 0").select("doc_id", F.when(F.col("doc_id") % 6 == 0, "user").otherwise("role").alias("subject_kind"), F.when(F.col("doc_id") % 6 == 0, (F.col("doc_id") % 7).cast("string")).otherwise("r").alias("subject_id"))
+    acl = acl.unionByName(docs.where("doc_id % 10 = 0").select("doc_id", F.lit("role").alias("subject_kind"), F.lit("r").alias("subject_id")))
+    subjects = spark.range(8).select(k.cast("string").alias("user_id"), F.lit("user").alias("subject_kind"), k.cast("string").alias("subject_id")).unionByName(spark.range(0, 8, 2).select(k.cast("string").alias("user_id"), F.lit("role").alias("subject_kind"), F.lit("r").alias("subject_id")))
+    visible = spark.range(40).where("id % 7 > 0").select((k % 8).cast("string").alias("user_id"), F.floor(k / 8).alias("kb_id"))
+    pairs = access.readable_documents(docs, visible, acl, subjects, at).groupBy("user_id").agg(F.count(F.lit(1)), F.min("doc_id"), F.sum("doc_id"))
+    got = access.readable_totals(docs, visible, acl, subjects, at).collect()
+    assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in pairs.collect()) and len(got) == 9
