@@ -165,3 +165,13 @@ def test_totals_of_readable_documents_are_those_of_the_pairs(spark):
     pairs = access.readable_documents(docs, visible, acl, subjects, at).groupBy("user_id").agg(F.count(F.lit(1)), F.min("doc_id"), F.sum("doc_id"))
     got = access.readable_totals(docs, visible, acl, subjects, at).collect()
     assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in pairs.collect()) and len(got) == 9
+
+
+def test_probes_of_communities_of_many_members(spark):
+    from cairnlake.operators import selection
+
+    members = spark.range(40_000).select((F.col("id") % 2).alias("community_id"), F.col("id").alias("node"))
+    names = spark.range(40_000).select(F.col("id").alias("node"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("a"), (F.col("id") / 2 % 3).cast("int").cast("string"))).otherwise(F.concat(F.lit("a"), ((F.col("id") - 1) / 2 % 9).cast("int").cast("string"))).alias("name"))
+    hits = spark.range(20_000).select(F.col("id").alias("query_id"), F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("community_id")).withColumn("rank", (F.col("community_id") + 1).cast("int"))
+    got = within(spark, 60, selection.drift_probes(hits, members, names).groupBy("name", "nth").count())
+    assert sorted(tuple(r) for r in got) == [("a0", 1, 20_000), ("a1", 2, 20_000), ("a2", 3, 20_000), ("a3", 4, 20_000)]
