@@ -175,3 +175,9 @@ def test_probes_of_communities_of_many_members(spark):
     hits = spark.range(20_000).select(F.col("id").alias("query_id"), F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("community_id")).withColumn("rank", (F.col("community_id") + 1).cast("int"))
     got = within(spark, 60, selection.drift_probes(hits, members, names).groupBy("name", "nth").count())
     assert sorted(tuple(r) for r in got) == [("a0", 1, 20_000), ("a1", 2, 20_000), ("a2", 3, 20_000), ("a3", 4, 20_000)]
+
+
+def test_self_retrieval_asks_for_every_twentieth_among_all(spark):
+    docs = "/root/testdata/sf0.001"
+    want = spark.read.parquet(f"{docs}/documents.parquet").where("doc_id % 20 = 0").count()
+    assert registry.plans()["ev12_self_retrieval"].run(spark, docs).first().queries == want
