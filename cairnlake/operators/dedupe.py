@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cairnlake.functions.text import evidence_key
 from cairnlake.operators.text_quality import simhash_tokens
+from cairnlake.session import bounded_batches
 
 #: Tokens that both sides of a near-duplicate pair need; differing bits of a pair.
 MIN_TOKENS, NEAR_BITS = 200, 3
@@ -44,6 +45,7 @@ def simhash64(tokens: list[str]) -> int:
 
 def with_simhash(docs: DataFrame, id_col: str, text: str, scope: list[str]) -> DataFrame:
     """For each row: the id, scope, number of tokens and ``simhash`` (signed long)."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

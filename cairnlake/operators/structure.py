@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnlake.operators.vector import is_finite, soft_clusters
-from cairnlake.session import written
+from cairnlake.session import bounded_batches, written
 
 #: Fixed values of the chunker: most characters, overlap, shortest tail, clause documents.
 MAX_CHARS, OVERLAP, MIN_TAIL, CLAUSES, CLAUSE_MAX = 1800, 200, 150, 3, 5000
@@ -81,6 +81,8 @@ def chunk_markdown(text: str, most: int = MAX_CHARS, overlap: int = OVERLAP) ->
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", most: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
     """CH4: a row for each chunk: (id, ord, content, token_count, char_start, char_end, breadcrumb)."""
+    bounded_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(i, o, c, (len(c) + 3) // 4, a, b, p) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for o, c, a, b, p in chunk_markdown(t or "", most, overlap)]

@@ -18,7 +18,7 @@ from cairnlake.operators import lexical as lx
 from cairnlake.operators import rank as rk
 from cairnlake.operators import structure as st
 from cairnlake.plans.registry import Plan
-from cairnlake.session import fresh_path
+from cairnlake.session import bounded_batches, fresh_path
 from cairnlake.session import read_table as t
 from cairnlake.sources import readers as rd
 from cairnlake.sources.archives import ArchiveSource
@@ -28,6 +28,7 @@ from cairnlake.streaming import jobs
 
 def _decoded(s, d):
     """Every third text as UTF-16 with its mark, the others as UTF-8."""
+    bounded_batches(s)
     body = F.coalesce("text", F.lit(""))
     raw = F.when(F.col("doc_id") % 3 == 1, F.encode(body, "UTF-16")).otherwise(body.cast("binary"))
     return t(s, d, "documents").select("doc_id", rd.decoded(raw).alias("text")).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cairnlake.functions.text import round_to
 from cairnlake.operators import relational as rl
 from cairnlake.plans.registry import Plan
-from cairnlake.session import read_table as t
+from cairnlake.session import bounded_batches, read_table as t
 from cairnlake.sources import readers as rd
 
 W = rl.Window
@@ -60,8 +60,13 @@ def _changed(s, d):
     return rd.changed_files(first(before), first(after))
 
 
+def _html(s, d):
+    bounded_batches(s)
+    return t(s, d, "pages").select("page_id", rd.html_text("html").alias("text"))
+
+
 PLANS = [
-    Plan("src2_html_text", lambda s, d: t(s, d, "pages").select("page_id", rd.html_text("html").alias("text"))),
+    Plan("src2_html_text", _html),
     Plan("src3_markdown", lambda s, d: t(s, d, "documents").select("doc_id", F.md5(rd.normalise_markdown(F.concat(F.lit("# A\r\n\r\n\r\n# A\n"), "text")).cast("binary")).alias("text_md5"))),
     Plan("src9_validate_qa", _qa, QA_SQL),
     Plan("src12_changed_files", _changed, """WITH b AS (SELECT p_name AS path, min(md5(CAST(p_partkey AS VARCHAR))) AS o FROM part WHERE p_partkey % 4 > 0 GROUP BY 1), a AS (SELECT p_name AS path, min(md5(CASE WHEN p_partkey % 3 = 0 THEN 'x' ELSE CAST(p_partkey AS VARCHAR) END)) AS n FROM part WHERE p_partkey % 5 > 0 GROUP BY 1)

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from cairnlake.session import bounded_batches
+
 BLOCK_TAGS = frozenset("p div section article header footer main ul ol table tr br hr blockquote pre h1 h2 h3 h4 h5 h6 li dl dt dd form figure".split())
 DROPPED = frozenset("script style head svg iframe template noscript".split())
 #: SRC11: bounds of an archive: files, bytes of one and of all.
@@ -128,6 +130,7 @@ def decoded(files: pd.Series) -> pd.Series:
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """SRC1: (path, text) of raw files."""
+    bounded_batches(spark)
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", decoded("content").alias("text"))
 
@@ -220,6 +223,7 @@ def archive_entries(data: bytes) -> list[tuple[str, str, int, bytes | None]]:
 
 def expand_archives(files: DataFrame) -> DataFrame:
     """SRC11: a row for each file of each archive (path, content)."""
+    bounded_batches(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

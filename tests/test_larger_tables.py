@@ -181,3 +181,14 @@ def test_self_retrieval_asks_for_every_twentieth_among_all(spark):
     docs = "/root/testdata/sf0.001"
     want = spark.read.parquet(f"{docs}/documents.parquet").where("doc_id % 20 = 0").count()
     assert registry.plans()["ev12_self_retrieval"].run(spark, docs).first().queries == want
+
+
+@pytest.mark.parametrize("name", ["ch4_chunks", "ch19_passages", "ch21_rebuild", "dd2_simhash", "src1_decoded", "src2_html_text", "src11_archives"])
+def test_python_workers_get_texts_in_small_batches(spark, name):
+    """However many rows a partition holds, a worker has so many of them at once."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(rows)
+    registry.plans()[name].run(spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get(rows)) <= 1024
+    sizes = spark.range(5000, numPartitions=1).mapInArrow(lambda batches: batches, "id long").mapInPandas(lambda frames: (f.assign(id=len(f)) for f in frames), "id long")
+    assert max(r.id for r in sizes.distinct().collect()) <= 1024
