@@ -139,22 +139,24 @@ def chain_recall(found: DataFrame, chains: DataFrame) -> DataFrame:
 def paired_bootstrap(pairs: DataFrame, keys: list[str], resamples: int = 5000, margin: float = 0.01, comparisons: int = 1, seed: int = 42) -> DataFrame:
     """EV10: for each group of paired scores (a, b): mean difference, its interval, and whether b is not worse by over the margin.
 
-    Every pair draws its Poisson weights of all resamples, whose sums are partial aggregates: no group meets in one task."""
+    Pairs draw Poisson weights of all resamples, whose sums are partial aggregates: no group meets in one task. Pairs of one group and
+    difference draw together: the sum of n weights of mean 1 is one of mean n."""
     import numpy as np
     import pyarrow as pa
 
     def draw(batches):
         for batch in (b.slice(lo, 512) for b in batches for lo in range(0, b.num_rows, 512)):  # 512 rows of weights are 20 MB
             cols = [batch.column(i) for i in range(len(keys))]
-            ids, diff = batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_numpy(zero_copy_only=False)
-            w = np.array([np.random.default_rng([seed, abs(hash(int(i)))]).poisson(1, resamples) for i in ids], np.float64).reshape(len(ids), resamples)
+            ids, diff, copies = batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_numpy(zero_copy_only=False), batch.column(len(keys) + 2).to_pylist()
+            w = np.array([np.random.default_rng([seed, i]).poisson(n, resamples) for i, n in zip(ids, copies, strict=True)], np.float64).reshape(len(ids), resamples)
             for key in sorted(set(zip(*(c.to_pylist() for c in cols), strict=True)), key=repr) if keys else [()]:
                 own = np.array([k == key for k in zip(*(c.to_pylist() for c in cols), strict=True)]) if keys else np.ones(len(ids), bool)
                 sums, ns = (w[own] * diff[own, None]).sum(0), w[own].sum(0)
                 yield pa.RecordBatch.from_arrays([*(pa.array([k] * resamples, c.type) for k, c in zip(key, cols, strict=True)), pa.array(np.arange(resamples)), pa.array(sums), pa.array(ns)], names=[*keys, "draw", "s", "n"])
 
     fields = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys)
-    drawn = pairs.select(*keys, "pair_id", (F.col("b") - F.col("a")).alias("d")).mapInArrow(draw, f"{fields}{', ' if keys else ''}draw long, s double, n double")
+    alike = pairs.groupBy(*keys, (F.col("b") - F.col("a")).cast("double").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    drawn = alike.select(*keys, F.shiftrightunsigned(F.xxhash64(*keys, "d"), 1).alias("id"), "d", "n").mapInArrow(draw, f"{fields}{', ' if keys else ''}draw long, s double, n double")
     means = drawn.groupBy(*keys, "draw").agg((F.sum("s") / F.sum("n")).alias("m"))
     alpha = 0.05 / comparisons
     out = means.groupBy(*keys).agg(F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))

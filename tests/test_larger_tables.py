@@ -192,3 +192,17 @@ def test_python_workers_get_texts_in_small_batches(spark, name):
     assert int(spark.conf.get(rows)) <= 1024
     sizes = spark.range(5000, numPartitions=1).mapInArrow(lambda batches: batches, "id long").mapInPandas(lambda frames: (f.assign(id=len(f)) for f in frames), "id long")
     assert max(r.id for r in sizes.distinct().collect()) <= 1024
+
+
+def test_pairs_of_one_difference_draw_their_weights_together(spark):
+    """As many rows are drawn as there are differences, and the interval is that of all pairs."""
+    from cairnlake.operators import evaluate
+
+    pairs = spark.range(200_000).selectExpr("'g' AS g", "id AS pair_id", "0.5D AS a", "0.5D + (id % 2) * 0.5D AS b")
+    found = evaluate.paired_bootstrap(pairs, ["g"], 400)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan.split("MapInArrow", 1)[1].split("Join", 1)[0]
+    r = found.first()
+    # The mean of 200,000 differences of 0 and 0.5 has a deviation of 0.00056.
+    assert r.difference == 0.25 and 0.24 < r.low < 0.25 < r.high < 0.26 and 1.5 < (r.high - r.low) / 0.00056 / 1.96 < 2.6
+    assert r == evaluate.paired_bootstrap(pairs.repartition(7), ["g"], 400).first()
