@@ -35,3 +35,13 @@ def test_proposed_pairs_are_all_that_match(spark):
             if n >= 4 and n >= 0.6 * len(stem):
                 want[q, t] = n
     assert got == want and len(want) > 100
+
+
+def test_equal_names_and_texts_are_compared_once(spark):
+    """As many pairs reach the automaton as there are different names and texts; each bearer has its row."""
+    titles = spark.range(300).selectExpr("id AS title_id", "'annual report.pdf' AS name")
+    questions = spark.range(40).selectExpr("id AS query_id", "'The ANNUAL report' AS text")
+    found = tb.matched_titles(titles, questions)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "title_id" not in plan.split("MapInArrow", 1)[1].split("\n", 1)[0]
+    assert {(r.query_id, r.title_id, r.common) for r in found.collect()} == {(q, t, 13) for q in range(40) for t in range(300)}
