@@ -130,35 +130,50 @@ LEAST_GAIN = 1e-9
 
 
 def _moves(both: DataFrame, labels: DataFrame, m2: float, resolution: float) -> DataFrame:
-    """(node, degree, own, to, gain): each node's best move to a neighbour's community, where it raises modularity."""
-    totals = labels.groupBy("component").agg(F.sum("degree").alias("total"))
-    pull = both.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node"), "component").agg(F.sum("weight").alias("pull"))
+    """(node, degree, own, to, gain): every move of a node to a neighbour's community that raises modularity."""
+    totals = labels.groupBy("component").agg(F.round(F.sum("degree"), 9).alias("total"))
+    pull = both.join(labels.select(F.col("node").alias("dst"), F.col("component").alias("to")), "dst").groupBy(F.col("src").alias("node"), "to").agg(F.sum("weight").alias("pull"))
     mine = labels.join(totals, "component").withColumnsRenamed({"component": "own", "total": "own_total"})
-    options = pull.join(totals, "component").join(mine, "node")
-    inner = F.max(F.when(F.col("component") == F.col("own"), F.col("pull")).otherwise(0.0))
+    options = pull.join(mine, "node")
+    inner = options.where("to = own").select("node", F.col("pull").alias("inner"))
+    others = options.where("to <> own").join(inner, "node", "left").join(totals.withColumnRenamed("component", "to"), "to")
     price = F.lit(resolution / m2) * F.col("degree") * (F.col("total") - F.col("own_total") + F.col("degree"))
-    # Of all options but to stay, the best by what it gains; ties take the least community.
-    best = F.min(F.when(F.col("component") != F.col("own"), F.struct(F.round(price - F.col("pull"), 9).alias("cost"), F.col("component").alias("to"))))
-    found = options.groupBy("node", "own", "degree").agg(best.alias("best"), inner.alias("inner")).where("best is not null")
-    return found.select("node", "degree", "own", F.col("best.to").alias("to"), F.round(-F.col("best.cost") - F.col("inner"), 9).alias("gain")).where(F.col("gain") > LEAST_GAIN)
-
-
-def _together(moves: DataFrame, m2: float, resolution: float, turn: int) -> DataFrame:
-    """Moves that raise modularity also if all of them are made: by turns a community only sends or only takes nodes, and a
-    move's gain must outweigh what all other moves from and to its communities can cost it."""
-    sends = lambda c: F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(2)) == 0
-    some = moves.where(sends("own") & ~sends("to"))
-    left, came = some.groupBy("own").agg(F.sum("degree").alias("left")), some.groupBy("to").agg(F.sum("degree").alias("came"))
+    gain = F.round(F.col("pull") - F.coalesce("inner", F.lit(0.0)) - price, 9)
+    return others.select("node", "degree", "own", "to", gain.alias("gain")).where(F.col("gain") > LEAST_GAIN)
+
+
+#: A round ranks moves by their gains less a share of up to this, by hash, so that moves of like gains spread.
+SPREAD = 0.7
+#: Moves of a community are admitted by cells: slots, by hash, of classes of the mass that their gains can bear, so many a doubling.
+SLOTS, CLASSES = 64, 4
+
+
+def _together(moves: DataFrame, m2: float, resolution: float) -> DataFrame:
+    """Moves that raise modularity also if all of them are made: a community only sends or only takes nodes, as the best move
+    from or to it says, a node makes its best move among these, and a move's gain must outweigh what moves of its own and of
+    earlier cells from and to its communities can cost it. Then each of them still raises modularity, made in that order."""
+    lot = lambda n, *of: F.pmod(F.xxhash64(*of, "gain"), F.lit(n))  # noqa: E731  # gains change from round to round
+    worth = F.round(-F.col("gain") * (1 - SPREAD * lot(1 << 20, "node", "to") / (1 << 20)), 9)
+    ranked = moves.withColumn("low", worth)
+    ends = ranked.select("low", "node", "to", F.explode(F.array(F.struct(F.col("own").alias("c"), F.lit(True).alias("sends")), F.struct(F.col("to").alias("c"), F.lit(False).alias("sends")))).alias("e"))
+    roles = ends.groupBy("e.c").agg(F.min(F.struct("low", "node", "to", "e.sends"))["sends"].alias("sends"))
+    senders, takers = roles.where("sends").select(F.col("c").alias("own")), roles.where("not sends").select(F.col("c").alias("to"))
+    some = ranked.join(senders, "own", "left_semi").join(takers, "to", "left_semi")
+    picked = some.groupBy("node").agg(F.min(F.struct("low", "to", "own", "degree", "gain")).alias("m")).select("node", "m.to", "m.own", "m.degree", "m.gain")
+    bears = F.floor(CLASSES * F.log2(F.col("gain") * F.lit(m2 / resolution) / F.col("degree")))
+    picked = picked.withColumn("cell", (lot(SLOTS, "node") - bears * SLOTS).cast("long"))
+    mass = picked.select(F.explode(F.array("own", "to")).alias("c"), "cell", "degree").groupBy("c", "cell").agg(F.sum("degree").alias("mass"))
+    mass = mass.select("c", "cell", F.round(F.sum("mass").over(Window.partitionBy("c").orderBy("cell")), 9).alias("mass"))
+    left, came = mass.select(F.col("c").alias("own"), "cell", F.col("mass").alias("left")), mass.select(F.col("c").alias("to"), "cell", F.col("mass").alias("came"))
     cost = F.lit(resolution / m2) * F.col("degree") * (F.col("left") + F.col("came") - 2 * F.col("degree"))
-    return some.join(left, "own").join(came, "to").where(F.col("gain") - cost > LEAST_GAIN).select("node", "to")
+    return picked.join(left, ["own", "cell"]).join(came, ["to", "cell"]).where(F.col("gain") - cost > LEAST_GAIN).select("node", "to")
 
 
 def _apart(moves: DataFrame) -> DataFrame:
     """Moves of which no two share a community: those that are the best of both of theirs."""
-    rank = F.struct((-F.col("gain")).alias("low"), "node")
+    rank = F.struct((-F.col("gain")).alias("low"), "node", "to")
     best = moves.select(F.explode(F.array("own", "to")).alias("c"), rank.alias("r")).groupBy("c").agg(F.min("r").alias("r"))
-    first = best.groupBy("r").count().where("count = 2").select(F.col("r.node").alias("node"))
-    return moves.join(first, "node", "left_semi").select("node", "to")
+    return best.groupBy("r").count().where("count = 2").select("r.node", "r.to")
 
 
 def louvain(edges: DataFrame, nodes: DataFrame | None = None, resolution: float = 1.0, levels: int = 10) -> DataFrame:
@@ -173,26 +188,25 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, resolution: float
     graph = written(flat.groupBy("a", "b").agg(F.round(F.sum("weight"), 9).alias("weight")), "graph")
     every = graph.select(F.col("a").alias("node")).unionByName(graph.select(F.col("b").alias("node")))
     place = written((every.unionByName(nodes.select("node")) if nodes is not None else every).distinct().withColumn("component", F.col("node")), "places")
-    m2 = 2 * (graph.agg(F.sum("weight").alias("w")).first().w or 0.0)
+    m2 = round(2 * (graph.agg(F.sum("weight").alias("w")).first().w or 0.0), 6)
     found = []
     for level in range(levels if m2 else 0):
         both = written(graph.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(graph.where("a <> b").select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight")), "both")
         loops = graph.where("a = b").select(F.col("a").alias("node"), (2 * F.col("weight")).alias("weight"))
         degrees = both.select(F.col("src").alias("node"), "weight").unionByName(loops).groupBy("node").agg(F.round(F.sum("weight"), 9).alias("degree"))
-        labels, turn = written(degrees.withColumn("component", F.col("node")), "labels"), 0
+        labels = written(degrees.withColumn("component", F.col("node")), "labels")
+        after = lambda made: written(labels.join(made, "node", "left").select("node", "degree", F.coalesce("to", "component").alias("component"), F.col("to").isNotNull().alias("moved")), "labels")  # noqa: E731, B023
         while True:
             moves = written(_moves(both, labels, m2, resolution), "moves")
             if moves.isEmpty():
                 forget(moves)
                 break
-            turn += 1
-            made = written(_together(moves, m2, resolution, turn), "made")
-            if made.isEmpty():
-                forget(made)
-                made = written(_apart(moves), "made")
-            following = written(labels.join(made, "node", "left").select("node", "degree", F.coalesce("to", "component").alias("component")), "labels")
-            forget(moves, made, labels)
-            labels = following
+            following = after(_together(moves, m2, resolution))
+            if following.where("moved").isEmpty():
+                forget(following)
+                following = after(_apart(moves))
+            forget(moves, labels)
+            labels = following.drop("moved")
         least = labels.groupBy("component").agg(F.min("node").alias("least"))
         named = written(labels.join(least, "component").select("node", F.col("least").alias("component")), "named")
         step = named.select(F.col("node").alias("component"), F.col("component").alias("joined"))

@@ -156,6 +156,16 @@ def test_louvain_ends_where_no_move_raises_modularity(spark):
             assert modularity({**first, i: first[j]}) <= at_first + 1e-8
 
 
+def test_louvain_needs_few_rounds_where_all_nodes_want_the_same(spark, monkeypatch):
+    """Eighty nodes that are all alike linked to four hubs: nearly all want one hub at once, which takes few of them."""
+    rows = [(i, 1000 + j, 9 + (i * 7 + j * 13) % 11 / 10) for i in range(80) for j in range(4)]
+    rounds = []
+    monkeypatch.setattr(graph, "written", lambda df, name, made=graph.written: rounds.append(name) or made(df, name))
+    levels = graph.louvain(spark.createDataFrame(rows, "src long, dst long, weight double")).collect()
+    assert {r.node for r in levels if r.level == 0} == {x for i, j, _ in rows for x in (i, j)}
+    assert rounds.count("moves") <= 16
+
+
 def test_exact_tables(spark):
     cells = spark.createDataFrame([("a", "1,000.50 kg"), ("a", "-.25kg"), ("b", "1 kg"), ("b", "1 m"), ("c", "x"), ("d", "123456789012345678901234567890.000000000000000001")], "t string, cell string")
     got = {r.t: r for r in tables.exact_aggregate(cells.where("t <> 'd'"), ["t"], "cell").collect()}
