@@ -1,12 +1,12 @@
 """Quality rules (operator 5): base rules on counts, then an isolation forest on rule statistics.
 
-Statistics of each whole text come from Arrow batches. The forest is fitted on at most ``max_fit_rows`` labelled
-rows that pass the base rules and are not held out (by hash of the id, alike on every run), of which a share
-``GROW`` grows trees and the rest calibrates. Each tree takes ``PSI`` of them at random, ``ODD`` of label 0 (what is
+Statistics of each whole text come from Arrow batches, once. Of the labelled rows that pass the base rules and are not held
+out a share ``GROW`` (by hash of the id, alike on every run) grows trees and all others calibrate. Trees grow on samples, as
+isolation asks, of at most ``GROW`` of ``max_fit_rows`` rows. Each tree takes ``PSI`` of them at random, ``ODD`` of label 0 (what is
 odd must be rare to be isolated soon) and the rest of label 1, and splits them: a statistic at random among those in
 which the node's rows differ, at a random value between the least and the greatest of the node's rows, until rows are
 alone or ``DEPTH`` is reached. Short mean path lengths mark documents unlike the rest. The threshold is the score that
-separates labels 0 from 1 of the calibration rows best among those that drop at most ``MAX_CLEAN_LOSS`` of label 1.
+separates labels 0 from 1 of all calibration rows best among those that drop at most ``MAX_CLEAN_LOSS`` of label 1.
 Held-out rows (``common.held_out``) are never learned from; figures of accuracy come from them.
 
 Cases: a null text has no words and fails the base rules; without labelled rows of both kinds in either part the
@@ -18,18 +18,18 @@ are measured whole; only the named columns are read, so others may have any name
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import WORD, bounded_batches, column, held_out, text_or_empty
+from cairnlake.llm.common import WORD, bounded_batches, column, forget, held_out, text_or_empty, written
 
-#: Rows that the fit reads at most; trees; rows of a tree, and those of label 0 among them; depth at which a tree stops.
+#: Labelled rows that growing trees and calibrating would share at most if both sampled (trees get GROW of them); trees; rows of a tree, and those of label 0 among them; depth at which a tree stops.
 MAX_FIT_ROWS, TREES, PSI, ODD, DEPTH = 20_000, 100, 256, 5, 12
 #: Share of the fit's rows that grow trees; share of label 1 that the threshold may drop of the others.
 GROW, MAX_CLEAN_LOSS = 0.6, 0.003
@@ -188,26 +188,69 @@ def threshold(scores: np.ndarray, good: np.ndarray, max_loss: float = MAX_CLEAN_
     return float(sorted_scores[best] + (sorted_scores[best + 1] if best + 1 < len(order) else sorted_scores[best])) / 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> tuple[Forest, float] | None:
-    """Forest and threshold from at most about max_fit_rows labelled rows (label column: quality, 1 good)."""
+#: Steps of a score by which rows are counted before they are counted one by one.
+STEPS = 1 << 16
+
+
+def threshold_over(rows: DataFrame, max_loss: float = MAX_CLEAN_LOSS) -> float | None:
+    """``threshold`` of a table (score, good) of any size; None if one of the labels is missing.
+
+    Rows of a score are counted first, then those of a step of scores; only steps, which are few, are summed up in one task."""
+    each = written(rows.groupBy("score").agg(F.count_if(~F.col("good")).alias("bad"), F.count_if("good").alias("fine")), "scores")
+    step = F.floor(F.col("score") * STEPS).alias("step")
+    after = Window.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(after), F.lit(0))
+    steps = each.groupBy(step).agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine"))
+    steps = steps.select("step", before("bad").alias("bad_before"), before("fine").alias("fine_before"))
+    total = each.agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine")).first()
+    cut = None
+    if total.bad and total.fine:
+        down = Window.partitionBy("step").orderBy(F.desc("score"))
+        got = (F.sum("bad").over(down) + F.col("bad_before")) / total.bad
+        lost = (F.sum("fine").over(down) + F.col("fine_before")) / total.fine
+        summed = each.withColumn("step", step).join(steps, "step").select("score", (got - lost).alias("gain"), lost.alias("lost"))
+        best = summed.where(F.col("lost") <= max_loss).agg(F.max(F.struct("gain", "score")).alias("b")).first().b
+        cut = float("inf")
+        if best is not None and best.gain > 0:
+            below = each.where(F.col("score") < best.score).agg(F.max("score").alias("s")).first().s
+            cut = (best.score + (best.score if below is None else below)) / 2
+    forget(each)
+    return cut
+
+
+def _anomaly(forest: Forest, spark: SparkSession) -> Callable[[str], Column]:
+    handle = spark.sparkContext.broadcast(forest)  # TREES trees of at most 2 * PSI nodes
+
+    @F.pandas_udf("double")
+    def anomaly(features):
+        import pandas as pd
+
+        return pd.Series(handle.value.score(np.stack(features.to_numpy())) if len(features) else [], dtype="float64")
+
+    return anomaly
+
+
+def fit(rows: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> tuple[Callable[[str], Column], float] | None:
+    """The forest's score of statistics, and the threshold, from ``measured`` rows and labels (label column: quality, 1 good)."""
     marked = labels.where("quality is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n = marked.count()
     if not n:
         return None
     share = min(1.0, max_fit_rows / n)
-    chosen = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    chosen = chosen.withColumn("grows", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1000)) < int(GROW * 1000))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").transform(measured)
-    got = rows.join(F.broadcast(chosen), "doc_id").where(~base_failed()).select("doc_id", "features", "quality", "grows").toPandas()
+    marked = marked.withColumn("grows", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1000)) < int(GROW * 1000))
+    chosen = marked.where("grows").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    passed = rows.where(~base_failed()).select("doc_id", "features")
+    got = passed.join(F.broadcast(chosen), "doc_id").select("doc_id", "features", "quality").toPandas()
     if got.empty:
         return None
     x = np.array(got["features"].tolist(), np.float32)
     order = np.lexsort((*x.T, got["doc_id"].to_numpy()))  # the same forest, in whatever order rows arrive
-    x, good, grows = x[order], got["quality"].to_numpy()[order] == 1, got["grows"].to_numpy()[order]
-    if any(not (part & kind).any() for part in (grows, ~grows) for kind in (good, ~good)):
+    x, good = x[order], got["quality"].to_numpy()[order] == 1
+    if good.all() or not good.any():
         return None
-    forest = Forest(x[grows], ~good[grows])
-    return forest, threshold(forest.score(x[~grows]), good[~grows])
+    anomaly = _anomaly(Forest(x, ~good), rows.sparkSession)
+    cut = threshold_over(passed.join(marked.where("not grows"), "doc_id").select(anomaly("features").alias("score"), (F.col("quality") == 1).alias("good")))
+    return None if cut is None else (anomaly, cut)
 
 
 def base_failed():
@@ -216,20 +259,11 @@ def base_failed():
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_fit_rows: int = MAX_FIT_ROWS) -> DataFrame:
     """A row for each row: doc_id, the base counts, base_failed, anomaly (the forest's score), kept."""
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    model = fit(plain, labels, max_fit_rows)
-    rows = measured(plain)
+    rows = written(measured(docs, id_col, text_col), "statistics")
+    model = fit(rows, labels, max_fit_rows)
     if model is None:
         return rows.select("doc_id", *BASE, base_failed().alias("base_failed"), F.lit(None).cast("double").alias("anomaly"), (~base_failed()).alias("kept"))
-    forest, cut = model
-    handle = docs.sparkSession.sparkContext.broadcast(forest)  # TREES trees of at most 2 * PSI nodes
-
-    @F.pandas_udf("double")
-    def anomaly(features):
-        import pandas as pd
-
-        return pd.Series(handle.value.score(np.stack(features.to_numpy())) if len(features) else [], dtype="float64")
-
+    anomaly, cut = model
     scored = rows.withColumn("anomaly", anomaly("features")).withColumn("base_failed", base_failed())
     return scored.select("doc_id", *BASE, "base_failed", "anomaly", (~F.col("base_failed") & (F.col("anomaly") < cut)).alias("kept"))
 

@@ -108,6 +108,29 @@ def test_threshold_follows_brute_force():
             assert abs((scores[~good] >= got).mean() - (scores[good] >= got).mean() - max(gains.values())) < 1e-12
 
 
+def test_threshold_of_a_table_is_that_of_arrays(spark):
+    rng = np.random.default_rng(8)
+    for digits in (1, 2, 9):
+        good = rng.random(300) < 0.8
+        scores = np.round(0.6 * rng.random(300) + 0.4 * ~good, digits)
+        rows = spark.createDataFrame([(float(s), bool(g)) for s, g in zip(scores, good, strict=True)], "score double, good boolean")
+        for loss in (0.0, 0.05, 1.0):
+            assert q.threshold_over(rows, loss) == q.threshold(scores, good, loss)
+    assert q.threshold_over(rows.where("good")) is None and q.threshold_over(rows.limit(0)) is None
+    assert q.threshold_over(rows.withColumn("good", q.F.col("score") > 0.3)) == np.inf
+
+
+def test_every_calibration_row_counts_for_the_threshold(spark, monkeypatch):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, prose(rng, i % 10 == 0)) for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 != 0)) for i in range(600)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(q, "threshold_over", lambda rows, made=q.threshold_over: seen.append(rows.count()) or made(rows))
+    q.quality_rules(docs, labels, max_fit_rows=200)
+    q.quality_rules(docs, labels)
+    assert seen[0] == seen[1] > 100
+
+
 def test_held_out_labels_are_not_read(spark):
     rng = random.Random(2)
     docs = spark.createDataFrame([(i, prose(rng, i % 10 == 0)) for i in range(400)], "doc_id long, text string")
