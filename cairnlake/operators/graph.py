@@ -279,11 +279,18 @@ def project_shards(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return both.withColumn("change", kind).where("change is not null").select(key, "change")
 
 
+#: Rows that a task of ``co_mentions`` gets.
+TASK_ROWS = 250_000
+
+
 def co_mentions(mentions: DataFrame, doc: str, term: str, most_docs: int = 20, at_least: int = 2) -> DataFrame:
     """GR17, JN11: pairs of documents that share ``at_least`` terms; a term of more than ``most_docs`` documents links none, which
     also bounds the pairs of a term."""
-    rows = mentions.select(doc, term).distinct()
-    rare = rows.groupBy(term).agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, most_docs)).select(term)
-    kept = rows.join(rare, term)
-    pairs = kept.join(kept.select(term, F.col(doc).alias("other")), term).where(F.col(doc) < F.col("other"))
-    return pairs.groupBy(F.col(doc).alias("doc_a"), F.col("other").alias("doc_b")).agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= at_least)
+    tasks = lambda n: 1 + int(n or 0) // TASK_ROWS
+    rows = mentions.select(doc, term).repartition(tasks(mentions.count()), doc, term).distinct()
+    rare = rows.groupBy(term).agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, most_docs))
+    # Few bytes of terms give many pairs: tasks are as many as pairs need, before and after pairs are made.
+    n = tasks(rare.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first().pairs)
+    kept = rows.join(rare.select(term), term).repartition(n, term)
+    pairs = kept.join(kept.select(term, F.col(doc).alias("other")), term).where(F.col(doc) < F.col("other")).select(F.col(doc).alias("doc_a"), F.col("other").alias("doc_b"))
+    return pairs.repartition(n, "doc_a", "doc_b").groupBy("doc_a", "doc_b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= at_least)

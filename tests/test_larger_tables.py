@@ -206,3 +206,14 @@ def test_pairs_of_one_difference_draw_their_weights_together(spark):
     # The mean of 200,000 differences of 0 and 0.5 has a deviation of 0.00056.
     assert r.difference == 0.25 and 0.24 < r.low < 0.25 < r.high < 0.26 and 1.5 < (r.high - r.low) / 0.00056 / 1.96 < 2.6
     assert r == evaluate.paired_bootstrap(pairs.repartition(7), ["g"], 400).first()
+
+
+def test_tasks_of_co_mentions_follow_their_pairs(spark, monkeypatch):
+    from cairnlake.operators import graph
+
+    monkeypatch.setattr(graph, "TASK_ROWS", 100)
+    rows = spark.range(600).select((F.col("id") % 60).alias("doc"), F.floor(F.col("id") / 20).alias("term"))
+    pairs = graph.co_mentions(rows, "doc", "term")
+    assert "(doc_a" in (plan := pairs._jdf.queryExecution().toString()) and ", 58), REPARTITION_BY_NUM" in plan
+    got = {(r.doc_a, r.doc_b): r.shared for r in pairs.collect()}
+    assert got == {(a, b): 10 for a in range(60) for b in range(a + 1, 60) if a // 20 == b // 20}
