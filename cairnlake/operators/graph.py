@@ -292,7 +292,8 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, resolution: float
     nodes to neighbours' communities as long as that raises modularity, then makes each community a node. Blocks of nodes are
     swept one by one, all at once; every round raises modularity and the last one finds no move. No more than a block's edges
     gather in one task. Order and partitioning of rows change nothing. An empty graph gives an empty result."""
-    flat = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.col("weight").cast("double").alias("weight"))
+    weight = F.col("weight").cast("double")  # one that is not finite or not above 0 counts as 1, as in the reference
+    flat = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.when((weight > 0) & (weight < float("inf")), weight).otherwise(1.0).alias("weight"))
     graph = written(flat.groupBy("a", "b").agg(F.round(F.sum("weight"), 9).alias("weight")), "graph")
     every = graph.select(F.col("a").alias("node")).unionByName(graph.select(F.col("b").alias("node")))
     place = written((every.unionByName(nodes.select("node")) if nodes is not None else every).distinct().withColumn("component", F.col("node")), "places")
@@ -338,6 +339,18 @@ def community_edges(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return found.groupBy(F.least("ca", "cb").alias("src"), F.greatest("ca", "cb").alias("dst")).agg(F.sum("weight").alias("weight"))
 
 
+def hierarchy(edges: DataFrame, nodes: DataFrame | None = None, resolution: float = 1.0) -> DataFrame:
+    """GR9: (node, level, component, parent): GR7's communities at level 0, and at level 1 those that Louvain finds again on the graph
+    of the weights between them, where what lies inside one counts no more. Two and more of level 0 make one of level 1, their parent;
+    one that stays alone has none. A community is named by its least node."""
+    edges = written(edges.select("src", "dst", "weight"), "edges")
+    low = written(communities(edges, nodes, resolution), "communities")
+    up = communities(community_edges(edges, low), low.select(F.col("component").alias("node")).distinct(), resolution)
+    joined = up.join(up.groupBy("component").count().where("count > 1"), "component", "left_semi").select(F.col("node").alias("component"), F.col("component").alias("parent"))
+    first = low.join(joined, "component", "left").select("node", F.lit(0).alias("level"), "component", "parent")
+    return first.unionByName(first.where("parent is not null").select("node", F.lit(1).alias("level"), F.col("parent").alias("component"), F.lit(None).cast(first.schema["parent"].dataType).alias("parent")))
+
+
 def community_keys(labels: DataFrame) -> DataFrame:
     """GR10: a key of each community's members, so that an unchanged one is used again."""
     return labels.groupBy("component").agg(F.md5(F.concat_ws(",", F.array_sort(F.collect_set(F.col("node").cast("string")))).cast("binary")).alias("member_key"), F.count(F.lit(1)).alias("size"))

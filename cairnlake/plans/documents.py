@@ -263,11 +263,10 @@ def _cluster_tree(s, d):
 
 
 def _levels(s, d):
-    """Levels of communities of the supply graph, and whether modularity rises from level to level."""
+    """Members of the communities of the supply graph, of those above them, and who belongs to whom."""
     li = t(s, d, "lineitem")
     edges = gr.merge_relations(li.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 40 + 1000).alias("dst"), F.lit("r").alias("kind"), (F.col("l_quantity") / 4).alias("weight"), F.col("l_orderkey").alias("doc_id")))
-    found = gr.louvain(edges)
-    return found.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("component").alias("components"), F.min("component").alias("least"))
+    return gr.hierarchy(edges)
 
 
 def _merged(s, d):

@@ -197,6 +197,21 @@ def test_louvain_settles_in_few_rounds_over_many_blocks(spark, monkeypatch, heav
     assert rounds.count("labels") <= 20
 
 
+def test_hierarchy_runs_again_on_what_lies_between_communities(spark):
+    """Four cliques, two and two of them linked, and a pair apart: its own links no longer hold a clique from its neighbour."""
+    cliques = [(10 * k + a, 10 * k + b, 5.0) for k in range(4) for a in range(5) for b in range(a)]
+    e = spark.createDataFrame([*cliques, (0, 10, 1.0), (20, 30, 1.0), (50, 51, 1.0)], "src long, dst long, weight double")
+    got = {(r.level, r.node): (r.component, r.parent) for r in graph.hierarchy(e).collect()}
+    want = {(0, 10 * k + a): (10 * k, 20 * (k // 2)) for k in range(4) for a in range(5)} | {(1, 10 * k + a): (20 * (k // 2), None) for k in range(4) for a in range(5)}
+    assert got == want | {(0, 50): (50, None), (0, 51): (50, None)}
+
+
+def test_weights_that_are_none_count_as_one_in_communities(spark):
+    odd = [(0, 1, None), (1, 2, float("nan")), (0, 2, -3.0), (3, 4, 0.0), (4, 5, float("inf")), (3, 5, 1.0)]
+    found = {r.node: r.component for r in graph.communities(spark.createDataFrame(odd, "src long, dst long, weight double")).collect()}
+    assert found == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3}
+
+
 def test_exact_tables(spark):
     cells = spark.createDataFrame([("a", "1,000.50 kg"), ("a", "-.25kg"), ("b", "1 kg"), ("b", "1 m"), ("c", "x"), ("d", "123456789012345678901234567890.000000000000000001")], "t string, cell string")
     got = {r.t: r for r in tables.exact_aggregate(cells.where("t <> 'd'"), ["t"], "cell").collect()}
