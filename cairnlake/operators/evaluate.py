@@ -131,7 +131,8 @@ def chain_recall(found: DataFrame, chains: DataFrame) -> DataFrame:
 
     Both are rows, so that neither what a question found nor a chain gathers in one place."""
     need = chains.select("qid", "chain_id", "docid").distinct()
-    held = need.join(found.select("qid", "docid", F.lit(1).alias("_f")).distinct(), ["qid", "docid"], "left")
+    # Spark takes exploded rows for as few as they come from, and would broadcast them: the join is told to merge.
+    held = need.join(found.select("qid", "docid", F.lit(1).alias("_f")).distinct().hint("merge"), ["qid", "docid"], "left")
     share = held.groupBy("qid", "chain_id").agg((F.count("_f") / F.count("docid")).alias("share"))
     return share.groupBy("qid").agg(F.max("share").alias("chain_recall")).withColumn("complete", F.col("chain_recall") == 1)
 

@@ -217,3 +217,27 @@ def test_tasks_of_co_mentions_follow_their_pairs(spark, monkeypatch):
     assert "(doc_a" in (plan := pairs._jdf.queryExecution().toString()) and ", 58), REPARTITION_BY_NUM" in plan
     got = {(r.doc_a, r.doc_b): r.shared for r in pairs.collect()}
     assert got == {(a, b): 10 for a in range(60) for b in range(a + 1, 60) if a // 20 == b // 20}
+
+
+def broadcasts(df, path):
+    """How often the plan that ran to write a table broadcasts."""
+    df.write.mode("overwrite").parquet(str(path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("BroadcastExchange")
+
+
+def test_what_questions_found_is_not_broadcast(spark, tmp_path):
+    """Few rows explode into many: Spark's estimate is that of the few."""
+    from cairnlake.operators import evaluate
+
+    found = spark.range(200).select((F.col("id") % 10).alias("qid"), F.explode(F.sequence(F.col("id"), F.col("id") + 500)).alias("docid"))
+    chains = spark.range(3000).select((F.col("id") % 10).alias("qid"), (F.col("id") % 300).alias("chain_id"), F.col("id").alias("docid"))
+    df = evaluate.chain_recall(found, chains)
+    assert broadcasts(df, tmp_path / "out") == 0
+    need, got = {}, {(i % 10, i + k) for i in range(200) for k in range(501)}
+    for i in range(3000):
+        need.setdefault((i % 10, i % 300), set()).add(i)
+    best = {}
+    for (q, _), docs in need.items():
+        best[q] = max(best.get(q, 0.0), sum((q, x) in got for x in docs) / len(docs))
+    assert {r.qid: r.chain_recall for r in df.collect()} == pytest.approx(best)
