@@ -241,3 +241,22 @@ def test_what_questions_found_is_not_broadcast(spark, tmp_path):
     for (q, _), docs in need.items():
         best[q] = max(best.get(q, 0.0), sum((q, x) in got for x in docs) / len(docs))
     assert {r.qid: r.chain_recall for r in df.collect()} == pytest.approx(best)
+
+
+def test_titles_and_questions_meet_without_a_broadcast_or_join(spark, tmp_path, monkeypatch):
+    """Copies of names and texts over several blocks of names, and more rows than are given at once."""
+    from cairnlake.operators import tables
+
+    monkeypatch.setattr(tables, "BLOCK_NAMES", 7, raising=False)
+    monkeypatch.setattr(tables, "OUT_ROWS", 16, raising=False)
+    names = [f"Quarter {i % 23} report.PDF" for i in range(120)] + ["abc.pdf", ".pdf", "x" * 200, None]
+    texts = [f"where is the quarter {i % 5} report?" for i in range(30)] + ["", None, "quarter"]
+    titles = spark.createDataFrame(list(enumerate(names)), "title_id long, name string")
+    questions = spark.createDataFrame([(i, x) for i, x in enumerate(texts)] + [(None, "quarter 1 report")], "query_id long, text string")
+    df = tables.matched_titles(titles, questions)
+    assert broadcasts(df, tmp_path / "out") == 0 and "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    stem = lambda n: n.lower().rsplit(".", 1)[0] if "." in n else n.lower()
+    want = {(q, i): tables.title_match(stem(n), (x or "").lower()) for i, n in enumerate(names) if n and 4 <= len(stem(n)) <= 160 for q, x in enumerate(texts)}
+    rows = df.collect()
+    assert len(rows) == len({(r.query_id, r.title_id) for r in rows})
+    assert {(r.query_id, r.title_id): r.common for r in rows} == {k: n for k, n in want.items() if n}
