@@ -260,3 +260,10 @@ def test_titles_and_questions_meet_without_a_broadcast_or_join(spark, tmp_path,
     rows = df.collect()
     assert len(rows) == len({(r.query_id, r.title_id) for r in rows})
     assert {(r.query_id, r.title_id): r.common for r in rows} == {k: n for k, n in want.items() if n}
+
+
+def test_self_retrieval_asks_for_every_document(spark):
+    docs = "/root/testdata/sf0.001"
+    rows = {r.asked: r for r in registry.plans()["ev12_self_retrieval"].run(spark, docs).collect()}
+    assert rows["all"].queries == spark.read.parquet(f"{docs}/documents.parquet").count()
+    assert rows["all"].found >= rows["every twentieth"].found > 0
