@@ -267,3 +267,26 @@ def test_self_retrieval_asks_for_every_document(spark):
     rows = {r.asked: r for r in registry.plans()["ev12_self_retrieval"].run(spark, docs).collect()}
     assert rows["all"].queries == spark.read.parquet(f"{docs}/documents.parquet").count()
     assert rows["all"].found >= rows["every twentieth"].found > 0
+
+
+@pytest.mark.parametrize("by", ["long", "string"])
+def test_search_by_blocks_finds_what_search_finds(spark, monkeypatch, by):
+    """Copies of texts tie, blocks are many, and ids are numbers or words."""
+    import random
+
+    from cairnlake.operators import lexical
+
+    monkeypatch.setattr(lexical, "BLOCK_POSTINGS", 40, raising=False)
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefghijklmnop") * rng.randint(1, 3) for _ in range(rng.randint(1, 30))) for _ in range(120)]
+    chunks = spark.createDataFrame([(i, texts[i % 90]) for i in range(120)] + [(500, None), (501, "")], "id long, text string").select(F.col("id").cast(by).alias("chunk_id"), "text")
+    queries = chunks.select(F.col("chunk_id").alias("query_id"), F.substring("text", 1, 24).alias("text"))
+    rows = lambda df: sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 8)) for r in df.collect())
+    want = rows(lexical.bm25_search(chunks, queries, 4, budget=60))
+    assert rows(lexical.bm25_blocks(chunks, queries, 4, budget=60)) == want and len(want) > 300
+
+
+def test_self_retrieval_makes_no_row_for_a_query_and_a_chunk(spark):
+    """Documents that share their words: pairs of a query and a chunk are far more than what any shuffle writes."""
+    plan = registry.plans()["ev12_self_retrieval"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Aggregate [query_id" in line and "chunk_id" in line]
